@@ -24,25 +24,28 @@ def _schema_of(df: DataFrame, schema: Mapping[str, str] | None, ordinal: str) ->
 
 def _mark_all(df: DataFrame, configs: Sequence[ReversalConfig], ordinal: str) -> DataFrame:
     for config in configs:
-        named = (config.column_a, config.column_b, config.value_column)
-        if any(c not in df.columns for c in named):
-            continue
-        df = mark_reversals(df, config, ordinal)
+        if all(c in df.columns for c in (config.column_a, config.column_b, config.value_column)):
+            df = mark_reversals(df, config, ordinal)
     return df
 
 
 def preprocess(df: DataFrame, schema: Mapping[str, str] | None = None, cancellation: CancellationConfig | None = None,
-               reversals: Sequence[ReversalConfig] = (), ordinal: str = ORDINAL) -> DataFrame:
+               reversals: Sequence[ReversalConfig] = (), ordinal: str = ORDINAL,
+               detect_on_raw: bool = False) -> DataFrame:
     """Fill blanks, flag cancelled rows, flag reversals - in this order.
 
-    Reversals are looked for in the filled rows, so blank account keys meet as
-    'NULL'. A reversal config that names a missing column is passed over. Errors
-    surface; no step is skipped because it failed.
+    Reversals are looked for in the filled rows, so missing account keys meet as
+    'NULL'; ``detect_on_raw`` looks at the rows as they came, where a missing key
+    meets nothing. A reversal config that names a missing column is passed over.
+    Errors surface; no step is skipped because it failed.
     """
-    out = fill_nulls(df, _schema_of(df, schema, ordinal))
+    kinds = _schema_of(df, schema, ordinal)
+    if detect_on_raw:
+        df = _mark_all(df, reversals, ordinal)
+    out = fill_nulls(df, kinds)
     if cancellation is not None:
         out = mark_canceled(out, cancellation)
-    return _mark_all(out, reversals, ordinal)
+    return out if detect_on_raw else _mark_all(out, reversals, ordinal)
 
 
 def reversal_run_results(df: DataFrame, configs: Sequence[ReversalConfig], first_run_id: int, dataset_id: int,
