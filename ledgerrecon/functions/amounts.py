@@ -15,12 +15,16 @@ from pyspark.sql import types as T
 
 from ledgerrecon.functions.refs import column_type, ref, require
 from ledgerrecon.labels import (
-    CURRENCY_MARKS, NESTED_VALUE_FIELDS, PLAIN_NUMBER, TRAILING_MARKS,
+    CURRENCY_MARKS, NESTED_VALUE_FIELDS, PLAIN_NUMBER, READY_NUMBER, TRAILING_MARKS,
 )
 
 AMOUNT_SCALE = 9
 AMOUNT = T.DecimalType(38, AMOUNT_SCALE)
 
+# private-use characters, so no ledger text holds them
+_COMMA_DECIMAL = "\ue000"
+_NO_DECIMAL = "\ue001"
+
 
 def number_text(col: Column) -> Column:
     """Number text in any of the accepted spellings -> plain ``[-]digits[.digits]`` text.
@@ -28,34 +32,34 @@ def number_text(col: Column) -> Column:
     Brackets mean negative; currency marks and blanks go; with both separators
     the later one is the decimal mark; a single comma is a decimal mark; repeated
     commas or dots are thousands marks; trailing ``% ; : , .`` go.
+
+    One straight chain of replacements, where each step reads the one before once:
+    a mark at the end of the text carries what the separators mean. Cells that are
+    plain numbers already, the usual case, skip it.
     """
-    text = F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-    bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
-    body = F.when(bracketed, F.regexp_replace(text, r"^\(|\)$", "")).otherwise(text)
+    body = F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    body = F.regexp_replace(body, r"(?s)^\((.*)\)$", "-$1")
     body = F.regexp_replace(body, CURRENCY_MARKS, "")
-    commas = F.regexp_count(body, F.lit(","))
-    dots = F.regexp_count(body, F.lit(r"\."))
-    comma_is_decimal = ((dots > 0) & (commas > 0) & body.rlike(r",[^.]*$")) | ((dots == 0) & (commas == 1))
-    dots_only_group = (commas == 0) & (dots > 1)
-    body = (
-        F.when(comma_is_decimal, F.translate(body, ",.", "."))
-        .when(dots_only_group, F.translate(body, ".", ""))
-        .otherwise(F.translate(body, ",", ""))
-    )
+    body = F.regexp_replace(body, r"^(.*\..*,[^.]*|[^.,]*,[^.,]*)$", f"$1{_COMMA_DECIMAL}")  # 1.234,5 and 12,5
+    body = F.regexp_replace(body, r"^([^,.]*\.[^,.]*\.[^,]*)$", f"$1{_NO_DECIMAL}")         # 1.234.567
+    body = F.regexp_replace(body, rf"\.(?=.*[{_COMMA_DECIMAL}{_NO_DECIMAL}]$)", "")
+    body = F.regexp_replace(body, rf",(?=.*{_COMMA_DECIMAL}$)", ".")
+    body = F.translate(body, f",{_COMMA_DECIMAL}{_NO_DECIMAL}", "")                         # 1,234.5 and 1,234,567
     body = F.regexp_replace(body, TRAILING_MARKS, "")
-    body = F.when(bracketed, F.concat(F.lit("-"), body)).otherwise(body)
-    return F.when(body.rlike(PLAIN_NUMBER), body)
+    number = F.get(F.regexp_extract_all(body, F.lit(PLAIN_NUMBER), F.lit(0)), F.lit(0))
+    return F.when(col.rlike(READY_NUMBER), col).otherwise(number)
 
 
 def parse_number(col: Column, dtype: T.DataType) -> Column:
     """Double value of a column; NULL when it holds no finite number."""
+    infinite = F.lit(float("inf"))
     if isinstance(dtype, T.StringType):
-        value = number_text(col).try_cast("double")
-    elif isinstance(dtype, (T.NumericType, T.BooleanType)):
-        value = col.cast("double")
-    else:
-        return F.lit(None).cast("double")
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+        return F.nullif(F.nullif(number_text(col).try_cast("double"), infinite), -infinite)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(F.abs(col) < infinite, col.cast("double"))
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return col.cast("double")
+    return F.lit(None).cast("double")
 
 
 def number_or_zero(col: Column, dtype: T.DataType) -> Column:

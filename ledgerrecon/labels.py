@@ -79,6 +79,7 @@ NUMBER_FILL = 0
 CURRENCY_MARKS = r"R\$|[$€£ ]"
 TRAILING_MARKS = r"[%;:,.]+$"
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+READY_NUMBER = r"^[+-]?\d+(\.\d+)?$"
 WHOLE_NUMBER = r"^[+-]?\d+$"
 NESTED_VALUE_FIELDS = ("value", "val", "amount", "amt")
 

@@ -25,19 +25,23 @@ def _fillable(df: DataFrame, schema: Mapping[str, str] | None) -> dict[str, str]
 
 
 def fill_nulls(df: DataFrame, schema: Mapping[str, str] | None) -> DataFrame:
-    """Blank cells of listed columns become 'NULL' (string) or 0 (number)."""
+    """Blank cells of listed columns become 'NULL' (string) or 0 (number).
+
+    The filled columns are known to be non-null, which lets null tests on them
+    disappear from later plans.
+    """
     filled = {}
     for name, kind in _fillable(df, schema).items():
         col, dtype = ref(name), column_type(df, name)
         blank = is_blank(col, dtype)
         if kind == "string":
             text = col if isinstance(dtype, T.StringType) else key_part(col, dtype)
-            filled[name] = F.when(blank, STRING_FILL).otherwise(text)
+            filled[name] = F.coalesce(F.when(~blank, text), F.lit(STRING_FILL))
         elif isinstance(dtype, (T.StringType, T.BooleanType)):
             zero = F.lit(str(NUMBER_FILL)) if isinstance(dtype, T.StringType) else F.lit(False)
-            filled[name] = F.when(blank, zero).otherwise(col)
+            filled[name] = F.coalesce(F.when(~blank, col), zero)
         elif isinstance(dtype, T.NumericType):
-            filled[name] = F.when(blank, F.lit(NUMBER_FILL).cast(dtype)).otherwise(col)
+            filled[name] = F.coalesce(F.when(~blank, col), F.lit(NUMBER_FILL).cast(dtype))
     return df.withColumns(filled) if filled else df
 
 

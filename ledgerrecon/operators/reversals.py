@@ -47,7 +47,7 @@ def _level(df: DataFrame, value: str) -> Column:
         return F.coalesce(ref(value), F.lit(0).cast(dtype))
     if isinstance(dtype, T.IntegralType):
         return F.coalesce(ref(value), F.lit(0)).cast("decimal(20,0)")
-    return F.round(number_or_zero(ref(value), dtype), AMOUNT_SCALE)
+    return F.coalesce(F.round(number_or_zero(ref(value), dtype), AMOUNT_SCALE), F.lit(0.0))
 
 
 def _sided(df: DataFrame, config: ReversalConfig) -> DataFrame:

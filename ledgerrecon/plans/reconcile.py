@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerrecon.config import ReconConfig
 from ledgerrecon.functions import AMOUNT, amount, column_type, composite_key, ref, unflagged, verdict
@@ -15,8 +16,20 @@ from ledgerrecon.operators.totals import run_summary
 from ledgerrecon.sources.catalog import resolve_column
 
 
-def _side_entries(df: DataFrame | None, side: str, config: ReconConfig) -> DataFrame | None:
-    """(key_ordinal, key, amount_a, amount_b) of one ledger, all key definitions at once."""
+def _whole_number_keys(a: DataFrame | None, b: DataFrame | None, config: ReconConfig) -> list[bool]:
+    """Which key definitions are one integer column on every side that is there.
+
+    Their text says no more than the number, so rows are grouped by the number and
+    the text is made once per key, not once per row.
+    """
+    def whole(df: DataFrame | None, columns: tuple[str, ...]) -> bool:
+        return df is None or (len(columns) == 1 and isinstance(column_type(df, columns[0]), T.IntegralType))
+
+    return [whole(a, k.columns("a")) and whole(b, k.columns("b")) for k in config.keys]
+
+
+def _side_entries(df: DataFrame | None, side: str, config: ReconConfig, whole: list[bool]) -> DataFrame | None:
+    """(key_ordinal, key_number, key_text, amount_a, amount_b) of one ledger, all keys at once."""
     requested = config.value_column_a if side == "a" else config.value_column_b
     invert = config.invert_a if side == "a" else config.invert_b
     if df is None or (not requested and not config.allow_no_value):
@@ -29,18 +42,27 @@ def _side_entries(df: DataFrame | None, side: str, config: ReconConfig) -> DataF
         value = amount(ref(name), column_type(df, name))
         value = (-value).cast(AMOUNT) if invert else value
 
-    keys = [composite_key(df, k.columns(side)) for k in config.keys]
+    def key(i: int) -> list[Column]:
+        columns = config.keys[i].columns(side)
+        if whole[i]:
+            number, text = ref(columns[0]).cast("bigint"), F.lit(None).cast("string")
+        else:
+            number, text = F.lit(None).cast("bigint"), composite_key(df, columns)
+        return [F.lit(i).alias("key_ordinal"), number.alias("key_number"), text.alias("key_text")]
+
     rows = unflagged(df)
-    if len(keys) == 1:
-        entries = rows.select(F.lit(0).alias("key_ordinal"), keys[0].alias("key"), value.alias("value"))
+    if len(config.keys) == 1:
+        entries = rows.select(*key(0), value.alias("value"))
     else:
-        tagged = F.array(*[F.struct(F.lit(i).alias("key_ordinal"), k.alias("key")) for i, k in enumerate(keys)])
-        entries = rows.select(value.alias("value"), F.inline(tagged)).select("key_ordinal", "key", "value")
+        tagged = F.array(*[F.struct(*key(i)) for i in range(len(config.keys))])
+        # the value is converted once per row, before rows are multiplied by the keys
+        entries = rows.withColumn("value", value).select("value", F.inline(tagged))
     nothing = F.lit(None).cast(AMOUNT)
     amounts = {"a": (F.col("value"), nothing), "b": (nothing, F.col("value"))}[side]
-    return entries.select("key_ordinal", "key", amounts[0].alias("amount_a"), amounts[1].alias("amount_b"))
+    return entries.select(*_GROUP, amounts[0].alias("amount_a"), amounts[1].alias("amount_b"))
 
 
+_GROUP = ("key_ordinal", "key_number", "key_text")
 RECON_SCHEMA = (
     "key_ordinal int, key_name string, key string, value_a double, value_b double, in_a boolean, in_b boolean, "
     "status string, group string, difference double"
@@ -55,20 +77,23 @@ def reconcile(a: DataFrame | None, b: DataFrame | None, config: ReconConfig) ->
     key that many rows share before anything is shuffled. A side without value
     column is left out, unless ``allow_no_value`` counts it as zeros.
     """
-    parts = [p for p in (_side_entries(a, "a", config), _side_entries(b, "b", config)) if p is not None]
+    whole = _whole_number_keys(a, b, config)
+    parts = [_side_entries(a, "a", config, whole), _side_entries(b, "b", config, whole)]
+    parts = [p for p in parts if p is not None]
     if not parts or not config.keys:
         frame = a if a is not None else b
         return frame.sparkSession.createDataFrame([], RECON_SCHEMA)
     stacked = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     zero = F.lit(0).cast(AMOUNT)
-    totals = stacked.groupBy("key_ordinal", "key").agg(
+    totals = stacked.groupBy(*_GROUP).agg(
         F.coalesce(F.sum("amount_a"), zero).alias("total_a"), F.coalesce(F.sum("amount_b"), zero).alias("total_b"),
         (F.count("amount_a") > 0).alias("in_a"), (F.count("amount_b") > 0).alias("in_b"),
     )
     names = F.array(*[F.lit(k.name) for k in config.keys])
     columns = verdict(F.col("total_a"), F.col("total_b"), config.threshold)
     return totals.select(
-        "key_ordinal", F.get(names, F.col("key_ordinal")).alias("key_name"), "key",
+        "key_ordinal", F.get(names, F.col("key_ordinal")).alias("key_name"),
+        F.coalesce("key_text", F.col("key_number").cast("string"), F.lit("")).alias("key"),
         F.col("total_a").cast("double").alias("value_a"), F.col("total_b").cast("double").alias("value_b"),
         "in_a", "in_b", *[col.alias(name) for name, col in columns.items()],
     )

@@ -28,7 +28,7 @@ def _plain(value):
     return value
 
 
-def _rows(names: list[str], rows) -> list[tuple]:
+def sorted_rows(names: list[str], rows) -> list[tuple]:
     order = sorted(range(len(names)), key=names.__getitem__)
     plain = [tuple(_plain(r[i]) for i in order) for r in rows]
     return sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
@@ -47,13 +47,13 @@ def main(argv: list[str]) -> int:
         start = time.time()
         try:
             df = QUERIES[name](spark, sf_dir)
-            got = _rows(df.columns, df.collect())
+            got = sorted_rows(df.columns, df.collect())
             seconds = time.time() - start
             if name not in ORACLES:
                 print(f"rows-only {name:28s} {len(got):7d} {seconds:6.2f}s")
                 continue
             rel = db.sql(ORACLES[name])
-            want = _rows(rel.columns, rel.fetchall())
+            want = sorted_rows(rel.columns, rel.fetchall())
         except Exception as exc:  # report and go on with the next query
             bad += 1
             print(f"ERROR     {name}: {str(exc)[:900]}")
