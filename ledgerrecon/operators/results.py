@@ -11,6 +11,33 @@ from ledgerrecon.labels import HEADER_TRANSLATION, PAGE_ROWS
 ORDER = ("run_id", "key_ordinal", "row_identifier")
 
 
+# column of the results table -> names it may come under, and its type
+_RESULT_FIELDS = {
+    "dataset_id": (("dataset_id",), "bigint"),
+    "row_identifier": (("row_identifier", "key"), "string"),
+    "status": (("status",), "string"),
+    "group_name": (("group", "group_name"), "string"),
+    "key_used": (("key_name", "key_used"), "string"),
+    "difference": (("difference",), "double"),
+    "key_ordinal": (("key_ordinal",), "int"),
+}
+
+
+def result_rows(df: DataFrame, run_id: int) -> DataFrame:
+    """Reconciliation rows, or records under other names, in the shape of the results table."""
+    columns = [F.lit(run_id).cast("bigint").alias("run_id")]
+    for name, (sources, kind) in _RESULT_FIELDS.items():
+        found = [ref(c) for c in sources if c in df.columns]
+        value = F.coalesce(*found) if found else F.lit(0 if name == "key_ordinal" else None)
+        columns.append(value.cast(kind).alias(name))
+    return df.select(*columns)
+
+
+def append_results(df: DataFrame, run_id: int, path: str) -> None:
+    """Add result records to a run that is already stored."""
+    result_rows(df, run_id).write.mode("append").partitionBy("run_id").parquet(path)
+
+
 def filter_results(results: DataFrame, run_id: int | None = None, status: str | None = None,
                    key_used: str | None = None, group_name: str | None = None) -> DataFrame:
     """Rows equal to every filter that is given; ``run_id`` prunes partitions."""

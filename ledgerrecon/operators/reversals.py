@@ -81,6 +81,15 @@ def _mirrors_itself() -> Column:
     return (F.col("__low__") == F.col("__high__")) & (F.col("__level__") == 0)
 
 
+def _partners() -> Column:
+    """How many partners a row has, from the counts of its group."""
+    return (
+        F.when(_mirrors_itself(), F.col("__n0__") - 1)
+        .when(F.col("__side__") == 0, F.col("__n1__"))
+        .otherwise(F.col("__n0__"))
+    )
+
+
 def reversal_pairs(df: DataFrame, config: ReversalConfig) -> DataFrame:
     """All pairs, run-length encoded: one row per mirrored group that has pairs.
 
@@ -101,6 +110,22 @@ def reversal_pairs(df: DataFrame, config: ReversalConfig) -> DataFrame:
     )
 
 
+def reversal_rows(df: DataFrame, config: ReversalConfig, ordinal: str = "row_index",
+                  hot_rows: int = HOT_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """Rows that have partners: their group, their side in it and how many partners.
+
+    With ``reversal_pairs`` this says which rows pair, at a size that grows with the
+    rows and not with the pairs.
+    """
+    require(df, ordinal)
+    sided = _sided(df, config).select(ref(ordinal), *KEYS, "__side__").where(F.col("__low__").isNotNull())
+    facts = attach_group(sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", ordinal, hot_rows, slab_rows)
+    return facts.withColumn("partners", _partners()).where(F.col("partners") > 0).select(
+        ref(ordinal), F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__level__").alias("level"),
+        F.col("__side__").alias("side"), "partners",
+    )
+
+
 def reversal_pairs_one_to_one(df: DataFrame, config: ReversalConfig, ordinal: str = "row_index",
                               hot_rows: int = HOT_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """Pairs (row_i, row_j) where each row is used once, first come first served.
@@ -135,12 +160,7 @@ def reversal_pairs_one_to_one(df: DataFrame, config: ReversalConfig, ordinal: st
 
 def _matched_all_pairs(sided: DataFrame, ordinal: str, hot_rows: int, slab_rows: int) -> DataFrame:
     facts = attach_group(sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", ordinal, hot_rows, slab_rows)
-    partners = (
-        F.when(_mirrors_itself(), F.col("__n0__") - 1)
-        .when(F.col("__side__") == 0, F.col("__n1__"))
-        .otherwise(F.col("__n0__"))
-    )
-    return facts.withColumn("__hit__", F.coalesce(partners > 0, F.lit(False))).drop("__n0__", "__n1__", SPREAD, SLAB)
+    return facts.withColumn("__hit__", F.coalesce(_partners() > 0, F.lit(False))).drop("__n0__", "__n1__", SPREAD, SLAB)
 
 
 def _matched_one_to_one(sided: DataFrame, ordinal: str, hot_rows: int, slab_rows: int,

@@ -12,8 +12,9 @@ from ledgerrecon.config import ReconConfig
 from ledgerrecon.functions import AMOUNT, amount, column_type, composite_key, ref, unflagged, verdict
 from ledgerrecon.labels import RUN_COMPLETED
 from ledgerrecon.operators.enrich import enrich
+from ledgerrecon.operators.results import result_rows
 from ledgerrecon.operators.totals import run_summary
-from ledgerrecon.sources.catalog import resolve_column
+from ledgerrecon.sources.catalog import Catalog, resolve_column
 
 
 def _whole_number_keys(a: DataFrame | None, b: DataFrame | None, config: ReconConfig) -> list[bool]:
@@ -28,7 +29,8 @@ def _whole_number_keys(a: DataFrame | None, b: DataFrame | None, config: ReconCo
     return [whole(a, k.columns("a")) and whole(b, k.columns("b")) for k in config.keys]
 
 
-def _side_entries(df: DataFrame | None, side: str, config: ReconConfig, whole: list[bool]) -> DataFrame | None:
+def _side_entries(df: DataFrame | None, side: str, config: ReconConfig, whole: list[bool],
+                  catalog: Catalog | None) -> DataFrame | None:
     """(key_ordinal, key_number, key_text, amount_a, amount_b) of one ledger, all keys at once."""
     requested = config.value_column_a if side == "a" else config.value_column_b
     invert = config.invert_a if side == "a" else config.invert_b
@@ -36,7 +38,7 @@ def _side_entries(df: DataFrame | None, side: str, config: ReconConfig, whole: l
         return None
     value: Column = F.lit(0).cast(AMOUNT)
     if requested:
-        name = resolve_column(df, requested)
+        name = resolve_column(df, requested, catalog)
         if name is None:
             raise KeyError(f"value column not found: {requested}; available: {df.columns[:25]}")
         value = amount(ref(name), column_type(df, name))
@@ -69,7 +71,8 @@ RECON_SCHEMA = (
 )
 
 
-def reconcile(a: DataFrame | None, b: DataFrame | None, config: ReconConfig) -> DataFrame:
+def reconcile(a: DataFrame | None, b: DataFrame | None, config: ReconConfig, catalog_a: Catalog | None = None,
+              catalog_b: Catalog | None = None) -> DataFrame:
     """One row per (key definition, key) with both totals and the verdict.
 
     Both ledgers are read once. Their rows are stacked and summed by one
@@ -78,7 +81,7 @@ def reconcile(a: DataFrame | None, b: DataFrame | None, config: ReconConfig) ->
     column is left out, unless ``allow_no_value`` counts it as zeros.
     """
     whole = _whole_number_keys(a, b, config)
-    parts = [_side_entries(a, "a", config, whole), _side_entries(b, "b", config, whole)]
+    parts = [_side_entries(a, "a", config, whole, catalog_a), _side_entries(b, "b", config, whole, catalog_b)]
     parts = [p for p in parts if p is not None]
     if not parts or not config.keys:
         frame = a if a is not None else b
@@ -99,15 +102,6 @@ def reconcile(a: DataFrame | None, b: DataFrame | None, config: ReconConfig) ->
     )
 
 
-def to_results(recon: DataFrame, run_id: int) -> DataFrame:
-    """Reconciliation rows in the shape of the results table."""
-    return recon.select(
-        F.lit(run_id).cast("bigint").alias("run_id"), F.lit(None).cast("bigint").alias("dataset_id"),
-        F.col("key").alias("row_identifier"), "status", F.col("group").alias("group_name"),
-        F.col("key_name").alias("key_used"), "difference", "key_ordinal",
-    )
-
-
 def run_record(results: DataFrame, config: ReconConfig, run_id: int, started_at: datetime) -> DataFrame:
     """One row that describes a run, with its summary."""
     finished_at = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -131,7 +125,7 @@ def persist_run(spark: SparkSession, recon: DataFrame, config: ReconConfig, run_
     """
     started_at = datetime.now(timezone.utc).replace(tzinfo=None)
     (
-        to_results(recon, run_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        result_rows(recon, run_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("run_id").parquet(results_path)
     )
     stored = spark.read.parquet(results_path).where(F.col("run_id") == run_id)

@@ -33,15 +33,17 @@ def build_session(app_name: str = "ledgerrecon", master: str | None = None, **co
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made, and it is set as the checkpoint folder of this session.
+    Only where the session names none and runs on one machine (tests) a temporary
+    folder is made; a cluster without a shared folder is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = named or tempfile.mkdtemp(prefix="ledgerrecon-")
-        spark.sparkContext.setCheckpointDir(current)
-    return named or current
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="ledgerrecon-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -12,6 +12,9 @@ from ledgerrecon.functions.refs import ref
 from ledgerrecon.labels import BOOLEAN_CELLS, PLAIN_NUMBER, WHOLE_NUMBER
 
 
+Catalog = Sequence[tuple[str, str | None]]  # (name, logical name) per column
+
+
 def infer_column_types(df: DataFrame) -> dict[str, str]:
     """Column -> 'number', 'date' or 'string', from the declared types."""
     return {f.name: _logical_type(f.dataType) for f in df.schema.fields}
@@ -87,19 +90,19 @@ def mapped_columns(catalog: DataFrame) -> DataFrame:
     return catalog.where(F.col("logical_name").isNotNull() & (F.col("logical_name") != ""))
 
 
-def logical_headers(catalog: Sequence[tuple[str, str | None]]) -> list[str]:
+def logical_headers(catalog: Catalog) -> list[str]:
     """Logical name of each column, else its name."""
     return [logical if logical is not None and logical.strip() else (name or "") for name, logical in catalog]
 
 
-def apply_headers(df: DataFrame, catalog: Sequence[tuple[str, str | None]]) -> DataFrame:
+def apply_headers(df: DataFrame, catalog: Catalog) -> DataFrame:
     """``df`` under its logical names, if the catalog covers all its columns."""
     headers = logical_headers(catalog)
     return df.toDF(*headers) if headers and len(headers) == len(df.columns) else df
 
 
 def resolve_column(df: DataFrame, requested: str | None,
-                   catalog: Sequence[tuple[str, str | None]] | None = None) -> str | None:
+                   catalog: Catalog | None = None) -> str | None:
     """Column meant by a requested name: exact, then logical name, then name, then part of either."""
     if not requested:
         return None

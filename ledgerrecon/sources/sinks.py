@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerrecon.functions.refs import ref
@@ -11,11 +11,14 @@ from ledgerrecon.operators.results import present, present_headers
 from ledgerrecon.sources.headers import ORDINAL
 
 
-def _write(df: DataFrame, path: str, fmt: str) -> None:
-    writer = df.write.mode("overwrite").format(fmt)
+def _write(df: DataFrame, path: str, fmt: str) -> int:
+    """Write a frame and return how many rows it had."""
+    seen = Observation()
+    writer = df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.save(path)
+    return int(seen.get["rows"])
 
 
 def write_prepared(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
@@ -33,8 +36,7 @@ def in_file_order(df: DataFrame, ordinal: str = ORDINAL) -> DataFrame:
 def export_ledger(df: DataFrame, path: str, fmt: str = "csv", ordinal: str = ORDINAL) -> dict:
     """Export all columns but the ordinal, in order, under presentation names."""
     out = present_headers(in_file_order(df, ordinal).drop(ordinal))
-    _write(out, path, fmt)
-    return {"path": path, "columns": out.columns}
+    return {"path": path, "rows": _write(out, path, fmt), "columns": out.columns}
 
 
 def run_summary_sheet(runs: DataFrame, run_id: int) -> DataFrame:
@@ -58,9 +60,9 @@ def export_run(runs: DataFrame, results: DataFrame, run_id: int, path: str, fmt:
     details = run_details_sheet(results, run_id, translated)
     ordered = details.repartitionByRange("key_ordinal", "row_identifier").sortWithinPartitions("key_ordinal", "row_identifier")
     paths = {"summary": f"{path}/summary", "details": f"{path}/details"}
-    _write(run_summary_sheet(runs, run_id), paths["summary"], fmt)
-    _write(ordered, paths["details"], fmt)
-    return paths
+    if not _write(run_summary_sheet(runs, run_id), paths["summary"], fmt):
+        raise LookupError(f"run not found: {run_id}")
+    return {**paths, "rows": _write(ordered, paths["details"], fmt)}
 
 
 def export_enriched(enriched: DataFrame, path: str, fmt: str = "csv") -> str:

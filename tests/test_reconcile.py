@@ -10,10 +10,11 @@ from ledgerrecon.config import KeyDef, ReconConfig
 from ledgerrecon.labels import CANCELED_FLAG, REVERSAL_FLAG
 from ledgerrecon.operators.enrich import attach_results, enrich, merge_results
 from ledgerrecon.operators.results import (
-    filter_results, page, page_after, present, present_headers, purge, run_with_results, total_rows,
+    append_results, filter_results, page, page_after, present, present_headers, purge, result_rows, run_with_results,
+    total_rows,
 )
 from ledgerrecon.operators.totals import group_breakdown, missing_keys, run_summary, side_totals, status_breakdown
-from ledgerrecon.plans.reconcile import persist_run, reconcile, run_and_enrich, to_results
+from ledgerrecon.plans.reconcile import persist_run, reconcile, run_and_enrich
 from ledgerrecon.session import shared_path
 
 ONE = ReconConfig(keys=(KeyDef("id", ("ida",), ("idb",)),), value_column_a="va", value_column_b="vb",
@@ -145,7 +146,7 @@ def test_missing_keys(spark):
 
 def test_enrich_first_and_last(spark):
     a, b = ledgers(spark, seed=4)
-    results = to_results(reconcile(a, b, TWO), 1).cache()
+    results = result_rows(reconcile(a, b, TWO), 1).cache()
     by_key = {(r["key_used"], r["row_identifier"]): r for r in results.collect()}
     first = enrich(a, results, TWO, "a").collect()
     last = merge_results(a, results, TWO, "a").collect()
@@ -228,7 +229,7 @@ def test_run_and_enrich(spark, tmp_path):
 
 def test_pages_cover_all_results(spark):
     a, b = ledgers(spark, seed=6)
-    results = to_results(reconcile(a, b, TWO), 1).cache()
+    results = result_rows(reconcile(a, b, TWO), 1).cache()
     everything = [tuple(r) for r in results.orderBy("run_id", "key_ordinal", "row_identifier").collect()]
     by_offset, by_key, last = [], [], (0, 0, "")
     for n in range(0, len(everything), 20):
@@ -255,3 +256,21 @@ def test_present_and_purge(spark):
     assert sorted(r["config_id"] for r in left["configs"].collect()) == [10, 30]
     flags = spark.createDataFrame([(True, "x")], f"{CANCELED_FLAG} boolean, other string")
     assert present_headers(flags).columns == ["Cancelado", "other"]
+
+
+def test_value_column_by_logical_name(spark):
+    a, b = small(spark)
+    config = replace(ONE, value_column_a="Valor da nota")
+    got = reconcile(a, b, config, catalog_a=[("ida", "Nota"), ("va", "valor da nota")])
+    assert statuses(got) == {"K1": "Conferem", "K2": "Apenas A", "K3": "Apenas B"}
+
+
+def test_records_under_other_names(spark, tmp_path):
+    path = str(tmp_path / "results")
+    records = spark.createDataFrame([("k1", "Conferem", "Conciliados", "id", 0.0)],
+                                    "key string, status string, group string, key_name string, difference double")
+    append_results(records, 5, path)
+    other = records.toDF("row_identifier", "status", "group_name", "key_used", "difference").withColumn("dataset_id", F.lit(8))
+    append_results(other, 5, path)
+    got = [(r["run_id"], r["row_identifier"], r["dataset_id"], r["key_used"]) for r in spark.read.parquet(path).collect()]
+    assert sorted(got, key=str) == [(5, "k1", 8, "id"), (5, "k1", None, "id")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerrecon.config import ReversalConfig
 from ledgerrecon.labels import REVERSAL_FLAG
 from ledgerrecon.operators.reversals import (
-    mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_results,
+    mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_results, reversal_rows,
 )
 
 PAIRS = ReversalConfig("a", "b", "v")
@@ -69,6 +69,20 @@ def test_pair_groups_count_every_pair(spark):
     assert groups.groupBy("low", "high", "level").count().where("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("hot", [{}, HOT])
+def test_rows_and_groups_spell_out_every_pair(spark, hot):
+    rows = ledger(8, n=120)
+    pairs = brute_pairs(rows)
+    members = reversal_rows(frame(spark, rows), PAIRS, **hot).collect()
+    assert sum(r["partners"] for r in members) == 2 * len(pairs)
+    by_group = {}
+    for r in members:
+        by_group.setdefault((r["low"], r["high"], r["level"]), []).append((r["row_index"], r["side"]))
+    spelled = {tuple(sorted((x, y))) for (low, high, level), m in by_group.items() for x, s in m for y, t in m
+               if x != y and (s != t or (low == high and level == 0))}
+    assert spelled == set(pairs)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 @pytest.mark.parametrize("hot", [{}, HOT])
 def test_one_to_one_matches_brute_force(spark, seed, hot):

@@ -165,6 +165,11 @@ FROM (
          CASE WHEN xa > xb OR (xa = xb AND xv < 0) THEN i ELSE j END AS m
   FROM pairs)
 GROUP BY 1, 2, 3"""
+ORACLES["reversal_group_rows"] = _with(_PAIRS) + """
+SELECT r.row_index, least(a, b) AS low, greatest(a, b) AS high,
+       CASE WHEN a > b OR (a = b AND v < 0) THEN -v ELSE v END AS level, n.partners
+FROM journal r JOIN (SELECT i, count(*) AS partners FROM (SELECT i FROM pairs UNION ALL SELECT j FROM pairs) GROUP BY 1) n
+  ON n.i = r.row_index"""
 _ONE_TO_ONE = journal_sql() + """,
 ranked AS (
   SELECT row_index, a, b, v, row_number() OVER (PARTITION BY a, b, v ORDER BY row_index) AS n FROM journal),
@@ -219,6 +224,11 @@ ORACLES["persisted_run"] = f"""{_TWO}
 SELECT CAST(12 AS BIGINT) AS run_id, CAST(1 AS BIGINT) AS config_id, 'completed' AS status, 'itens x pedidos' AS config_name,
        count(*) AS keys_evaluated, count(*) FILTER (grp = 'Conciliados') AS matched_keys,
        count(*) FILTER (grp <> 'Conciliados') AS unmatched_keys FROM recon"""
+ORACLES["appended_results"] = _with(RECON_SQL, f"recon AS ({_ORDER})", _PAIRS) + """
+SELECT key AS row_identifier, CAST(NULL AS BIGINT) AS dataset_id, status, grp AS group_name, key_name AS key_used FROM recon
+UNION ALL
+SELECT CAST(i AS VARCHAR), 10, 'Conciliado_Estorno', '01_Conciliado', NULL
+FROM (SELECT i FROM pairs UNION SELECT j FROM pairs)"""
 ORACLES["run_lookup"] = f"""{_TWO}
 SELECT key_name AS key_used, status, count(*) AS keys, 'completed' AS run_status FROM recon GROUP BY 1, 2"""
 ORACLES["results_page"] = f"""{_TWO}

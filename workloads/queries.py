@@ -18,16 +18,17 @@ from ledgerrecon.labels import CANCELED_FLAG, REVERSAL_FLAG
 from ledgerrecon.operators.enrich import attach_results, enrich, merge_results
 from ledgerrecon.operators.prepare import cancel_counts, fill_counts, fill_nulls, mark_canceled
 from ledgerrecon.operators.results import (
-    filter_results, page, page_after, present, present_headers, purge, run_with_results, total_rows,
+    append_results, filter_results, page, page_after, present, present_headers, purge, result_rows, run_with_results,
+    total_rows,
 )
 from ledgerrecon.operators.reversals import (
-    mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_results,
+    mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_results, reversal_rows,
 )
 from ledgerrecon.operators.totals import group_breakdown, missing_keys, run_summary, side_totals, status_breakdown
 from ledgerrecon.plans.preprocess import (
     preprocess, preprocess_base_b, preprocess_generic, reversal_run_results,
 )
-from ledgerrecon.plans.reconcile import persist_run, reconcile, run_and_enrich, to_results
+from ledgerrecon.plans.reconcile import persist_run, reconcile, run_and_enrich
 from ledgerrecon.session import shared_path
 from ledgerrecon.sources.catalog import (
     apply_headers, cast_text_columns, column_profile, infer_text_types, mapped_columns, text_column_evidence,
@@ -61,7 +62,7 @@ def _recon(spark: SparkSession, sf_dir: str, config=None) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str, run_id: int = 1) -> DataFrame:
-    return to_results(_recon(spark, sf_dir, recon_config(BY_ORDER, BY_YEAR)), run_id)
+    return result_rows(_recon(spark, sf_dir, recon_config(BY_ORDER, BY_YEAR)), run_id)
 
 
 def _stored_run(spark: SparkSession, sf_dir: str, run_id: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -286,6 +287,11 @@ def reversal_pair_groups(spark, sf_dir):
     return pairs.withColumn("pairs", F.col("pairs").cast("bigint"))
 
 
+@query
+def reversal_group_rows(spark, sf_dir):
+    return reversal_rows(journal(spark, sf_dir), PAIRS).select("row_index", "low", "high", "level", "partners")
+
+
 @query
 def reversal_pairs_1to1(spark, sf_dir):
     return reversal_pairs_one_to_one(journal(spark, sf_dir), PAIRS)
@@ -368,6 +374,15 @@ def persisted_run(spark, sf_dir):
                        "summary.keys_evaluated", "summary.matched_keys", "summary.unmatched_keys")
 
 
+@query
+def appended_results(spark, sf_dir):
+    path = shared_path(spark, "results")
+    persist_run(spark, _recon(spark, sf_dir), recon_config(), 3, path, shared_path(spark, "runs"))
+    append_results(reversal_results(mark_reversals(journal(spark, sf_dir), PAIRS), 3, 10), 3, path)
+    stored = filter_results(spark.read.parquet(path), run_id=3)
+    return stored.select("row_identifier", "dataset_id", "status", "group_name", "key_used")
+
+
 @query
 def run_lookup(spark, sf_dir):
     runs, results = _stored_run(spark, sf_dir, run_id=12)
