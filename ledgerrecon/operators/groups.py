@@ -6,7 +6,7 @@ the largest groups out of the hash join:
 
 * the at most ``HOT_GROUPS`` largest groups above ``HOT_ROWS`` rows are broadcast
   (the list is bounded by its limit, whatever the data), and their rows are
-  spread over the shuffle in slabs of consecutive row ordinals;
+  spread over the shuffle in slabs of ``SLAB_ROWS`` consecutive row ordinals;
 * rows without a complete key match nothing and are spread by their ordinal;
 * all other groups, also those beyond the list, go through the shuffle join, so
   the result never depends on what the list holds. A group left out of a full
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from ledgerrecon.functions import ref
 
 HOT_GROUPS = 10_000
-HOT_ROWS = 100_000
+HOT_ROWS = 1_000_000
 SLAB_ROWS = 1_000_000
 SPREAD = "__spread__"
-SLAB = "__slab__"
+HOT = "__is_hot__"
 
 
 def spread_of(keys: Sequence[str]) -> Column:
@@ -50,26 +50,27 @@ def attach_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], facts:
     """Rows with the ``facts`` of their group (NULL where no group fits).
 
     ``groups`` holds one row per (``__spread__``, keys) with its row count in
-    ``size``. Adds ``__spread__`` and ``__slab__``: inside one (keys, slab) there
-    are at most ``slab_rows`` rows of a hot group, and each lies in one partition.
+    ``size``. The result is partitioned by (``__spread__``, keys). For the rows of a
+    hot group, which ``__is_hot__`` tells, the spread is the first ordinal of their
+    slab, so one (spread, keys) holds at most ``slab_rows`` of them, in slab order.
+    A hot row whose slab should equal the hash of its keys finds the same facts.
     """
+    named = [ref(k) for k in keys]
     hot = (
         groups.where(ref(size) > hot_rows)
-        .orderBy(ref(size).desc(), *[ref(k) for k in keys])
+        .orderBy(ref(size).desc(), *named)
         .limit(HOT_GROUPS)
-        .select(*[ref(k) for k in keys], F.struct(*[ref(f) for f in facts]).alias("__hot__"))
+        .select(*named, F.struct(*[ref(f) for f in facts]).alias("__hot__"))
     )
     is_hot = F.col("__hot__").isNotNull()
-    slab = F.when(is_hot, F.abs(ref(ordinal) - ref(ordinal) % slab_rows)).otherwise(F.lit(-1)).cast("bigint")
     spread = (
-        F.when(is_hot, F.xxhash64(*[ref(k) for k in keys], F.col(SLAB)))
-        .when(~complete_key(keys), F.xxhash64(ref(ordinal)))
+        F.when(is_hot, ref(ordinal) - F.pmod(ref(ordinal), F.lit(slab_rows)))
+        .when(~complete_key(keys), ref(ordinal))
         .otherwise(spread_of(keys))
     )
-    marked = rows.join(F.broadcast(hot), list(keys), "left").withColumn(SLAB, slab).withColumn(SPREAD, spread)
-    cold = groups.select(SPREAD, *[ref(k) for k in keys], F.struct(*[ref(f) for f in facts]).alias("__cold__"))
+    marked = rows.join(F.broadcast(hot), list(keys), "left").withColumns({SPREAD: spread.cast("bigint"), HOT: is_hot})
+    cold = groups.select(SPREAD, *named, F.struct(*[ref(f) for f in facts]).alias("__cold__"))
     joined = marked.join(cold, [SPREAD, *keys], "left")
-    facts_of = F.coalesce(F.col("__hot__"), F.col("__cold__"))
-    return joined.withColumn("__facts__", facts_of).select(
-        *[ref(c) for c in rows.columns], SPREAD, SLAB, *[F.col("__facts__")[f].alias(f) for f in facts]
+    return joined.withColumn("__facts__", F.coalesce(F.col("__hot__"), F.col("__cold__"))).select(
+        *[ref(c) for c in rows.columns], SPREAD, HOT, *[F.col("__facts__")[f].alias(f) for f in facts]
     )

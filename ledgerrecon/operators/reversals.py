@@ -24,9 +24,10 @@ from ledgerrecon.config import ReversalConfig
 from ledgerrecon.functions import AMOUNT_SCALE, amount, column_type, key_part, number_or_zero, ref
 from ledgerrecon.functions.refs import require
 from ledgerrecon.labels import REVERSAL_FLAG, REVERSAL_GROUP, REVERSAL_STATUS
-from ledgerrecon.operators.groups import HOT_ROWS, SLAB, SLAB_ROWS, SPREAD, attach_group, complete_key, spread_of
+from ledgerrecon.operators.groups import HOT, HOT_ROWS, SLAB_ROWS, SPREAD, attach_group, complete_key, spread_of
 
-KEYS = ("__low__", "__high__", "__level__")
+KEYS = ("__low__", "__high__", "__units__", "__nanos__")
+NANOS = 1_000_000_000
 UNIT = 10.0 ** -AMOUNT_SCALE
 LEVEL = "decimal(28,9)"
 
@@ -40,31 +41,45 @@ def _account_keys(df: DataFrame, a: str, b: str) -> tuple[Column, Column]:
     return text(a, a_type), text(b, b_type)
 
 
-def _level(df: DataFrame, value: str) -> Column:
-    """Value at nine places; decimals as they are, everything else as a double."""
+def _value(df: DataFrame, value: str) -> Column:
+    """Value as a double, or a decimal as it is; missing is 0. Too large a value raises."""
     dtype = column_type(df, value)
     if isinstance(dtype, T.DecimalType):
         return F.coalesce(ref(value), F.lit(0).cast(dtype))
-    if isinstance(dtype, T.IntegralType):
-        return F.coalesce(ref(value), F.lit(0)).cast("decimal(20,0)")
-    return F.coalesce(F.round(number_or_zero(ref(value), dtype), AMOUNT_SCALE), F.lit(0.0))
+    number = number_or_zero(ref(value), dtype)
+    return F.when(F.abs(number) < F.lit(9e18), number).otherwise(F.raise_error(F.lit("reversal values must be below 9e18")))
+
+
+def _whole_and_nano() -> tuple[Column, Column]:
+    """Level at nine places as two integers, units and billionths (levels below 9e18).
+
+    Integers hash and sort fast, and the same way in joins and aggregations; doubles
+    would be normalised in one and not in the other, and so be shuffled twice.
+    """
+    level = F.col("__level__")
+    nanos = F.floor((level - F.floor(level)) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
+    units = F.floor(level).cast("bigint") + F.when(nanos >= NANOS, 1).otherwise(0)
+    # never NULL, so that null tests on the group keys fold away
+    return F.coalesce(units, F.lit(0).cast("bigint")), F.coalesce(nanos % NANOS, F.lit(0).cast("bigint"))
 
 
 def _sided(df: DataFrame, config: ReversalConfig) -> DataFrame:
-    """Rows with ``low``, ``high``, ``level`` and ``side`` (0 or 1)."""
+    """Rows with their group (``KEYS``), their ``__level__`` and ``__side__`` (0 or 1)."""
     require(df, config.column_a, config.column_b, config.value_column)
     if config.tolerance is None or config.tolerance < 0:
         raise ValueError("tolerance must be a non-negative number")
     a, b = _account_keys(df, config.column_a, config.column_b)
-    keyed = df.withColumns({"__a__": a, "__b__": b, "__v__": _level(df, config.value_column)})
+    keyed = df.withColumns({"__a__": a, "__b__": b, "__v__": _value(df, config.value_column)})
     flipped = (F.col("__a__") > F.col("__b__")) | ((F.col("__a__") == F.col("__b__")) & (F.col("__v__") < 0))
     complete = F.col("__a__").isNotNull() & F.col("__b__").isNotNull()
-    return keyed.withColumns({
+    sided = keyed.withColumns({
         "__low__": F.when(complete, F.least("__a__", "__b__")),
         "__high__": F.when(complete, F.greatest("__a__", "__b__")),
-        "__level__": F.when(F.col("__v__") == 0, F.abs("__v__")).when(flipped, -F.col("__v__")).otherwise(F.col("__v__")),
+        "__level__": F.when(flipped, -F.col("__v__")).otherwise(F.col("__v__")),
         "__side__": flipped.cast("int"),
     }).drop("__a__", "__b__", "__v__")
+    units, nanos = _whole_and_nano()
+    return sided.withColumns({"__units__": units, "__nanos__": nanos})
 
 
 def _groups(sided: DataFrame) -> DataFrame:
@@ -72,13 +87,14 @@ def _groups(sided: DataFrame) -> DataFrame:
     return (
         sided.where(complete_key(KEYS))
         .groupBy(spread_of(KEYS).alias(SPREAD), *KEYS)
-        .agg(F.count_if(F.col("__side__") == 0).alias("__n0__"), F.count_if(F.col("__side__") == 1).alias("__n1__"))
+        .agg(F.count_if(F.col("__side__") == 0).alias("__n0__"), F.count_if(F.col("__side__") == 1).alias("__n1__"),
+             F.min("__level__").cast("double").alias("__level__"))
         .withColumn("__n__", F.col("__n0__") + F.col("__n1__"))
     )
 
 
 def _mirrors_itself() -> Column:
-    return (F.col("__low__") == F.col("__high__")) & (F.col("__level__") == 0)
+    return (F.col("__low__") == F.col("__high__")) & (F.col("__units__") == 0) & (F.col("__nanos__") == 0)
 
 
 def _partners() -> Column:
@@ -100,9 +116,9 @@ def reversal_pairs(df: DataFrame, config: ReversalConfig) -> DataFrame:
     own = F.col("__n0__").cast("decimal(19,0)")
     pairs = F.when(_mirrors_itself(), own * (own - 1) / 2).otherwise(own * F.col("__n1__"))
     return (
-        _groups(_sided(df, config).select(*KEYS, "__side__"))
+        _groups(_sided(df, config).select(*KEYS, "__level__", "__side__"))
         .select(
-            F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__level__").alias("level"),
+            F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__level__").cast("double").alias("level"),
             F.col("__n0__").alias("rows_forward"), F.col("__n1__").alias("rows_mirrored"),
             pairs.cast("decimal(38,0)").alias("pairs"),
         )
@@ -118,10 +134,10 @@ def reversal_rows(df: DataFrame, config: ReversalConfig, ordinal: str = "row_ind
     rows and not with the pairs.
     """
     require(df, ordinal)
-    sided = _sided(df, config).select(ref(ordinal), *KEYS, "__side__").where(F.col("__low__").isNotNull())
+    sided = _sided(df, config).select(ref(ordinal), *KEYS, "__level__", "__side__").where(F.col("__low__").isNotNull())
     facts = attach_group(sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", ordinal, hot_rows, slab_rows)
     return facts.withColumn("partners", _partners()).where(F.col("partners") > 0).select(
-        ref(ordinal), F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__level__").alias("level"),
+        ref(ordinal), F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__level__").cast("double").alias("level"),
         F.col("__side__").alias("side"), "partners",
     )
 
@@ -135,20 +151,22 @@ def reversal_pairs_one_to_one(df: DataFrame, config: ReversalConfig, ordinal: st
     slabs before, so a hot group is ranked by many tasks.
     """
     require(df, ordinal)
-    sided = _sided(df, config).select(F.col(ordinal).alias("__row__"), *KEYS, "__side__").where(F.col("__low__").isNotNull())
+    sided = _sided(df, config).select(ref(ordinal).alias("__row__"), *KEYS, "__level__", "__side__").where(F.col("__low__").isNotNull())
     matched = attach_group(
         sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", "__row__", hot_rows, slab_rows
     ).where((F.col("__n0__") > 0) & (F.col("__n1__") > 0) & ~_mirrors_itself())
 
-    cell = [SPREAD, *KEYS, "__side__", SLAB]
-    ranked = matched.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy("__row__")))
+    # one cell is a whole group, or one slab of a hot group; the rows are already partitioned by it
+    cell = [SPREAD, *KEYS]
+    ranked = matched.withColumn("k", F.row_number().over(Window.partitionBy(*cell, "__side__").orderBy("__row__")))
+    earlier = Window.partitionBy(*KEYS).orderBy(SPREAD).rowsBetween(Window.unboundedPreceding, -1)
     slabs = (
-        matched.where(F.col(SLAB) >= 0).groupBy(*cell).agg(F.count("*").alias("rows"))
-        .withColumn("before", F.sum("rows").over(
-            Window.partitionBy(*KEYS, "__side__").orderBy(SLAB).rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*cell, "before")
+        matched.where(HOT).groupBy(*cell)
+        .agg(F.count_if(F.col("__side__") == 0).alias("c0"), F.count_if(F.col("__side__") == 1).alias("c1"))
+        .select(*cell, F.sum("c0").over(earlier).alias("before0"), F.sum("c1").over(earlier).alias("before1"))
     )
-    ranked = ranked.join(slabs, cell, "left").withColumn("k", F.col("k") + F.coalesce("before", F.lit(0)))
+    before = F.when(F.col("__side__") == 0, F.col("before0")).otherwise(F.col("before1"))
+    ranked = ranked.join(slabs, cell, "left").withColumn("k", F.col("k") + F.coalesce(before, F.lit(0)))
     pair = ranked.groupBy(*KEYS, "k").agg(
         F.max(F.when(F.col("__side__") == 0, F.col("__row__"))).alias("f"),
         F.max(F.when(F.col("__side__") == 1, F.col("__row__"))).alias("m"),
@@ -160,7 +178,7 @@ def reversal_pairs_one_to_one(df: DataFrame, config: ReversalConfig, ordinal: st
 
 def _matched_all_pairs(sided: DataFrame, ordinal: str, hot_rows: int, slab_rows: int) -> DataFrame:
     facts = attach_group(sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", ordinal, hot_rows, slab_rows)
-    return facts.withColumn("__hit__", F.coalesce(_partners() > 0, F.lit(False))).drop("__n0__", "__n1__", SPREAD, SLAB)
+    return facts.withColumn("__hit__", F.coalesce(_partners() > 0, F.lit(False))).drop("__n0__", "__n1__", SPREAD, HOT)
 
 
 def _matched_one_to_one(sided: DataFrame, ordinal: str, hot_rows: int, slab_rows: int,
@@ -232,7 +250,7 @@ def _matched_within(sided: DataFrame, df: DataFrame, config: ReversalConfig, ord
         | F.coalesce(other("above") - F.col("__x__") <= F.lit(limit), F.lit(False))
         | F.coalesce(F.col("__x__") - other("below") <= F.lit(limit), F.lit(False))
     )
-    return found.withColumn("__hit__", hit & F.col("__low__").isNotNull()).drop(*facts, SPREAD, SLAB, "__x__", "__bucket__")
+    return found.withColumn("__hit__", hit & F.col("__low__").isNotNull()).drop(*facts, SPREAD, HOT, "__x__", "__bucket__")
 
 
 def mark_reversals(df: DataFrame, config: ReversalConfig, ordinal: str = "row_index",
