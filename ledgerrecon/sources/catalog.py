@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,28 +28,31 @@ def _logical_type(dtype: T.DataType) -> str:
     return "string"
 
 
+def _cell_kind(text: Column) -> Column:
+    return (
+        F.when(text.rlike(WHOLE_NUMBER), F.when(text.try_cast("bigint").isNotNull(), 4).otherwise(3))
+        .when(text.rlike(PLAIN_NUMBER), 2)
+        .when(text.isin(*BOOLEAN_CELLS), 1)
+        .when(text.isNotNull(), 0)
+    )
+
+
 def text_column_evidence(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per text column: how many cells are filled, and how many read as what.
 
-    One aggregation over the whole input for all columns, then one row each.
+    One aggregation over the whole input; an input without rows gives no evidence.
     """
-    counts = []
-    for i, name in enumerate(names):
-        text = F.trim(ref(name))
-        number = text.rlike(PLAIN_NUMBER)
-        whole = text.rlike(WHOLE_NUMBER)
-        counts.append(F.struct(
-            F.count(text).alias("filled"),
-            F.count_if(number).alias("numbers"),
-            F.count_if(whole).alias("wholes"),
-            F.count_if(whole & text.try_cast("bigint").isNotNull()).alias("longs"),
-            F.count_if(text.isin(*BOOLEAN_CELLS)).alias("booleans"),
-        ).alias(f"e{i}"))
-    if not counts:
-        return df.sparkSession.createDataFrame([], "column string, filled long, numbers long, wholes long, longs long, "
-                                                   "booleans long, storage string, data_type string")
-    rows = F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"e{i}").alias("e")) for i, n in enumerate(names)])
-    seen = df.agg(*counts).select(F.inline(rows)).select("column", "e.*")
+    # each cell is read once: 4 bigint, 3 longer whole number, 2 other number, 1 boolean, 0 text
+    kinds = F.array(*[
+        F.struct(F.lit(i).alias("position"), _cell_kind(F.trim(ref(n))).alias("kind")) for i, n in enumerate(names)
+    ])
+    kind = F.col("kind")
+    seen = df.select(F.inline(kinds)).groupBy("position").agg(
+        F.count(kind).alias("filled"), F.count_if(kind >= 2).alias("numbers"), F.count_if(kind >= 3).alias("wholes"),
+        F.count_if(kind == 4).alias("longs"), F.count_if(kind == 1).alias("booleans"),
+    )
+    titles = F.array(*[F.lit(n) for n in names])
+    seen = seen.select(F.get(titles, F.col("position")).alias("column"), "filled", "numbers", "wholes", "longs", "booleans")
     filled = F.col("filled")
     storage = (
         F.when(filled == 0, "double")
@@ -59,12 +62,14 @@ def text_column_evidence(df: DataFrame, names: Sequence[str]) -> DataFrame:
         .when(F.col("numbers") == filled, "double")
         .otherwise("string")
     )
-    kind = F.when(F.col("storage") == "string", "string").otherwise("number")
-    return seen.withColumn("storage", storage).withColumn("data_type", kind)
+    logical = F.when(F.col("storage") == "string", "string").otherwise("number")
+    return seen.withColumn("storage", storage).withColumn("data_type", logical)
 
 
 def infer_text_types(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
     """Text column -> storage type. Whole numbers too long for a bigint stay text."""
+    if not names:
+        return {}
     return {r["column"]: r["storage"] for r in text_column_evidence(df, names).collect()}
 
 
