@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerrecon.llm.common import arrow_map
+
 #: Words of benchmark items in one automaton, and so the bound on what an executor is sent.
 BLOCK_WORDS = 100_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -200,7 +202,7 @@ def find_passages(
         fields = [f for f in out.schema.fields if keep_text or k + 1 < len(blocks) or f.name != text_col]
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
         handle = sc.broadcast((block, window))
-        out = out.mapInArrow(_scanner(uuid.uuid4().hex, handle, text_col, schema.fieldNames()), schema)
+        out = arrow_map(out, _scanner(uuid.uuid4().hex, handle, text_col, schema.fieldNames()), schema)
     return out
 
 
@@ -286,7 +288,7 @@ def cut_passages(
                 columns[place] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    cut = kept.drop("n_words", "hit_items").mapInArrow(run, schema)
+    cut = arrow_map(kept.drop("n_words", "hit_items"), run, schema)
     cut = cut.where(~dirty | F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.when(dirty, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -30,5 +30,25 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op9_url_filters": r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+r(rule, verdict, h, p) AS (VALUES
+  ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+  ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+w(word) AS (VALUES ('cheap[^a-z0-9/]+pills'), ('spam[^a-z0-9/]+farm'), ('casino'), ('free[^a-z0-9/]+money'), ('adult')),
+m AS (
+  SELECT page_id, host, path,
+         (SELECT max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) FROM r
+          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best,
+         (SELECT count(*) FROM w WHERE regexp_matches(host, '(^|[^a-z0-9])' || word || '([^a-z0-9]|$)')) AS spam
+  FROM u)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN spam > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM m
 """,
 }

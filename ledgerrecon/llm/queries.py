@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import rows_of
 from ledgerrecon.llm.decontaminate import find_passages
+from ledgerrecon.llm.quality import judge
+from ledgerrecon.llm.urls import judge_urls, site_rule, word_rule
+
+SITE_RULES = [
+    site_rule("block", "net/"), site_rule("allow", "example.net/en/"), site_rule("block", "example.com/de/"),
+    site_rule("allow", "org/fr/"),
+]
+#: For URLs that no site rule fits.
+SPAM_RULES = [
+    word_rule("block", "cheap", "pills"), word_rule("block", "spam", "farm"), word_rule("block", "casino"),
+    word_rule("block", "free", "money"), word_rule("block", "adult"),
+]
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    judged, _ = judge(docs, rows_of(spark, sf_dir, "labels"), keep_text=False)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule",
+    )
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(rows_of(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + SPAM_RULES)
+    site = F.col("rule").isin([r.name for r in SITE_RULES])
+    return judged.select("page_id", "host", "path", F.when(site, F.col("rule")).alias("rule"), "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
+    "op9_url_filters": op9_url_filters,
 }
