@@ -129,3 +129,10 @@ def text_runs(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iter
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where this machine has a public tokenizer file; the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

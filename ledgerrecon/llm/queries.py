@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import rows_of
+from ledgerrecon.llm.common import rows_of, tokenizer_path
 from ledgerrecon.llm.decontaminate import find_passages
+from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
+from ledgerrecon.llm.token_files import read_tokens, write_tokens
 from ledgerrecon.llm.urls import judge_urls, site_rule, word_rule
+from ledgerrecon.session import shared_path
 
 SITE_RULES = [
     site_rule("block", "net/"), site_rule("allow", "example.net/en/"), site_rule("block", "example.com/de/"),
@@ -41,14 +44,33 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    packed = assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+    return packed.select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset",
+    )
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(rows_of(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + SPAM_RULES)
     site = F.col("rule").isin([r.name for r in SITE_RULES])
     return judged.select("page_id", "host", "path", F.when(site, F.col("rule")).alias("rule"), "verdict")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    write_tokens(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_url_filters": op9_url_filters,
+    "op10_token_files": op10_token_files,
 }
