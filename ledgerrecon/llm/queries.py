@@ -11,6 +11,8 @@ from ledgerrecon.llm.common import rows_of, tokenizer_path
 from ledgerrecon.llm.decontaminate import find_passages
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
+from ledgerrecon.llm.sharding import shard_by_size
+from ledgerrecon.llm.substrings import remove_repeats
 from ledgerrecon.llm.token_files import read_tokens, write_tokens
 from ledgerrecon.llm.urls import judge_urls, site_rule, word_rule
 from ledgerrecon.session import shared_path
@@ -26,6 +28,14 @@ SPAM_RULES = [
 ]
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard_by_size(docs, shards=40, overhead=16).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_passages(docs, rows_of(spark, sf_dir, "benchmark"), window=10, keep_text=False)
@@ -53,6 +63,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=20, keep_text=False).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(rows_of(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + SPAM_RULES)
     site = F.col("rule").isin([r.name for r in SITE_RULES])
@@ -68,9 +85,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
 }
