@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import rows_of, tokenizer_path
 from ledgerrecon.llm.decontaminate import find_passages
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
+from ledgerrecon.llm.secrets import find_secrets, span_text
 from ledgerrecon.llm.sharding import shard_by_size
 from ledgerrecon.llm.substrings import remove_repeats
 from ledgerrecon.llm.token_files import read_tokens, write_tokens
@@ -70,6 +71,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    def of(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *(of(kind) for kind in ("assign", "access", "hex")),
+        F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(rows_of(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + SPAM_RULES)
     site = F.col("rule").isin([r.name for r in SITE_RULES])
@@ -90,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scans": op6_secret_scans,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
 }
