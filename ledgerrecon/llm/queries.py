@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import rows_of, tokenizer_path
 from ledgerrecon.llm.decontaminate import find_passages
+from ledgerrecon.llm.jaccard import similar_documents
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
 from ledgerrecon.llm.secrets import find_secrets, span_text
@@ -82,6 +83,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_documents(docs, size=5, threshold=75).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(rows_of(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + SPAM_RULES)
     site = F.col("rule").isin([r.name for r in SITE_RULES])
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scans": op6_secret_scans,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
 }
