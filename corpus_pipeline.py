@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import rows_of, stage
+from ledgerrecon.llm.common import rows_of, stage, tokenizer_path
 from ledgerrecon.llm.decontaminate import cut_passages
+from ledgerrecon.llm.jaccard import similar_documents
+from ledgerrecon.llm.packing import assign_sequences, token_pieces
+from ledgerrecon.llm.quality import COUNTS, judge
+from ledgerrecon.llm.secrets import redact_secrets
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base test or fall under a learned rule go; the labels are those of the corpus."""
+    judged, _ = judge(docs, rows_of(spark, sf_dir, "labels"))
+    added = [c for c in (*COUNTS, "base_failed", "rule", "kept") if c not in docs.columns]
+    return judged.where("kept").drop(*added).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that five-word shingles link at 0.75, the one with the smallest id stays; without a set, all stay."""
+    found = similar_documents(docs, size=5, threshold=75)
+    keep = found.where("n_shingles = 0 OR id = component_id").select(F.col("id").alias("_id")).distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +33,25 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return cut_passages(docs, rows_of(spark, sf_dir, "benchmark"), window=10, max_coverage=0.5)
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; all documents stay."""
+    return redact_secrets(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids: one row for each piece, with its ids and its place."""
+    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    packed = assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: Learned rules and tokenizers cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
