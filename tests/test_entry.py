@@ -5,8 +5,8 @@ import pytest
 
 import __spark_entry__ as entry_module
 from workloads.check import TABLES, sorted_rows
-
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from workloads.oracles import ORACLES
+from workloads.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,8 @@ def db(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
 
 
 def test_entry(spark):
