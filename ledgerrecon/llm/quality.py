@@ -23,9 +23,9 @@ from ledgerrecon.llm.common import arrow_map, stage
 #: Labelled rows the list is fitted on, at most, chosen by the hash of their id.
 TRAIN_ROWS = 40_000
 #: A rule is kept if at least this share of what it covers in the pruning part is of low quality.
-PRECISION = 0.9
+PRECISION = 0.95
 #: Rows a rule must cover in the pruning part, at least.
-SUPPORT = 5
+SUPPORT = 3
 CUTS = 64
 MAX_RULES = 24
 MAX_CONDITIONS = 4

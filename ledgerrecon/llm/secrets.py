@@ -20,6 +20,7 @@ only how many candidates fell on each step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,9 @@ from ledgerrecon.llm.common import stage
 
 #: Share of ordinary strings among those reported, at most, in each encoding and length band.
 FALSE_DISCOVERIES = 0.01
-#: Margins of the three tests: chi-squared distance per character, share of runs, correlation.
-MARGINS = (0.8, 0.3, 0.35)
+#: Margins of the three tests. The chance that two characters agree, which is 1/size in a random string and
+#: 0.065 or more in ordinary text, gives the chi-squared distance; then the share of runs, and the correlation.
+AGREEMENT, LEAST_DISTANCE, RUNS_MARGIN, SERIAL_MARGIN = 0.058, 0.5, 0.3, 0.6
 MIN_LENGTH = 20
 BANDS = (20, 32, 48, 64, 128)
 STEPS = 400  # p-values are kept as -10 log10, rounded down, up to 40 decades
@@ -106,7 +108,7 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def _normal_tail(z: Column) -> Column:
+def _step(z: Column) -> Column:
     """P(Z <= z) of a standard normal, by the logistic approximation, as -10 log10, rounded down to a step."""
     exponent = F.lit(1.5976) * z + F.lit(0.07056) * z * z * z
     # log10(1 / (1 + e^-x)) without overflow
@@ -114,43 +116,69 @@ def _normal_tail(z: Column) -> Column:
     return F.least(F.lit(STEPS), F.greatest(F.lit(0), F.floor(F.lit(-10.0) * log10_p))).cast("int")
 
 
-def battery(token: Column) -> Column:
-    """(stratum, step) of a candidate: its encoding and length band, and its p-value's step."""
-    body = F.rtrim(token, F.lit("="))
-    n = F.char_length(body).cast("double")
-    encoding = F.lit(None).cast("string")
-    alphabet = F.lit(None).cast("string")
-    for name, pattern, letters in reversed(ENCODINGS):
-        fits = token.rlike(pattern)
-        encoding = F.when(fits, F.lit(name)).otherwise(encoding)
-        alphabet = F.when(fits, F.lit(letters)).otherwise(alphabet)
-    size = F.char_length(alphabet).cast("double")
-    # counts by taking each letter out: linear in the token for each of at most 64 letters
-    squares = F.aggregate(
-        F.array_distinct(F.split(body, "")), F.lit(0.0),
-        lambda total, c: total + F.when(c == "", 0.0).otherwise(F.pow(n - F.char_length(F.replace(body, c)), F.lit(2.0))),
+def _with(array: Column, kept: tuple[str, ...], **added: Callable[[Column], Column]) -> Column:
+    """Each struct of an array with further fields; what a step made is a value in the next one, made once."""
+    return F.transform(array, lambda x: F.struct(*(x[k].alias(k) for k in kept), *(f(x).alias(k) for k, f in added.items())))
+
+
+def _coded(value: str) -> Callable[[Column], Column]:
+    def pick(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, pattern, letters in reversed(ENCODINGS):
+            out = F.when(x["part"].rlike(pattern), F.lit(name if value == "name" else letters)).otherwise(out)
+        return out
+
+    return pick
+
+
+def battery(matches: Column) -> Column:
+    """(start, end, stratum, step) of each candidate: its encoding and length band, and its p-value's step."""
+    places = ("start", "end")
+    one = _with(matches, places, body=lambda x: F.rtrim(x["part"], F.lit("=")), encoding=_coded("name"), letters=_coded("letters"))
+    two = _with(
+        one, (*places, "body", "encoding", "letters"),
+        n=lambda x: F.char_length(x["body"]).cast("double"), size=lambda x: F.char_length(x["letters"]).cast("double"),
+        at=lambda x: F.transform(F.split(x["body"], ""), lambda c: F.instr(x["letters"], c).cast("double")),
+        # counts by taking each letter out: linear in the token for each of at most 64 letters
+        squares=lambda x: F.aggregate(
+            F.array_distinct(F.split(x["body"], "")), F.lit(0.0),
+            lambda total, c: total + F.pow(F.char_length(x["body"]) - F.char_length(F.replace(x["body"], c)), F.lit(2.0)),
+        ),
     )
-    # per character, less what a uniform string has by chance
-    distance = (size * squares / n - n - (size - 1)) / n
-    uniform_z = (distance - F.lit(MARGINS[0])) * n / F.sqrt(2 * (size - 1) * (1 + F.lit(2 * MARGINS[0]) * n / (size - 1)))
-    places = F.transform(F.split(body, ""), lambda c: F.instr(alphabet, c).cast("double"))
-    above = F.array_join(F.transform(places, lambda p: F.when(p > size / 2, "1").otherwise("0")), "")
-    runs = F.regexp_count(above, F.lit("0+|1+")).cast("double")
-    high = F.char_length(F.replace(above, F.lit("0"))).cast("double")
-    expected = 1 + 2 * high * (n - high) / n
-    run_gap = F.abs(runs - expected) / n
-    runs_z = (run_gap - F.lit(MARGINS[1])) * F.sqrt(n) * 2
-    mean = F.aggregate(places, F.lit(0.0), lambda total, p: total + p) / n
-    shifted = F.arrays_zip(F.slice(places, 1, F.size(places) - 1).alias("a"), F.slice(places, 2, F.size(places) - 1).alias("b"))
-    spread = F.aggregate(places, F.lit(0.0), lambda total, p: total + (p - mean) * (p - mean))
-    together = F.aggregate(shifted, F.lit(0.0), lambda total, x: total + (x["a"] - mean) * (x["b"] - mean))
-    serial = F.when(spread > 0, together / spread).otherwise(F.lit(1.0))
-    serial_z = (F.abs(serial) - F.lit(MARGINS[2])) * F.sqrt(n)
-    step = F.least(*(_normal_tail(z) for z in (uniform_z, runs_z, serial_z)))
+    three = _with(
+        two, (*places, "encoding", "n", "size", "at", "squares"),
+        mean=lambda x: F.aggregate(x["at"], F.lit(0.0), lambda total, p: total + p) / x["n"],
+        above=lambda x: F.array_join(F.transform(x["at"], lambda p: F.when(p > x["size"] / 2, "1").otherwise("0")), ""),
+        next=lambda x: F.arrays_zip(F.slice(x["at"], 1, F.size(x["at"]) - 1).alias("a"), F.slice(x["at"], 2, F.size(x["at"]) - 1).alias("b")),
+    )
+    four = _with(
+        three, (*places, "encoding", "n", "size"),
+        # per character, less what a uniform string has by chance
+        distance=lambda x: (x["size"] * x["squares"] / x["n"] - x["n"] - (x["size"] - 1)) / x["n"],
+        margin=lambda x: F.greatest(F.lit(LEAST_DISTANCE), F.lit(AGREEMENT) * x["size"] - 1),
+        runs=lambda x: F.regexp_count(x["above"], F.lit("0+|1+")).cast("double"),
+        high=lambda x: F.char_length(F.replace(x["above"], F.lit("0"))).cast("double"),
+        spread=lambda x: F.aggregate(x["at"], F.lit(0.0), lambda total, p: total + (p - x["mean"]) * (p - x["mean"])),
+        together=lambda x: F.aggregate(x["next"], F.lit(0.0), lambda total, y: total + (y["a"] - x["mean"]) * (y["b"] - x["mean"])),
+    )
+    five = _with(
+        four, (*places, "encoding", "n"),
+        uniform=lambda x: (x["distance"] - x["margin"]) * x["n"] / F.sqrt(2 * (x["size"] - 1) * (1 + 2 * x["margin"] * x["n"] / (x["size"] - 1))),
+        runs=lambda x: (F.abs(x["runs"] - 1 - 2 * x["high"] * (x["n"] - x["high"]) / x["n"]) / x["n"] - F.lit(RUNS_MARGIN)) * F.sqrt(x["n"]) * 2,
+        serial=lambda x: (F.abs(F.when(x["spread"] > 0, x["together"] / x["spread"]).otherwise(1.0)) - F.lit(SERIAL_MARGIN)) * F.sqrt(x["n"]),
+    )
+    return _with(
+        five, places,
+        stratum=lambda x: F.concat_ws(":", x["encoding"], _band(x["n"]).cast("string")),
+        step=lambda x: F.when((x["n"] >= MIN_LENGTH) & x["encoding"].isNotNull(), _step(F.greatest(x["uniform"], x["runs"], x["serial"]))).otherwise(0),
+    )
+
+
+def _band(n: Column) -> Column:
     band = F.lit(BANDS[0])
     for least in BANDS[1:]:
         band = F.when(n >= least, F.lit(least)).otherwise(band)
-    return F.struct(F.concat_ws(":", encoding, band.cast("string")).alias("stratum"), F.when((n >= MIN_LENGTH) & encoding.isNotNull(), step).otherwise(0).alias("step"))
+    return band
 
 
 def thresholds(scanned: DataFrame, false_discoveries: float) -> dict[str, int]:
@@ -159,7 +187,7 @@ def thresholds(scanned: DataFrame, false_discoveries: float) -> dict[str, int]:
     The driver sees at most one row for each encoding, band and step.
     """
     counted = (
-        scanned.select(F.explode("_candidates").alias("c")).groupBy(F.col("c.test.stratum").alias("stratum"), F.col("c.test.step").alias("step"))
+        scanned.select(F.explode("_candidates").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), F.col("c.step").alias("step"))
         .count().collect()
     )
     by_stratum: dict[str, dict[int, int]] = {}
@@ -189,15 +217,14 @@ def find_secrets(
     replaced, all others pass through.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    candidates = F.transform(located(text, CANDIDATE), lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), battery(m["part"]).alias("test")))
+    candidates = battery(located(text, CANDIDATE))
     scanned = docs.drop("base_spans", "spans").withColumns({"base_spans": base_spans(text), "_candidates": candidates})
     scanned = stage(scanned if keep_text else scanned.drop(text_col), "scanned")
     limits = thresholds(scanned, false_discoveries)
     found = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
     if limits:
         least = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
-        reported = F.filter("_candidates", lambda c: c["test"]["step"] >= F.try_element_at(least, c["test"]["stratum"]))
+        reported = F.filter("_candidates", lambda c: c["step"] >= F.try_element_at(least, c["stratum"]))
         new = F.filter(reported, lambda c: ~F.exists("base_spans", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
         found = F.transform(new, lambda c: F.struct(
             c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end")))

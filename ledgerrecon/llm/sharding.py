@@ -21,7 +21,9 @@ from ledgerrecon.llm.common import running_total, stage
 RESOLUTION = 20_000
 #: and at least so many for each shard.
 PER_SHARD = 256
-ROUNDS = 12
+#: Times as many runs are looked at when loose bounds leave much undecided.
+LOOSE = 16
+ROUNDS = 24
 
 
 @dataclass(frozen=True)
@@ -176,8 +178,10 @@ def find_cuts(groups: DataFrame, shards: int) -> list[int]:
             break
         hidden = int(runs.size[inside].sum())
         finer = max(1, hidden // wanted)
-        if finer >= width and width > 1:
-            break  # bounds too loose to gain from another round: the upper one is feasible
+        if finer > width // 2:
+            finer = max(1, width // 2)
+            if hidden // finer > LOOSE * wanted:
+                break  # too much is undecided to look at finer: the upper bound is feasible
         width = finer
         edges = [(int(a), int(a + z)) for a, z in zip(runs.start[inside], runs.size[inside])]
         joined: list[list[int]] = []
