@@ -77,4 +77,4 @@ class SourceSpec:
     format: str = "csv"
     header_row: int | None = None
     header_col: str | int | None = None
-    multi_line: bool = False
+    multi_line: bool | None = None  # None: looked up in the file

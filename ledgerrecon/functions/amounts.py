@@ -7,6 +7,7 @@ and turned into doubles only at the very end.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,8 +71,11 @@ def number_or_zero(col: Column, dtype: T.DataType) -> Column:
 def amount(col: Column, dtype: T.DataType) -> Column:
     """Exact decimal of a value column; missing or unparsable values are 0.
 
-    A finite value too large for the decimal raises rather than turning into 0.
+    Nested cells give their first scalar. A finite value too large for the decimal
+    raises rather than turning into 0, and so does a column of a type that holds no amounts.
     """
+    while isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        col, dtype = first_scalar(col, dtype)
     if isinstance(dtype, T.StringType):
         value = number_text(col).cast(AMOUNT)
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -80,11 +84,29 @@ def amount(col: Column, dtype: T.DataType) -> Column:
         value = col.cast("int").cast(AMOUNT)
     elif isinstance(dtype, T.NumericType):
         value = col.cast(AMOUNT)
-    else:
+    elif isinstance(dtype, T.NullType):
         return F.lit(0).cast(AMOUNT)
+    else:
+        raise TypeError(f"a column of type {dtype.simpleString()} holds no amounts")
     return F.coalesce(value, F.lit(0).cast(AMOUNT))
 
 
+def amount_of(df: DataFrame, names: str | Sequence[str]) -> Column:
+    """Exact decimal of a value column, or of several that carry the same header.
+
+    When at least half of several columns are numeric their amounts are added, otherwise the
+    first cell that is not missing counts.
+    """
+    columns = [names] if isinstance(names, str) else list(names)
+    require(df, *columns)
+    types = [column_type(df, n) for n in columns]
+    if len(columns) == 1:
+        return amount(ref(columns[0]), types[0])
+    if sum(isinstance(t, (T.NumericType, T.BooleanType)) for t in types) * 2 >= len(columns):
+        return reduce(lambda x, y: (x + y).cast(AMOUNT), [amount(ref(n), t) for n, t in zip(columns, types)])
+    return amount(F.coalesce(*[ref(n).cast("string") for n in columns]), T.StringType())
+
+
 def first_scalar(col: Column, dtype: T.DataType) -> tuple[Column, T.DataType]:
     """Scalar inside a nested cell, with its type.
 

@@ -16,6 +16,8 @@ def truthy(col: Column, dtype: T.DataType | None) -> Column:
         return F.lit(False)
     if isinstance(dtype, T.BooleanType):
         return F.coalesce(col, F.lit(False))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.nanvl(col, F.lit(0.0)) != 0, F.lit(False))  # not a number: not flagged
     if isinstance(dtype, T.NumericType):
         return F.coalesce(col != 0, F.lit(False))
     return F.coalesce(F.lower(col.cast("string")).isin(*TRUE_TOKENS), F.lit(False))
@@ -29,6 +31,8 @@ def _clear(df: DataFrame, flag: str, strict: bool) -> Column | None:
     col = ref(flag)
     if isinstance(dtype, T.BooleanType):
         off = ~col
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        off = (col == 0) | (F.isnan(col) & F.lit(not strict))
     elif isinstance(dtype, T.NumericType):
         off = col == 0
     else:

@@ -38,7 +38,8 @@ def key_part(col: Column, dtype: T.DataType | None) -> Column:
             F.when(F.isnan(value), F.lit(None))
             .when(whole & (F.abs(value) < _BIGINT_SAFE), value.try_cast("bigint").cast("string"))
             .when(whole, F.coalesce(value.try_cast("decimal(38,0)").cast("string"), col.cast("string")))
-            .otherwise(F.coalesce(_decimal_text(col.try_cast("decimal(38,18)").cast("string")), col.cast("string")))
+            .when(col.try_cast("decimal(38,18)").cast("double") == value, _decimal_text(col.try_cast("decimal(38,18)").cast("string")))
+            .otherwise(col.cast("string"))  # more places than the decimal holds
         )
     elif isinstance(dtype, T.DecimalType) and dtype.scale > 0:
         text = _decimal_text(col.cast("string"))

@@ -42,28 +42,34 @@ def _with_verdict(rows: DataFrame, results: DataFrame, config: ReconConfig, side
     return out, F.coalesce(*(hits if precedence == "first" else reversed(hits)))
 
 
+def _of_run(results: DataFrame, run_id: int | None) -> DataFrame:
+    """The results of one run; several runs would give a row several verdicts."""
+    return results if run_id is None else results.where(F.col("run_id") == run_id)
+
+
 def enrich(rows: DataFrame, results: DataFrame, config: ReconConfig, side: str | None,
-           precedence: str = "first") -> DataFrame:
+           precedence: str = "first", run_id: int | None = None) -> DataFrame:
     """Rows with ``status``, ``group_name`` and ``key_used``; the first matching key wins.
 
     Every row is enriched, cancelled and reversed ones too. Missing flag columns
-    are added as NULL, and earlier verdict columns are replaced.
+    are added as NULL, and earlier verdict columns are replaced. ``results`` hold one run,
+    or ``run_id`` says which one counts.
     """
     base = rows.select(*[ref(c) for c in rows.columns if c not in ENRICHED_COLUMNS])
     for flag in (CANCELED_FLAG, REVERSAL_FLAG):
         if flag not in base.columns:
             base = base.withColumn(flag, F.lit(None).cast("boolean"))
-    joined, best = _with_verdict(base, results, config, side, precedence)
+    joined, best = _with_verdict(base, _of_run(results, run_id), config, side, precedence)
     return joined.withColumn("__best__", best).select(
         *[ref(c) for c in base.columns], *[F.col("__best__")[c].alias(c) for c in ENRICHED_COLUMNS]
     )
 
 
 def merge_results(rows: DataFrame, results: DataFrame, config: ReconConfig, side: str | None,
-                  precedence: str = "last") -> DataFrame:
+                  precedence: str = "last", run_id: int | None = None) -> DataFrame:
     """Rows with ``recon_key_name``, ``recon_status``, ``recon_group``, ``recon_difference``."""
     base = rows.select(*[ref(c) for c in rows.columns if c not in MERGED_COLUMNS])
-    joined, best = _with_verdict(base, results, config, side, precedence)
+    joined, best = _with_verdict(base, _of_run(results, run_id), config, side, precedence)
     fields = ("key_used", "status", "group_name", "difference")
     return joined.withColumn("__best__", best).select(
         *[ref(c) for c in base.columns], *[F.col("__best__")[f].alias(n) for f, n in zip(fields, MERGED_COLUMNS)]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerrecon.functions import ref, translate_status
 from ledgerrecon.labels import HEADER_TRANSLATION, PAGE_ROWS
 
 ORDER = ("run_id", "key_ordinal", "row_identifier")
+# what tells records of the same run, key definition and row apart
+TIES = ("dataset_id", "status", "key_used", "group_name", "difference")
 
 
 # column of the results table -> names it may come under, and its type
@@ -50,18 +52,28 @@ def filter_results(results: DataFrame, run_id: int | None = None, status: str |
 
 def page(results: DataFrame, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
     """One page in result order. A deep page is cheaper through ``page_after``."""
-    return results.orderBy(*ORDER).offset(offset).limit(limit)
-
-
-def page_after(results: DataFrame, last: tuple[int, int, str], limit: int = PAGE_ROWS) -> DataFrame:
-    """The page that follows the row (run_id, key_ordinal, row_identifier)."""
-    run_id, key_ordinal, identifier = last
-    later = (F.col("run_id") > run_id) | (
-        (F.col("run_id") == run_id)
-        & ((F.col("key_ordinal") > key_ordinal)
-           | ((F.col("key_ordinal") == key_ordinal) & (F.col("row_identifier") > identifier)))
-    )
-    return results.where(later).orderBy(*ORDER).limit(limit)
+    return results.orderBy(*_order(results)).offset(offset).limit(limit)
+
+
+def _order(results: DataFrame) -> list[str]:
+    return [*ORDER, *(c for c in TIES if c in results.columns)]
+
+
+def page_after(results: DataFrame, last: tuple | Row, limit: int = PAGE_ROWS) -> DataFrame:
+    """The page that follows ``last``: the last row of the page before, or its (run_id, key_ordinal, row_identifier).
+
+    With a whole row, records that share those three columns are told apart by their other
+    columns, so none is passed over; NULLs come first. Records equal in everything cannot be told apart.
+    """
+    order = _order(results)
+    values = [last[c] for c in order] if isinstance(last, Row) and hasattr(last, "__fields__") else list(last)
+    later, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, values):
+        at = F.lit(value).cast(results.schema[name].dataType)
+        beyond = ref(name).isNotNull() if value is None else F.coalesce(ref(name) > at, F.lit(False))
+        later, same = later | (same & beyond), same & ref(name).eqNullSafe(at)
+    bound = ref(order[0]) >= F.lit(values[0])  # a plain comparison, to prune partitions by
+    return results.where(bound & later).orderBy(*order).limit(limit)
 
 
 def total_rows(results: DataFrame) -> DataFrame:

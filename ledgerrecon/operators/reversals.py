@@ -14,6 +14,7 @@ group with its counts), since n rows against m rows are n * m pairs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -273,11 +274,37 @@ def mark_reversals(df: DataFrame, config: ReversalConfig, ordinal: str = "row_in
     return matched.select(*others, flag.alias(REVERSAL_FLAG))
 
 
+def mark_all_reversals(df: DataFrame, configs: Sequence[ReversalConfig], ordinal: str = "row_index") -> DataFrame:
+    """``df`` with ``__is_reversal__`` set where any configuration finds a partner; a set flag stays set.
+
+    Every configuration looks at the same rows, and only the ordinals it finds meet the
+    others, so the plan grows by the configurations and does not double with each.
+    """
+    if len(configs) == 1:
+        return mark_reversals(df, configs[0], ordinal)
+    require(df, ordinal)
+    found = None
+    for config in configs:
+        own = list(dict.fromkeys((ordinal, config.column_a, config.column_b, config.value_column)))
+        hits = mark_reversals(df.select(*[ref(c) for c in own]), config, ordinal).where(ref(REVERSAL_FLAG)).select(ref(ordinal).alias("__row__"))
+        found = hits if found is None else found.unionByName(hits)
+    flag = F.col("__hit__").isNotNull() if found is not None else F.lit(False)
+    if REVERSAL_FLAG in df.columns:
+        flag = F.coalesce(ref(REVERSAL_FLAG).cast("boolean"), F.lit(False)) | flag
+    others = [ref(c) for c in df.columns if c != REVERSAL_FLAG]
+    if found is None:
+        return df.select(*others, flag.alias(REVERSAL_FLAG))
+    rows = found.distinct().withColumn("__hit__", F.lit(True))
+    return df.join(rows, ref(ordinal) == F.col("__row__"), "left").select(*others, flag.alias(REVERSAL_FLAG))
+
+
 def reversal_counts(df: DataFrame, config: ReversalConfig, ordinal: str = "row_index") -> DataFrame:
     """One row: ``reversals`` (pairs) and ``rows_marked`` (distinct rows in them)."""
     if config.mode == "one_to_one":
         pairs = reversal_pairs_one_to_one(df, config, ordinal)
         return pairs.agg(F.count("*").alias("reversals"), (F.count("*") * 2).alias("rows_marked"))
+    if config.tolerance > UNIT:
+        raise ValueError("pairs are counted at nine places; with a wider tolerance only rows are flagged")
     both = F.col("rows_forward") + F.col("rows_mirrored")
     return reversal_pairs(df, config).agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).cast("decimal(38,0)").alias("reversals"),

@@ -7,16 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerrecon.functions import amount, column_type, composite_key, ref, unflagged
-from ledgerrecon.functions.refs import require
+from ledgerrecon.functions import composite_key, ref, unflagged
+from ledgerrecon.functions.amounts import amount_of
 from ledgerrecon.labels import GROUP_LABELS, RECONCILED, STATUS_LABELS
 
 
-def side_totals(df: DataFrame, key_columns: Sequence[str], value_column: str, strict_flags: bool = False) -> DataFrame:
-    """Exact total per composite key over the rows that are not flagged."""
-    require(df, value_column)
+def side_totals(df: DataFrame, key_columns: Sequence[str], value_column: str | Sequence[str],
+                strict_flags: bool = False) -> DataFrame:
+    """Exact total per composite key over the rows that are not flagged.
+
+    Several value columns are read as columns with the same header.
+    """
+    value = amount_of(df, value_column)
     rows = unflagged(df, strict=strict_flags)
-    value = amount(ref(value_column), column_type(df, value_column))
     return (
         rows.select(composite_key(df, key_columns).alias("key"), value.alias("value"))
         .groupBy("key").agg(F.sum("value").cast("double").alias("total"))

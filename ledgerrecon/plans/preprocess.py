@@ -11,7 +11,7 @@ from ledgerrecon.config import CancellationConfig, ReversalConfig
 from ledgerrecon.functions.refs import ref
 from ledgerrecon.labels import REVERSAL_FLAG
 from ledgerrecon.operators.prepare import cancel_counts, fill_nulls, mark_canceled
-from ledgerrecon.operators.reversals import mark_reversals, reversal_results
+from ledgerrecon.operators.reversals import mark_all_reversals, mark_reversals, reversal_results
 from ledgerrecon.sources.catalog import apply_headers, infer_column_types
 from ledgerrecon.sources.headers import ORDINAL
 
@@ -22,11 +22,14 @@ def _schema_of(df: DataFrame, schema: Mapping[str, str] | None, ordinal: str) ->
     return {n: t for n, t in infer_column_types(df).items() if n != ordinal and not n.startswith("__is_")}
 
 
+def _applicable(df: DataFrame, configs: Sequence[ReversalConfig]) -> list[ReversalConfig]:
+    """Configurations whose columns are all there."""
+    return [c for c in configs if {c.column_a, c.column_b, c.value_column} <= set(df.columns)]
+
+
 def _mark_all(df: DataFrame, configs: Sequence[ReversalConfig], ordinal: str) -> DataFrame:
-    for config in configs:
-        if all(c in df.columns for c in (config.column_a, config.column_b, config.value_column)):
-            df = mark_reversals(df, config, ordinal)
-    return df
+    present = _applicable(df, configs)
+    return mark_all_reversals(df, present, ordinal) if present else df
 
 
 def preprocess(df: DataFrame, schema: Mapping[str, str] | None = None, cancellation: CancellationConfig | None = None,
@@ -50,11 +53,18 @@ def preprocess(df: DataFrame, schema: Mapping[str, str] | None = None, cancellat
 
 def reversal_run_results(df: DataFrame, configs: Sequence[ReversalConfig], first_run_id: int, dataset_id: int,
                          ordinal: str = ORDINAL) -> DataFrame:
-    """Result records of one run per reversal config, over already filled rows."""
+    """Result records of one run per reversal config, over already filled rows.
+
+    A config that names a missing column gives its run no records, and no configs give none at all.
+    """
+    present = _applicable(df, configs)
     runs = [
         reversal_results(mark_reversals(df.drop(REVERSAL_FLAG), c, ordinal), first_run_id + i, dataset_id, ordinal)
-        for i, c in enumerate(configs)
+        for i, c in enumerate(configs) if c in present
     ]
+    if not runs:
+        nothing = df.withColumn(REVERSAL_FLAG, F.lit(False))
+        return reversal_results(nothing, first_run_id, dataset_id, ordinal)
     out = runs[0]
     for more in runs[1:]:
         out = out.unionByName(more)

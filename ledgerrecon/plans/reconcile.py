@@ -121,14 +121,15 @@ def persist_run(spark: SparkSession, recon: DataFrame, config: ReconConfig, run_
     """Keep a run and its results; returns the stored results of the run.
 
     The verdicts are computed once: the summary reads what was just written. Only
-    the partition of this run is replaced, so a job that died can be run again.
+    the folder of this run is replaced, also by a run without results, so a job that
+    died can be run again, and only that folder is listed.
     """
     started_at = datetime.now(timezone.utc).replace(tzinfo=None)
-    (
-        result_rows(recon, run_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id").parquet(results_path)
-    )
-    stored = spark.read.parquet(results_path).where(F.col("run_id") == run_id)
+    rows = result_rows(recon, run_id)
+    folder = f"{results_path.rstrip('/')}/run_id={run_id}"
+    rows.drop("run_id").write.mode("overwrite").parquet(folder)
+    stored = spark.read.schema(rows.drop("run_id").schema).parquet(folder)
+    stored = stored.select(F.lit(run_id).cast("bigint").alias("run_id"), "*")
     (
         run_record(stored, config, run_id, started_at).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(runs_path)
@@ -137,8 +138,13 @@ def persist_run(spark: SparkSession, recon: DataFrame, config: ReconConfig, run_
 
 
 def run_and_enrich(spark: SparkSession, a: DataFrame | None, b: DataFrame | None, config: ReconConfig, run_id: int,
-                   results_path: str, runs_path: str) -> dict[str, DataFrame]:
-    """Reconcile, keep the run, and give both ledgers back with their verdicts."""
-    stored = persist_run(spark, reconcile(a, b, config), config, run_id, results_path, runs_path)
+                   results_path: str, runs_path: str, catalog_a: Catalog | None = None,
+                   catalog_b: Catalog | None = None) -> dict[str, DataFrame]:
+    """Reconcile, keep the run, and give both ledgers back with their verdicts.
+
+    The catalogs resolve logical names of value columns.
+    """
+    recon = reconcile(a, b, config, catalog_a, catalog_b)
+    stored = persist_run(spark, recon, config, run_id, results_path, runs_path)
     sides = {"a": a, "b": b}
-    return {side: enrich(df, stored, config, side) for side, df in sides.items() if df is not None}
+    return {side: enrich(df, stored, config, side, run_id=run_id) for side, df in sides.items() if df is not None}

@@ -19,6 +19,7 @@ def build_session(app_name: str = "ledgerrecon", master: str | None = None, **co
         builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.ansi.enabled": "true",  # an amount out of range raises
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -46,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder this library staged, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from ledgerrecon.config import SourceSpec
 from ledgerrecon.functions.refs import ref
 from ledgerrecon.labels import HEADER_SCAN_ROWS, MISSING_CELLS, PREVIEW_ROWS, SPREADSHEET_FORMATS, TEXT_FORMATS
-from ledgerrecon.session import shared_path
+from ledgerrecon.session import remove_path, shared_path
 from ledgerrecon.sources.catalog import cast_text_columns, infer_text_types
 from ledgerrecon.sources.headers import (
-    ORDINAL, detect_header, has_blank_names, promote_header, sanitized_names, unique_names,
+    ORDINAL, detect_header, has_blank_names, header_names, sanitized_names, unique_names,
 )
 
+_BEYOND = "__beyond__"
 STORED_FORMATS = ("parquet", "orc", "json")
 BROADCAST_SPLITS = 200_000
 
@@ -38,60 +39,87 @@ def _format(spec: SourceSpec) -> str:
     raise ValueError(f"unsupported format: {spec.format}")
 
 
+def _spans_lines(spark: SparkSession, spec: SourceSpec) -> bool:
+    """Whether some cell holds a line break: a line with an odd number of quotes. Stops at the first one."""
+    if spec.multi_line is not None:
+        return spec.multi_line
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(spec.path).where(quotes % 2 == 1).isEmpty()
+
+
 def _text_reader(spark: SparkSession, spec: SourceSpec, **options: object):
+    # blanks around a cell are part of it; a file with quoted line breaks is read whole by one task
     return spark.read.options(
-        sep=",", quote='"', escape='"', mode="PERMISSIVE", multiLine=spec.multi_line, emptyValue="", **options
+        sep=",", quote='"', escape='"', mode="PERMISSIVE", multiLine=_spans_lines(spark, spec), emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options
     )
 
 
 def _first_lines(spark: SparkSession, spec: SourceSpec, n: int) -> list[list[str]]:
-    """Cells of the first ``n`` non-empty lines of the first file."""
+    """Cells of the first ``n`` lines of the first file that are not blank, which is how the CSV reader counts."""
     files = spark.read.format("text").load(spec.path).inputFiles()
     if not files:
         raise FileNotFoundError(f"no files in {spec.path}")
     lines = (
         spark.read.text(unquote(min(files)))
-        .where((F.col("_metadata.file_block_start") == 0) & (F.length("value") > 0)).limit(n).collect()
+        .where((F.col("_metadata.file_block_start") == 0) & F.col("value").rlike(r"[^\x00-\x20]")).limit(n).collect()
     )
     return [next(csv.reader([line.value])) for line in lines]
 
 
 def _cells(spark: SparkSession, spec: SourceSpec, names: list[str], header: bool) -> DataFrame:
-    """The file as text columns; cells that mean "missing" are NULL."""
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    """The file as text columns. A row with more cells than there are columns raises."""
+    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, _BEYOND])
     raw = _text_reader(spark, spec, header=header, enforceSchema=True).schema(schema).csv(spec.path)
-    return raw.select("*", "_metadata")
+    told = F.raise_error(F.concat(F.lit(f"a row has more than {len(names)} cells: "), F.concat_ws(",", *[ref(n) for n in names], ref(_BEYOND))))
+    checked = F.when(ref(_BEYOND).isNull(), ref(names[0])).otherwise(told.cast("string")).alias(names[0])
+    return raw.select(checked, *[ref(n) for n in names[1:]], "_metadata")
 
 
 def _missing_to_null(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.when(~ref(n).isin(*MISSING_CELLS), ref(n)) for n in names})
 
 
-def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal: str) -> DataFrame:
-    """Rows of split text files with ``ordinal`` 1..N in file order.
+def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal: str, skip: int = 0,
+                 staged_paths: list[str] | None = None) -> DataFrame:
+    """Rows of split text files with ``ordinal`` 1..N in file order, without the first ``skip`` of each file.
 
     The cells are staged once with the split they come from and their place in
     it. Counting rows per split then gives each split its offset; only that table
-    of splits is ever ordered as a whole, never the data.
+    of splits is ever ordered as a whole, never the data. The staged folder is
+    added to ``staged_paths``, for a job to remove once its result is written.
     """
     staging = shared_path(spark, "staged")
+    if staged_paths is not None:
+        staged_paths.append(staging)
     df.select(
         *[ref(n) for n in names], F.col("_metadata.file_path").alias("__file__"),
         F.col("_metadata.file_block_start").alias("__block__"), F.monotonically_increasing_id().alias("__seq__"),
     ).write.parquet(staging)
     staged = spark.read.parquet(staging)
-    splits = staged.groupBy("__file__", "__block__").agg(
+    counted = shared_path(spark, "splits")
+    if staged_paths is not None:
+        staged_paths.append(counted)
+    staged.groupBy("__file__", "__block__").agg(
         F.min("__seq__").alias("__first__"), F.count("*").alias("__rows__")
-    )
+    ).write.parquet(counted)
+    splits = spark.read.parquet(counted)
+    # rows of the split that belong to the file's first ``skip``
+    inside = Window.partitionBy("__file__").orderBy("__block__").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(skip) - F.coalesce(F.sum("__rows__").over(inside), F.lit(0))
+    gone = F.least("__rows__", F.greatest(left, F.lit(0)))
+    splits = splits.withColumn("__gone__", gone).withColumn("__kept__", F.col("__rows__") - F.col("__gone__"))
     order = Window.orderBy("__file__", "__block__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        "__file__", "__block__", (F.coalesce(F.sum("__rows__").over(order), F.lit(0)) - F.col("__first__")).alias("__shift__")
+        "__file__", "__block__", (F.col("__first__") + F.col("__gone__")).alias("__from__"),
+        (F.coalesce(F.sum("__kept__").over(order), F.lit(0)) - F.col("__first__") - F.col("__gone__")).alias("__shift__"),
     )
     if splits.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    return staged.join(offsets, ["__file__", "__block__"]).select(
-        (F.col("__seq__") + F.col("__shift__") + 1).alias(ordinal), *[ref(n) for n in names]
-    )
+    numbered = staged.join(offsets, ["__file__", "__block__"])
+    if skip:
+        numbered = numbered.where(F.col("__seq__") >= F.col("__from__"))
+    return numbered.select((F.col("__seq__") + F.col("__shift__") + 1).alias(ordinal), *[ref(n) for n in names])
 
 
 def _number_stored_rows(df: DataFrame, ordinal: str) -> DataFrame:
@@ -109,50 +137,58 @@ def _number_stored_rows(df: DataFrame, ordinal: str) -> DataFrame:
     )
 
 
-def _text_layout(spark: SparkSession, spec: SourceSpec) -> tuple[list[str], int | None]:
-    """Column names as read, and the header line when it is below line 1."""
+def _text_layout(spark: SparkSession, spec: SourceSpec) -> tuple[list[str], int | None, list[str]]:
+    """Column names as read, and the header line with its cells when it is below line 1.
+
+    A file is as wide as the widest line down to its header.
+    """
     header_row = spec.header_row
     if header_row and header_row > 1 or (header_row == 1 and spec.header_col):
         lines = _first_lines(spark, spec, header_row)
         if len(lines) < header_row:
             raise IndexError(f"header row {header_row} is out of range for a file of {len(lines)} lines")
-        return [f"_c{i}" for i in range(max(map(len, lines)))], header_row
+        return [f"_c{i}" for i in range(max(map(len, lines)))], header_row, lines[header_row - 1]
     lines = _first_lines(spark, spec, HEADER_SCAN_ROWS + 1)
     if not lines:
         raise ValueError(f"no columns to read in {spec.path}")
     first, rest = lines[0], lines[1:]
     if not has_blank_names(first):
-        return unique_names([n.strip() for n in first]), None
+        return unique_names([n.strip() for n in first]), None, []
     rest = [[None if c in MISSING_CELLS else c for c in row] for row in rest]
     detected = detect_header(rest, len(first))
     if detected is None:
-        return sanitized_names(first), None
-    return [f"_c{i}" for i in range(max(map(len, lines)))], detected + 2
+        return sanitized_names(first), None, []
+    return [f"_c{i}" for i in range(max(map(len, lines)))], detected + 2, lines[detected + 1]
 
 
-def _read_text(spark: SparkSession, spec: SourceSpec, ordinal: str | None) -> DataFrame:
-    """Text columns under their final names, missing cells as NULL."""
-    names, header_row = _text_layout(spark, spec)
+def _read_text(spark: SparkSession, spec: SourceSpec, ordinal: str | None,
+               staged_paths: list[str] | None = None) -> DataFrame:
+    """Text columns under their final names, missing cells as NULL.
+
+    What stands above the header, and the header, is left out of every file of a folder.
+    """
+    names, header_row, header = _text_layout(spark, spec)
     cells = _cells(spark, spec, names, header=header_row is None)
     if header_row is None:
-        rows = _number_rows(spark, cells, names, ordinal) if ordinal else cells.select(*[ref(n) for n in names])
+        rows = _number_rows(spark, cells, names, ordinal, 0, staged_paths) if ordinal else cells.select(*[ref(n) for n in names])
     else:
-        rows = promote_header(_number_rows(spark, cells, names, ORDINAL), header_row, spec.header_col)
-        if ordinal is None:
-            rows = rows.drop(ORDINAL)
-        elif ordinal != ORDINAL:
-            rows = rows.withColumnRenamed(ORDINAL, ordinal)
+        start, titles = header_names([None if c in MISSING_CELLS else c for c in header], spec.header_col)
+        numbered = _number_rows(spark, cells, names, ORDINAL, header_row, staged_paths)
+        kept = [ref(c).alias(t) for c, t in zip(names[start:], titles)]
+        rows = numbered.select(*([ref(ORDINAL).alias(ordinal)] if ordinal else []), *kept)
     return _missing_to_null(rows, [c for c in rows.columns if c != ordinal])
 
 
-def read_source(spark: SparkSession, spec: SourceSpec, ordinal: str | None = None, typed: bool = True) -> DataFrame:
+def read_source(spark: SparkSession, spec: SourceSpec, ordinal: str | None = None, typed: bool = True,
+                staged_paths: list[str] | None = None) -> DataFrame:
     """Read a ledger file; with ``ordinal`` rows are numbered 1..N in file order.
 
-    Text columns get their types from one pass over the data (``typed``).
+    Text columns get their types from one pass over the data (``typed``). Folders staged
+    for the numbers are added to ``staged_paths``; the frame reads them.
     """
     fmt = _format(spec)
     if fmt in TEXT_FORMATS:
-        df = _read_text(spark, spec, ordinal)
+        df = _read_text(spark, spec, ordinal, staged_paths)
         if not typed:
             return df
         return cast_text_columns(df, infer_text_types(df, [c for c in df.columns if c != ordinal]))
@@ -161,7 +197,7 @@ def read_source(spark: SparkSession, spec: SourceSpec, ordinal: str | None = Non
         return df
     if fmt == "parquet":
         return _number_stored_rows(df, ordinal)
-    return _number_rows(spark, df.select("*", "_metadata"), df.columns, ordinal)
+    return _number_rows(spark, df.select("*", "_metadata"), df.columns, ordinal, 0, staged_paths)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -171,7 +207,10 @@ def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
 
 def ingest(spark: SparkSession, spec: SourceSpec, out_path: str) -> Ingested:
     """Store a ledger file as Parquet with ``row_index``, replacing what is there."""
-    df = read_source(spark, spec, ordinal=ORDINAL)
+    staged: list[str] = []
+    df = read_source(spark, spec, ordinal=ORDINAL, staged_paths=staged)
     seen = Observation("ingest")
     df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(out_path)
+    for path in staged:
+        remove_path(spark, path)
     return Ingested(out_path, int(seen.get["rows"]), tuple(df.columns))

@@ -16,7 +16,10 @@ def _write(df: DataFrame, path: str, fmt: str) -> int:
     seen = Observation()
     writer = df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        # blanks around a cell are part of it; an empty cell is quoted, a missing one is not
+        writer = writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""',
+        )
     writer.save(path)
     return int(seen.get["rows"])
 
