@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -80,9 +81,12 @@ def _missing_to_null(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.when(~ref(n).isin(*MISSING_CELLS), ref(n)) for n in names})
 
 
-def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal: str, skip: int = 0,
-                 staged_paths: list[str] | None = None) -> DataFrame:
-    """Rows of split text files with ``ordinal`` 1..N in file order, without the first ``skip`` of each file.
+def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal: str, header: list[str] | None = None,
+                 skip: int = 0, staged_paths: list[str] | None = None) -> DataFrame:
+    """Rows of split text files with ``ordinal`` 1..N in file order.
+
+    The first ``skip`` lines go from the first file, and from every other one whose line ``skip``
+    is the same ``header``: files that go on where the one before ends have none.
 
     The cells are staged once with the split they come from and their place in
     it. Counting rows per split then gives each split its offset; only that table
@@ -106,15 +110,24 @@ def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal:
     splits = spark.read.parquet(counted)
     # rows of the split that belong to the file's first ``skip``
     inside = Window.partitionBy("__file__").orderBy("__block__").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(skip) - F.coalesce(F.sum("__rows__").over(inside), F.lit(0))
-    gone = F.least("__rows__", F.greatest(left, F.lit(0)))
+    splits = splits.withColumn("__before__", F.coalesce(F.sum("__rows__").over(inside), F.lit(0))).withColumn("__skip__", F.lit(0))
+    if skip:
+        padded = [*(header or []), *[""] * len(names)]
+        same = [F.coalesce(ref(n), F.lit("")) == F.lit(cell or "") for n, cell in zip(names, padded)]
+        line = F.col("__seq__") - F.col("__first__") + F.col("__before__") + 1
+        headed = staged.where(reduce(lambda x, y: x & y, same)).select("__file__", "__block__", "__seq__").join(
+            splits.select("__file__", "__block__", "__first__", "__before__"), ["__file__", "__block__"]
+        ).where(line == skip).select("__file__").union(splits.agg(F.min("__file__").alias("__file__"))).distinct()
+        splits = splits.join(headed.withColumn("__headed__", F.lit(skip)), "__file__", "left").withColumn(
+            "__skip__", F.coalesce("__headed__", F.lit(0)))
+    gone = F.least("__rows__", F.greatest(F.col("__skip__") - F.col("__before__"), F.lit(0)))
     splits = splits.withColumn("__gone__", gone).withColumn("__kept__", F.col("__rows__") - F.col("__gone__"))
     order = Window.orderBy("__file__", "__block__").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "__file__", "__block__", (F.col("__first__") + F.col("__gone__")).alias("__from__"),
         (F.coalesce(F.sum("__kept__").over(order), F.lit(0)) - F.col("__first__") - F.col("__gone__")).alias("__shift__"),
     )
-    if splits.count() <= BROADCAST_SPLITS:
+    if spark.read.parquet(counted).count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
     numbered = staged.join(offsets, ["__file__", "__block__"])
     if skip:
@@ -165,15 +178,15 @@ def _read_text(spark: SparkSession, spec: SourceSpec, ordinal: str | None,
                staged_paths: list[str] | None = None) -> DataFrame:
     """Text columns under their final names, missing cells as NULL.
 
-    What stands above the header, and the header, is left out of every file of a folder.
+    What stands above the header, and the header, is left out of every file of a folder that has it.
     """
     names, header_row, header = _text_layout(spark, spec)
     cells = _cells(spark, spec, names, header=header_row is None)
     if header_row is None:
-        rows = _number_rows(spark, cells, names, ordinal, 0, staged_paths) if ordinal else cells.select(*[ref(n) for n in names])
+        rows = _number_rows(spark, cells, names, ordinal, staged_paths=staged_paths) if ordinal else cells.select(*[ref(n) for n in names])
     else:
         start, titles = header_names([None if c in MISSING_CELLS else c for c in header], spec.header_col)
-        numbered = _number_rows(spark, cells, names, ORDINAL, header_row, staged_paths)
+        numbered = _number_rows(spark, cells, names, ORDINAL, header, header_row, staged_paths)
         kept = [ref(c).alias(t) for c, t in zip(names[start:], titles)]
         rows = numbered.select(*([ref(ORDINAL).alias(ordinal)] if ordinal else []), *kept)
     return _missing_to_null(rows, [c for c in rows.columns if c != ordinal])
@@ -197,7 +210,7 @@ def read_source(spark: SparkSession, spec: SourceSpec, ordinal: str | None = Non
         return df
     if fmt == "parquet":
         return _number_stored_rows(df, ordinal)
-    return _number_rows(spark, df.select("*", "_metadata"), df.columns, ordinal, 0, staged_paths)
+    return _number_rows(spark, df.select("*", "_metadata"), df.columns, ordinal, staged_paths=staged_paths)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

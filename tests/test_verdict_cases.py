@@ -47,9 +47,9 @@ def test_quoted_line_breaks(spark, tmp_path):
 
 
 def test_preamble_of_every_file(spark, tmp_path):
-    path = put(tmp_path / "a", f1="titulo,\nid,valor\n1,2\n3,4\n", f2="titulo,\nid,valor\n5,6\n", f3="titulo,\n")
+    path = put(tmp_path / "a", f1="titulo,\nid,valor\n1,2\n3,4\n", f2="titulo,\nid,valor\n5,6\n", f3="7,8\n9,10\n")
     rows = read_source(spark, SourceSpec(path, "csv", header_row=2), "n").orderBy("n").collect()
-    assert [tuple(r) for r in rows] == [(1, 1, 2), (2, 3, 4), (3, 5, 6)]
+    assert [tuple(r) for r in rows] == [(1, 1, 2), (2, 3, 4), (3, 5, 6), (4, 7, 8), (5, 9, 10)]
 
 
 def test_ingest_leaves_no_staging(spark, tmp_path):

@@ -323,3 +323,21 @@ ORACLES["base_b_rows"] = _with(MESSY_SQL) + "SELECT k, cents, " + ", ".join(
 ORACLES["base_b_counts"] = ORACLES["cancel_flag_counts"]
 ORACLES["generic_preprocess"] = _with(_FILLED) + f"""
 SELECT count(*) AS rows, 6 AS columns, count(*) FILTER ({_partner('filled', 'acct_a', 'acct_b')}) AS reversals_count FROM filled x"""
+
+# --- files, pages and values that need care ---------------------------------
+_CELL = """CASE o_orderkey % 8 WHEN 0 THEN ' x ' WHEN 2 THEN '  y' WHEN 4 THEN 'q"uo"te' WHEN 5 THEN 'line' || chr(10) || 'break'
+  WHEN 6 THEN 'a,b' WHEN 7 THEN 'plain' END"""
+ORACLES["export_csv_roundtrip"] = f"SELECT CAST(o_orderkey AS VARCHAR) AS k, {_CELL} AS cell FROM orders"
+ORACLES["ingest_quoted_lines"] = f"SELECT {_ORDINAL} AS row_index, o_orderkey AS k, {_CELL} AS cell FROM orders"
+ORACLES["header_many_files"] = """
+SELECT o_orderstatus AS situacao, o_orderpriority AS prioridade, count(*) AS pedidos, min(o_orderkey) AS primeiro,
+       max(o_orderkey) AS ultimo FROM orders GROUP BY 1, 2"""
+ORACLES["preprocess_many_reversals"] = _with(_FILLED) + f"""
+SELECT row_index, acct_a, acct_b, {_partner('filled', 'acct_a', 'acct_b')} OR {_partner('filled', 'acct_a', 'ind')}
+       OR {_partner('filled', 'acct_b', 'ind')} AS is_reversal FROM filled x"""
+ORACLES["pages_cover_all"] = f"""{_TWO} SELECT key_name AS key_used, key AS row_identifier, status FROM recon"""
+ORACLES["side_totals_nested"] = """
+SELECT event_type AS key, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS DOUBLE) AS total FROM events GROUP BY 1"""
+ORACLES["side_totals_duplicates"] = """
+SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(sum(l_linenumber + CAST(l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS total
+FROM lineitem GROUP BY 1"""

@@ -599,3 +599,78 @@ def base_b_counts(spark, sf_dir):
 @query
 def generic_preprocess(spark, sf_dir):
     return preprocess_generic(text_journal(spark, sf_dir), "acct_a", "acct_b", "v", _TEXT_JOURNAL_TYPES)[1]
+
+
+# --- files, pages and values that need care ---------------------------------
+
+def _awkward_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with cells that hold blanks, quotes, commas and line breaks, or nothing."""
+    k = F.col("o_orderkey")
+    cell = F.lit(None).cast("string")
+    values = (" x ", "", "  y", None, 'q"uo"te', "line\nbreak", "a,b", "plain")
+    for i, value in enumerate(values):
+        if value is not None:
+            cell = F.when(k % 8 == i, F.lit(value)).otherwise(cell)
+    return table(spark, sf_dir, "orders").select(k.alias("at"), k.alias("k"), cell.alias("cell"))
+
+
+@query
+def export_csv_roundtrip(spark, sf_dir):
+    path = shared_path(spark, "export")
+    export_ledger(_awkward_cells(spark, sf_dir), path, "csv", ordinal="at")
+    return read_source(spark, SourceSpec(path, "csv"), typed=False)
+
+
+@query
+def ingest_quoted_lines(spark, sf_dir):
+    source, stored = shared_path(spark, "csv"), shared_path(spark, "ledger")
+    export_ledger(_awkward_cells(spark, sf_dir), source, "csv", ordinal="at")
+    ingest(spark, SourceSpec(source, "csv"), stored)
+    return spark.read.parquet(stored)
+
+
+@query
+def header_many_files(spark, sf_dir):
+    path = shared_path(spark, "preamble")
+    orders = table(spark, sf_dir, "orders")
+    for part in range(3):
+        line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+        first = spark.createDataFrame([(f"parte {part},,",), ("pedido,situacao,prioridade",)], "value string").coalesce(1)
+        rows = orders.where(F.col("o_orderkey") % 3 == part).select(line.alias("value")).coalesce(1)
+        first.union(rows).coalesce(1).write.mode("append").text(path)
+    read = read_source(spark, SourceSpec(path, "csv", header_row=2), ordinal="row_index")
+    return read.groupBy("situacao", "prioridade").agg(
+        F.count("*").alias("pedidos"), F.min("pedido").alias("primeiro"), F.max("pedido").alias("ultimo"),
+    )
+
+
+@query
+def preprocess_many_reversals(spark, sf_dir):
+    configs = [TEXT_PAIRS, ReversalConfig("acct_a", "ind", "v"), ReversalConfig("acct_b", "ind", "v"), ReversalConfig("acct_a", "gone", "v")]
+    rows = preprocess(text_journal(spark, sf_dir), _TEXT_JOURNAL_TYPES, None, configs)
+    return rows.select("row_index", "acct_a", "acct_b", F.col(REVERSAL_FLAG).alias("is_reversal"))
+
+
+@query
+def pages_cover_all(spark, sf_dir):
+    _, results = _stored_run(spark, sf_dir, run_id=6)
+    rows = results.count()
+    limit = rows // 3 + 1
+    current = page(results, limit)
+    out = current
+    for _ in range(2):
+        current = page_after(results, current.tail(1)[0], limit)
+        out = out.unionByName(current)
+    return out.select("key_used", "row_identifier", "status")
+
+
+@query
+def side_totals_nested(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "map<string,bigint>").alias("props"))
+    return side_totals(events, ["event_type"], "props")
+
+
+@query
+def side_totals_duplicates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("n_1"), "l_returnflag")
+    return side_totals(rows, ["l_orderkey"], ["n", "n_1", "l_returnflag"])
