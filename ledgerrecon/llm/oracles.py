@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerrecon.llm.licenses import COPYRIGHT_LINE, KNOWN_TEXTS, SPELLINGS
+
 ORACLES: dict[str, str] = {
     "op2_decontaminate": r"""
 WITH d AS (
@@ -82,3 +84,25 @@ SELECT page_id, host, path, best.rule AS rule,
 FROM m
 """,
 }
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
+    for other, kept in SPELLINGS:
+        out = f"replace({out}, '{other}', '{kept}')"
+    return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN_TEXTS)
+ORACLES["op8_license_scans"] = f"""
+WITH k AS (
+  SELECT sha256(form) AS digest, min(name) AS name FROM (
+    SELECT name, trim(regexp_replace({_canonical("t")}, '[ \\n]+', ' ', 'g')) AS form FROM (VALUES {_KNOWN}) v(name, t)) GROUP BY 1),
+d AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT doc_id, t, trim(regexp_replace(t, '[ \\n]+', ' ', 'g')) AS form FROM d),
+n AS (
+  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) JOIN k ON k.digest = sha256(trim(line)) GROUP BY 1)
+SELECT w.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS text_digest, k.name AS license_id, coalesce(notices, '') AS notices
+FROM w LEFT JOIN k ON form <> '' AND k.digest = sha256(form) LEFT JOIN n USING (doc_id)
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerrecon.llm.common import rows_of, tokenizer_path
 from ledgerrecon.llm.decontaminate import find_passages
 from ledgerrecon.llm.jaccard import similar_documents
+from ledgerrecon.llm.licenses import find_licenses
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
 from ledgerrecon.llm.secrets import find_secrets, span_text
@@ -88,6 +89,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(docs, size=5, threshold=75).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "text_digest", "license_id", F.array_join("notices", ",").alias("notices"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(rows_of(spark, sf_dir, "pages").select("page_id", "url"), SITE_RULES + SPAM_RULES)
     site = F.col("rule").isin([r.name for r in SITE_RULES])
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_secret_scans": op6_secret_scans,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
 }

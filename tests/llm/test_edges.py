@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerrecon.llm.common import tokenizer_path
 from ledgerrecon.llm.decontaminate import cut_passages, find_passages
 from ledgerrecon.llm.jaccard import similar_documents
+from ledgerrecon.llm.licenses import KNOWN_TEXTS, find_licenses
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
 from ledgerrecon.llm.secrets import find_secrets, redact_secrets
@@ -160,3 +161,20 @@ def test_urls(spark):
     assert rows[3] == rows[4] == rows[5] == ("", "", None, "allow") and rows[8][:2] == ("y:", "//net/")
     assert judge_urls(pages, []).where("verdict = 'allow'").count() == 9
     assert judge_urls(pages.limit(0), rules).count() == 0
+
+
+def test_licenses(spark, odd, none):
+    mit = dict(KNOWN_TEXTS[2:3])["MIT"]
+    docs = spark.createDataFrame([
+        (1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-license") + " --- \n", "a"), (2, "some prose\n  *LICENSED under CC BY-NC 4.0*\nmore", "a"),
+        (3, "Released under the MIT Licence.\nLicensed under the Apache License, Version 2.0.", "a"), (4, None, "a"), (5, " ...\n(c) me", "a"), (6, mit[:-20], "a"),
+        (7, "Released under the MIT License.", "a"), (7, "Released under the MIT License.", "a"),
+    ], "doc_id long, text string, license_id string")
+    rows = find_licenses(docs).collect()
+    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in rows}
+    assert len(rows) == 8 and got == {
+        1: ("MIT", []), 2: (None, ["CC-BY-NC-4.0"]), 3: (None, ["Apache-2.0", "MIT"]), 4: (None, []), 5: (None, []), 6: (None, []), 7: ("MIT", ["MIT"]),
+    }
+    assert {r["doc_id"] for r in rows if r["text_digest"] is None} == {4, 5}
+    assert find_licenses(odd).where("license_id is not null").count() == 0 and find_licenses(none).count() == 0
+    assert find_licenses(docs, docs.select("license_id", "text").limit(0)).where("size(notices) > 0").count() == 0
