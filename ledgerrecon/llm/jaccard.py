@@ -30,7 +30,7 @@ FREQUENT = 1_000_000
 LEAST_COUNT = 3
 BUCKET_BITS = 10
 #: Lists up to this length give all their pairs; longer ones are joined through hubs first.
-SHORT_LIST = 12
+SHORT_LIST = 3
 HUB_ROUNDS = 3
 MAX_MATCH = 4
 RUN_BYTES = 8_000_000
@@ -57,12 +57,15 @@ def ngram_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.nda
     if len(short):
         single = [window_hashes(words[ends[k] : ends[k + 1]], int(counts[k]), 7)[0] for k in short.tolist()]
         grams, owner = np.concatenate([grams, np.array(single, np.uint64)]), np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
+    if len(short):
+        order = np.argsort(owner, kind="stable")
+        grams, owner = grams[order], owner[order]
+    edges = np.searchsorted(owner, np.arange(len(counts) + 1))
+    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        grams[start:end].sort()
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[new], owner[new]
-    return grams, np.searchsorted(owner, np.arange(len(counts) + 1))
+    return grams[new], np.concatenate([[0], np.cumsum(new)])[edges]
 
 
 def digests(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -143,7 +146,7 @@ def frequent_ngrams(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _prefix_rows(size: int, threshold: int, shared):
-    """(n-gram, class, meta) of each prefix; meta packs set size, level of the n-gram and ``l`` of the class."""
+    """(n-gram, class, meta) of each prefix; meta packs set size, place in the order, level of the n-gram and ``l`` of the class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         for _, grams, ends, digest, rows, _ in _sets_of(batches, size, True):
@@ -155,7 +158,8 @@ def _prefix_rows(size: int, threshold: int, shared):
                 place = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                 hit = keys[place] == short
                 often[hit] = counts[place[hit]]
-            order = np.lexsort((grams, often, doc))
+            # within a document the n-grams are sorted already; rare ones come first
+            order = np.argsort((doc << 24) + np.minimum(often, (1 << 24) - 1), kind="stable")
             grams, often = grams[order], often[order]
             spot = np.arange(len(grams)) - ends[:-1][doc]
             base = n - needed(n, threshold) + 1
@@ -168,7 +172,7 @@ def _prefix_rows(size: int, threshold: int, shared):
             ])
             match = np.argmin(cost, axis=0) + 1
             keep = level <= match[doc]
-            meta = (n[doc] << 8) | (level << 4) | match[doc]
+            meta = (n[doc] << 32) | (np.minimum(spot, (1 << 24) - 1) << 8) | (level << 4) | match[doc]
             yield pa.RecordBatch.from_arrays([
                 pa.array(grams[keep].view(np.int64)), pa.array(digest[rows][doc][keep]), pa.array(meta[keep]),
             ], ["gram", "cls", "meta"])
@@ -232,6 +236,9 @@ def _verified(threshold: int):
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; stored."""
+    pairs = stage(pairs, "pairs")
+    needed_sets = stage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
+    sets = sets.join(_small(needed_sets), "cls", "left_semi")
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams")), "b")
     return stage(arrow_map(two.select("a", "b", "a_grams", "b_grams"), _verified(threshold), "a long, b long"), "links")
@@ -270,7 +277,12 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _size(column: str):
-    return F.shiftright(column, 8)
+    return F.shiftright(column, 32)
+
+
+def _small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """Marked for broadcast if it has at most ``limit`` rows of a few numbers; a stored frame."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def similar_documents(
@@ -295,30 +307,44 @@ def similar_documents(
     long_ones = stage(lengths.where(F.col("length") > SHORT_LIST).select("gram"), "long")
     short_lists = entries.join(long_ones, "gram", "left_anti")
     long_lists = stage(entries.join(long_ones, "gram", "left_semi"), "lists")
-    # whole sets of the classes that share a prefix n-gram with another
-    wanted = stage(entries.select("cls").distinct(), "wanted")
-    one_each = classes.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id")).select(F.col("id").alias("_id")).distinct()
-    source = rows.join(one_each, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = arrow_map(source, _set_rows(size), "cls long, grams binary")
-    sets = stage(found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-
     left, right = short_lists.alias("l"), short_lists.alias("r")
     level = lambda meta: F.shiftright(meta, 4).bitwiseAND(F.lit(15))
-    match = lambda meta: F.col(meta).bitwiseAND(F.lit(15))
-    ask = F.least(match("l.meta"), match("r.meta"))
-    met_short = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.cls") < F.col("r.cls"))).where(
-        (level("l.meta") <= ask) & (level("r.meta") <= ask)
-        & (F.lit(100) * F.least(_size("l.meta"), _size("r.meta")) >= F.lit(threshold) * F.greatest(_size("l.meta"), _size("r.meta")))
+    spot = lambda meta: F.shiftright(meta, 8).bitwiseAND(F.lit((1 << 24) - 1))
+    ask = F.least(F.col("l.meta").bitwiseAND(F.lit(15)), F.col("r.meta").bitwiseAND(F.lit(15)))
+    counted = (
+        left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.cls") < F.col("r.cls")))
+        .where(F.lit(100) * F.least(_size("l.meta"), _size("r.meta")) >= F.lit(threshold) * F.greatest(_size("l.meta"), _size("r.meta")))
+        .groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+        .agg(
+            F.count("*").alias("k"), F.sum(((level("l.meta") <= ask) & (level("r.meta") <= ask)).cast("int")).alias("matches"), F.max(ask).alias("ask"),
+            F.max(_size("l.meta")).alias("na"), F.max(_size("r.meta")).alias("nb"), F.max(spot("l.meta")).alias("sa"), F.max(spot("r.meta")).alias("sb"),
+        )
     )
-    pairs = met_short.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).agg(F.count("*").alias("k"), F.max(ask).alias("ask"))
-    links = _verify(pairs.where("k >= ask").select("a", "b"), sets, threshold)
-    rest = long_lists.withColumn("label", F.col("cls"))
+    # after the last n-gram shared in both prefixes no more can be shared than either set has left; a pair that
+    # also shares one in a long list is looked at there
+    bound = F.col("k") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) - 1
+    enough = (F.col("matches") >= F.col("ask")) & ((bound * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold) | (F.greatest("sa", "sb") >= (1 << 24) - 1))
+    tested = stage(counted.where(enough).select("a", "b"), "pairs")
+
+    # whole sets of the classes that are to be compared
+    wanted = stage(tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(long_lists.select("cls")).distinct(), "wanted")
+    each = classes.join(_small(wanted), "cls", "left_semi").groupBy("cls", "id").count()
+    one_each = stage(each.groupBy("cls").agg(F.min(F.struct("id", "count")).alias("one")).select("one.*"), "one-each")
+    ids = stage(one_each.select(F.col("id").alias("_id")).distinct(), "ids")
+    source = rows.join(_small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    found = arrow_map(source, _set_rows(size), "cls long, grams binary").join(_small(wanted), "cls", "left_semi")
+    if one_each.where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["cls"])  # rows are repeated
+    sets = stage(found, "sets")
+
+    links, rest = None, long_lists.withColumn("label", F.col("cls"))
     for turn in range(HUB_ROUNDS):
         hub = rest.groupBy("gram").agg(F.min_by(F.struct("cls", "meta", "label"), F.xxhash64("cls", F.lit(turn))).alias("hub"))
         tried = rest.join(hub, "gram").where("label <> hub.label")
         stars = tried.select(F.col("cls").alias("x"), _size("meta").alias("nx"), F.col("hub.cls").alias("y"), _size("hub.meta").alias("ny"))
-        new = _verify(_ordered_pairs(stars, threshold), sets, threshold)
-        links = links.union(new)
+        pairs = _ordered_pairs(stars, threshold)
+        new = _verify(pairs if links is not None else pairs.union(tested).distinct(), sets, threshold)
+        links = new if links is None else links.union(new)
         labels = components(links)
         rest = stage(_labelled(long_lists, labels), "open")
         if not rest.limit(1).count():
