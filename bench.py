@@ -34,6 +34,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/orders.parquet").write.format("noop").mode("overwrite").save()
+    QUERIES[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # code is compiled before times count
     seconds = {}
     for name in names:
         runs = []
