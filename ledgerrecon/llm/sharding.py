@@ -10,6 +10,7 @@ split finer until both bounds meet.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -169,31 +170,25 @@ def find_cuts(groups: DataFrame, shards: int) -> list[int]:
         lower, upper = smallest_capacity(runs, shards)
         if lower == upper or runs.single.all():
             break
-        spans = [(a, b) for a, b in _windows(runs, lower, upper, shards)]
-        inside = np.zeros(len(rows), bool)
-        for a, b in spans:
-            inside |= (runs.start < b + 1) & (runs.start + runs.size > a)
-        inside &= ~runs.single
-        if not inside.any():
+        inside, ranges = np.zeros(len(rows), bool), []
+        for a, b in _windows(runs, lower, upper, shards):
+            own = (runs.start <= b) & (runs.start + runs.size > a)
+            if (own & ~runs.single).any():
+                ranges.append((int(runs.start[own][0]), int((runs.start + runs.size)[own][-1])))
+                inside |= own
+        hidden = int(runs.size[inside & ~runs.single].sum())
+        if not hidden:
             break
-        hidden = int(runs.size[inside].sum())
         finer = max(1, hidden // wanted)
         if finer > width // 2:
             finer = max(1, width // 2)
             if hidden // finer > LOOSE * wanted:
                 break  # too much is undecided to look at finer: the upper bound is feasible
         width = finer
-        edges = [(int(a), int(a + z)) for a, z in zip(runs.start[inside], runs.size[inside])]
-        joined: list[list[int]] = []
-        for a, b in edges:
-            if joined and joined[-1][1] == a:
-                joined[-1][1] = b
-            else:
-                joined.append([a, b])
-        ranges = groups.sparkSession.createDataFrame(joined, "low long, high long")
-        # at most RESOLUTION ranges, each with the groups that begin in it
-        part = groups.join(F.broadcast(ranges), (F.col("start") >= F.col("low")) & (F.col("start") < F.col("high")), "left_semi")
-        rows = sorted([r for r, gone in zip(rows, inside) if not gone] + _summed(part, width))
+        # one range for each shard at most
+        within = [(F.col("start") >= low) & (F.col("start") < high) for low, high in ranges]
+        part = groups.where(reduce(lambda x, y: x | y, within))
+        rows = sorted({*(r for r, gone in zip(rows, inside) if not gone), *_summed(part, width)})
     runs = _runs(rows)
     return even_cuts(runs, smallest_capacity(runs, shards)[1], shards)
 
