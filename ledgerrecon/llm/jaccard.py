@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerrecon.llm.common import arrow_map, binary_list, hashed_words, mixed, stage, text_runs, window_hashes
 
 #: Frequent n-grams whose counts all tasks get (16 bytes each): bounds the broadcast, not the result.
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 #: N-grams counted at least so often are candidates for that table.
 LEAST_COUNT = 3
 BUCKET_BITS = 10
@@ -33,7 +33,7 @@ BUCKET_BITS = 10
 SHORT_LIST = 3
 HUB_ROUNDS = 3
 MAX_MATCH = 4
-RUN_BYTES = 8_000_000
+RUN_BYTES = 4_000_000
 
 
 def needed(n, threshold: int):
@@ -280,6 +280,11 @@ def _size(column: str):
     return F.shiftright(column, 32)
 
 
+def _spot(column: str):
+    """Place of the n-gram in its class's order; the last one it can hold for sets beyond 16 million."""
+    return F.shiftright(column, 8).bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def _small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
     """Marked for broadcast if it has at most ``limit`` rows of a few numbers; a stored frame."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -305,11 +310,11 @@ def similar_documents(
     entries = stage(arrow_map(met, _shared_only, "gram long, cls long, meta long"), "entries")
     lengths = entries.groupBy("gram").agg(F.count("*").alias("length"))
     long_ones = stage(lengths.where(F.col("length") > SHORT_LIST).select("gram"), "long")
-    short_lists = entries.join(long_ones, "gram", "left_anti")
     long_lists = stage(entries.join(long_ones, "gram", "left_semi"), "lists")
+    in_long = long_lists.groupBy("cls").agg(F.count("*").alias("hidden"))
+    short_lists = entries.join(long_ones, "gram", "left_anti").join(in_long, "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
     left, right = short_lists.alias("l"), short_lists.alias("r")
     level = lambda meta: F.shiftright(meta, 4).bitwiseAND(F.lit(15))
-    spot = lambda meta: F.shiftright(meta, 8).bitwiseAND(F.lit((1 << 24) - 1))
     ask = F.least(F.col("l.meta").bitwiseAND(F.lit(15)), F.col("r.meta").bitwiseAND(F.lit(15)))
     counted = (
         left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.cls") < F.col("r.cls")))
@@ -317,13 +322,13 @@ def similar_documents(
         .groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
         .agg(
             F.count("*").alias("k"), F.sum(((level("l.meta") <= ask) & (level("r.meta") <= ask)).cast("int")).alias("matches"), F.max(ask).alias("ask"),
-            F.max(_size("l.meta")).alias("na"), F.max(_size("r.meta")).alias("nb"), F.max(spot("l.meta")).alias("sa"), F.max(spot("r.meta")).alias("sb"),
+            F.max(_size("l.meta")).alias("na"), F.max(_size("r.meta")).alias("nb"), F.max(_spot("l.meta")).alias("sa"), F.max(_spot("r.meta")).alias("sb"), F.least(F.max("l.hidden"), F.max("r.hidden")).alias("hidden"),
         )
     )
-    # after the last n-gram shared in both prefixes no more can be shared than either set has left; a pair that
-    # also shares one in a long list is looked at there
-    bound = F.col("k") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) - 1
-    enough = (F.col("matches") >= F.col("ask")) & ((bound * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold) | (F.greatest("sa", "sb") >= (1 << 24) - 1))
+    # after the last n-gram shared in both prefixes no more can be shared than either set has left; what the two
+    # may share in long lists besides is not in these counts and is allowed for
+    bound = F.col("k") + F.col("hidden") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) - 1
+    enough = (F.col("matches") + F.col("hidden") >= F.col("ask")) & (bound * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold)
     tested = stage(counted.where(enough).select("a", "b"), "pairs")
 
     # whole sets of the classes that are to be compared
@@ -354,7 +359,12 @@ def similar_documents(
     marked = rest.join(main, "gram")
     strays = marked.where("label <> main").select("gram", F.col("cls").alias("x"), F.col("meta").alias("mx"), F.col("label").alias("lx"))
     others = marked.select(F.col("gram").alias("g"), F.col("cls").alias("y"), F.col("meta").alias("my"), F.col("label").alias("ly"), "main")
-    apart = strays.join(others, (F.col("gram") == F.col("g")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))))
+    # a pair comes up at the first n-gram it shares: from there on both sets must have enough left
+    left_over = F.least(_size("mx") - _spot("mx"), _size("my") - _spot("my"))
+    apart = strays.join(others, (
+        (F.col("gram") == F.col("g")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y")))
+        & (left_over * (100 + threshold) >= (_size("mx") + _size("my")) * threshold)
+    ))
     last = _ordered_pairs(apart.select("x", _size("mx").alias("nx"), "y", _size("my").alias("ny")), threshold)
     labels = components(links.union(_verify(last, sets, threshold)))
 
