@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ledgerrecon.session import shared_path
 
 #: Words kept with their hashes by each Python worker.
-WORD_CACHE = 400_000
+WORD_CACHE = 120_000
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

@@ -344,7 +344,9 @@ def similar_documents(
 
     links, rest = None, long_lists.withColumn("label", F.col("cls"))
     for turn in range(HUB_ROUNDS):
-        hub = rest.groupBy("gram").agg(F.min_by(F.struct("cls", "meta", "label"), F.xxhash64("cls", F.lit(turn))).alias("hub"))
+        # first the member with the fewest rare n-grams before this one, which is the least changed copy; then any
+        rank = F.struct(_spot("meta") if turn == 0 else F.lit(0), F.xxhash64("cls", F.lit(turn)))
+        hub = rest.groupBy("gram").agg(F.min_by(F.struct("cls", "meta", "label"), rank).alias("hub"))
         tried = rest.join(hub, "gram").where("label <> hub.label")
         stars = tried.select(F.col("cls").alias("x"), _size("meta").alias("nx"), F.col("hub.cls").alias("y"), _size("hub.meta").alias("ny"))
         pairs = _ordered_pairs(stars, threshold)

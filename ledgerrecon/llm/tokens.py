@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Pieces kept with their ids by each Python worker.
-PIECES = 600_000
+PIECES = 300_000
 #: Bytes of new pieces encoded in one call.
 CALL_BYTES = 60_000
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
