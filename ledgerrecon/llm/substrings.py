@@ -158,7 +158,10 @@ def _window_rows(length: int, done: list[int]):
             first = np.ones(len(order), bool)
             first[1:] = best[order][1:] != best[order][:-1]
             lead = order[first]
-            rest = np.sort(order[~first])  # in order of documents and beginnings
+            # a repeated row has the same windows at the same places: none of these starts earlier
+            held = lead[np.cumsum(first) - 1]
+            tied = (ids[order] == ids[held]) & (keys[order] == keys[held]) & (start[order] == start[held])
+            rest = np.sort(order[~tied])  # in order of documents and beginnings
             edge = np.ones(len(rest), bool)
             edge[1:] = (at[rest][1:] != at[rest][:-1] + 1) | (doc[rest][1:] != doc[rest][:-1])
             heads = rest[edge]
@@ -175,16 +178,20 @@ def _window_rows(length: int, done: list[int]):
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by (salt, hash, id, key, start): all but the first of each hash; salted runs as they are."""
-    last = None
+    """Of windows sorted by (salt, hash, id, key, start): those that start later than the first of their hash; salted runs as they are."""
+    head = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        hashes, salts = batch.column("hash").to_numpy(), batch.column("salt").to_numpy()
-        keep = salts > 0
-        keep[1:] |= (hashes[1:] == hashes[:-1]) & (salts[1:] == salts[:-1])
-        keep[0] |= last == (hashes[0], salts[0])
-        last = (hashes[-1], salts[-1])
+        salts = batch.column("salt").to_numpy()
+        rows = np.stack([salts.astype(np.int64), *(batch.column(c).to_numpy() for c in ("hash", "id", "key", "start"))])
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+        new[0] = head is None or (head[:2] != rows[:2, 0]).any()
+        group = np.cumsum(new)  # 0: the hash the batch before ended with
+        heads = np.concatenate([(rows[:, :1] if head is None else head[:, None]), rows[:, new]], axis=1)
+        keep = (salts > 0) | (rows[2:] != heads[2:, group]).any(axis=0)
+        head = heads[:, -1]
         yield batch.select(["key", "start", "size"]).filter(pa.array(keep))
 
 
@@ -195,8 +202,8 @@ def remove_repeats(
 
     A word goes if a window of ``length`` words over it also starts earlier: at a smaller id (NULL
     before all), or earlier in the same document; all windows are judged on the input. Rows with the
-    same id count in the order of a hash of their text; rows with the same id and text are one document,
-    and each of them gets the same result. NULL, empty and short texts have no windows and lose nothing.
+    same id count in the order of a hash of their text; rows with the same id and text are one document:
+    they do not count as repeats of each other, and each of them gets the same result. NULL, empty and short texts have no windows and lose nothing.
     Columns of the names added here are replaced, all others pass through.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")

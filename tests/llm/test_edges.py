@@ -129,6 +129,19 @@ def test_substrings(spark, odd, none):
     assert remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substrings_of_repeated_rows(spark, parts):
+    alone = " ".join(f"alone{i}" for i in range(60))
+    twice = " ".join([*(f"twice{i}" for i in range(30)), "between", *(f"twice{i}" for i in range(30))])
+    rows = [(4, alone)] * 3 + [(None, PROSE)] * 2 + [(7, PROSE)] * 2 + [(8, twice)] * 2 + [(9, "x " + alone)]
+    got = remove_repeats(frame(spark, rows).repartition(parts, F.rand(1))).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [
+        (0, 60, 0), (0, 60, 0), (4, 60, 0), (4, 60, 0), (4, 60, 0), (7, 60, 60), (7, 60, 60), (8, 61, 30), (8, 61, 30), (9, 61, 60),
+    ]
+    assert {r["kept_text"] for r in got if r["doc_id"] == 4} == {alone}
+    assert {r["kept_text"] for r in got if r["doc_id"] == 8} == {" ".join(twice.split()[:31])}
+
+
 def test_secrets(spark, odd, none):
     docs = odd.withColumn("text", F.when(F.col("doc_id") == 7, F.concat(F.lit("é 𝄞 password = '"), F.lit("hunter22' AKIA"), F.lit("ABCDEFGH23456789"))).otherwise(F.col("text")))
     rows = find_secrets(docs).where("size(spans) > 0").collect()
