@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import rows_of, stage, tokenizer_path
+from ledgerrecon.llm.common import rows_of, set_aside, stage, tokenizer_path
 from ledgerrecon.llm.decontaminate import cut_passages
 from ledgerrecon.llm.jaccard import similar_documents
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
@@ -15,17 +15,39 @@ from ledgerrecon.llm.secrets import redact_secrets
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or fall under a learned rule go; the labels are those of the corpus."""
+    docs, originals = set_aside(docs, (*COUNTS, "base_failed", "rule", "kept"))
     judged, _ = judge(docs, rows_of(spark, sf_dir, "labels"))
-    added = [c for c in (*COUNTS, "base_failed", "rule", "kept") if c not in docs.columns]
-    return judged.where("kept").drop(*added).select(*docs.columns)
+    return judged.where("kept").select(*originals)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at 0.75, the one with the smallest id stays; without a set, all stay."""
-    found = similar_documents(docs, size=5, threshold=75)
-    keep = found.where("n_shingles = 0 OR id = component_id").select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return kept.select(*docs.columns)
+    """Of documents that five-word shingles link at 0.75 one row stays; without a set, all stay.
+
+    The keeper is the row with the smallest (id with NULL last, hash of the text, hash of all columns); of rows
+    equal in all of these any one. Documents that nothing links to stay, also without an id.
+    """
+    docs, originals = set_aside(docs, ("_row", "_text", "_keeper", "_copies"))
+    # maps have no hash
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # NULLs are skipped by the hash, so what is NULL counts by itself
+    row = F.xxhash64(*hashed, *(c.isNull() for c in hashed)).alias("_row")
+    rows = docs.select("*", row)
+    found = similar_documents(rows.select("_row", "text"), size=5, threshold=75, id_col="_row")
+    # rows equal in all columns have one key, and so one component
+    linked = found.groupBy(F.col("id").alias("_keeper")).agg(
+        F.max("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("_copies"))
+    ids = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).dropDuplicates(["_row"])
+    placed = linked.join(ids, F.col("_keeper") == F.col("_row"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
+    single = placed.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(rank.alias("rank"), "_copies")).alias("first"))
+    keep = stage(
+        single.select(F.col("first.rank._row").alias("_keeper"), F.col("first._copies").alias("_copies"))
+        .union(linked.where("n_shingles = 0").select("_keeper", F.lit(1).cast("long"))), "keepers")
+    kept = rows.join(keep.where("_copies = 1"), F.col("_row") == F.col("_keeper"), "left_semi")
+    if keep.where("_copies > 1").limit(1).count():
+        several = rows.join(keep.where("_copies > 1"), F.col("_row") == F.col("_keeper"), "left_semi")
+        kept = kept.union(several.dropDuplicates(["_row"]))
+    return kept.select(*originals)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +57,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; all documents stay."""
-    return redact_secrets(docs)
+    docs, originals = set_aside(docs, ("base_spans", "spans", "_candidates", "_cut"))
+    return redact_secrets(docs).select(*originals)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids: one row for each piece, with its ids and its place."""
-    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
+    pieces = token_pieces(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
     packed = assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

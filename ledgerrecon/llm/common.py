@@ -127,6 +127,19 @@ def text_runs(batches: Iterator[pa.RecordBatch], limit: int = 2_000_000) -> Iter
                 yield batch.slice(start, end - start)
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns of these names under private ones, and what selects all its columns as they were."""
+    taken, moved = {c.lower() for c in docs.columns}, {}
+    for name in docs.columns:
+        if name.lower() in names:
+            private = f"_own_{name}"
+            while private.lower() in taken:
+                private = f"_{private}"
+            taken.add(private.lower())
+            moved[name] = private
+    return docs.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

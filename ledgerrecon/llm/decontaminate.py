@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerrecon.llm.common import arrow_map
+from ledgerrecon.llm.common import arrow_map, set_aside
 
 #: Words of benchmark items in one automaton, and so the bound on what an executor is sent.
 BLOCK_WORDS = 100_000
@@ -258,11 +258,13 @@ def cut_passages(
     A cut can bring the two ends of an item together; a cut text is therefore judged again until
     nothing is hit. Documents without hits keep their text byte for byte; NULL texts stay. A text
     that was cut leaves no words goes too. ``n_chars``, where there is one, follows the text.
+    All other columns pass through, whatever their names.
     """
+    names, types = docs.columns, docs.schema
+    docs, originals = set_aside(docs, ("n_words", "hit_runs", "hit_items"))
     found = find_passages(docs, benchmark, window, text_col, item_col, item_text_col)
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
     kept = found.where(n_hit <= max_coverage * F.col("n_words"))
-    names = [f.name for f in docs.schema.fields]
     dirty = F.size("hit_runs") > 0
     blocks = [(block, window) for block in _blocks(benchmark, item_col, item_text_col)]
     sc = docs.sparkSession.sparkContext
@@ -291,8 +293,8 @@ def cut_passages(
     cut = arrow_map(kept.drop("n_words", "hit_items"), run, schema)
     cut = cut.where(~dirty | F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     if "n_chars" in names:
-        cut = cut.withColumn("n_chars", F.when(dirty, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*names)
+        cut = cut.withColumn("n_chars", F.when(dirty, F.length(text_col)).otherwise(F.col("n_chars")).cast(types["n_chars"].dataType))
+    return cut.select(*originals)
 
 
 def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
