@@ -1,6 +1,6 @@
 """License scans: digests of canonical texts, looked up among those of known licence texts.
 
-A text is made canonical: lower case, copyright lines out, equivalent spellings as one, all
+A text is made canonical: lower case, lines that name an owner or a year out, equivalent spellings as one, all
 punctuation and white space as single spaces. Equal canonical texts have equal digests, so the whole
 text of a document is found by a hash join with the known ones. Each line of a document is a text
 of its own as well, which finds the one-line notices that stand in other prose.
@@ -8,6 +8,8 @@ of its own as well, which finds the one-line notices that stand in other prose.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,13 @@ SPELLINGS = (
     ("favour", "favor"), ("honour", "honor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
     ("whilst", "while"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
 )
-#: Fixed value: lines that name owners and years.
+#: Fixed value: lines that name owners and years. A line of the body that wraps before 'copyright' is none, nor is an
+#: item '(c)' of a list, which stands after a semicolon.
+OWNER_LINE = (
+    r"(?m)^[ \t]*(?:copyright[ \t]*:?[ \t]*(?:(?:\(c\)|©)(?![ \t]*<)|\[|[12][0-9]{3})"
+    r"|(?<!;\s{0,9}(?:and|or)?\s{0,40})\(c\)(?![ \t]*<)|©|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+)
+#: The lines that the SQL leaves out. Of the given tables it leaves out the same.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 #: Known texts a scan holds in one value for lines, at most; a longer list is an error.
 MAX_NOTICES = 10_000
@@ -66,12 +74,55 @@ KNOWN_TEXTS = (
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
 )
 
+_TEXTS = Path(__file__).parent / "license_texts"
+_CLAUSES = (
+    """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.""",
+    """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.""",
+    """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.""",
+)
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT {} OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole licences besides those of ``KNOWN_TEXTS``, in the forms they are usually kept in. Read on the driver."""
+    out = []
+    for clauses, title in ((2, "BSD 2-Clause License\n"), (3, "BSD 3-Clause License\n")):
+        for head in ("", title):
+            for numbered in (True, False):
+                items = "\n".join(f"{k}. {x}" if numbered else f"* {x}" for k, x in enumerate(_CLAUSES[:clauses], 1))
+                for first, second in (("HOLDERS", "HOLDER"), ("HOLDER", "HOLDER"), ("HOLDERS", "HOLDERS")):
+                    out.append((f"BSD-{clauses}-Clause", head + _BSD.format(items, first, second)))
+    for name, rest in (("Apache-2.0", "END OF TERMS AND CONDITIONS"), ("GPL-3.0", "END OF TERMS AND CONDITIONS"), ("CC0-1.0", None)):
+        text = (_TEXTS / f"{name}.txt").read_text("utf-8")
+        forms = [text]
+        if rest:
+            body = text[: text.index(rest)]
+            forms += [body, body + rest]
+        else:
+            forms.append(text[text.index("CC0 1.0 Universal") :])
+        out += [(name, form.replace("https://", scheme).replace("http://", scheme)) for form in forms for scheme in ("http://", "https://")]
+    return out
+
 
 def _lines(text: Column) -> Column:
     """Canonical but for line breaks."""
-    out = F.regexp_replace(F.lower(text), F.lit(COPYRIGHT_LINE), F.lit(""))
+    out = F.regexp_replace(F.lower(text), F.lit(OWNER_LINE), F.lit(""))
     for other, kept in SPELLINGS:
-        out = F.replace(out, F.lit(other), F.lit(kept))
+        if " " in other or "-" in other:  # may be wrapped there; the white space stays
+            pattern = other.replace(" ", r"(\s+)").replace("-", r"-(\s*)")
+            out = F.regexp_replace(out, F.lit(pattern), F.lit(kept.replace(" ", "$1") if " " in kept else kept + "$1"))
+        else:
+            out = F.replace(out, F.lit(other), F.lit(kept))
     return F.regexp_replace(out, F.lit(r"[^\p{L}\p{N}\n]+"), F.lit(" "))
 
 
@@ -90,7 +141,7 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def default_texts(docs: DataFrame) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in KNOWN_TEXTS))
+    rows = F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(b).alias("text")) for a, b in (*KNOWN_TEXTS, *whole_texts())))
     return docs.sparkSession.range(1).select(F.inline(rows))
 
 

@@ -1,12 +1,15 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import re
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import tokenizer_path
 from ledgerrecon.llm.decontaminate import cut_passages, find_passages
 from ledgerrecon.llm.jaccard import similar_documents
-from ledgerrecon.llm.licenses import KNOWN_TEXTS, find_licenses
+from ledgerrecon.llm.licenses import KNOWN_TEXTS, find_licenses, whole_texts
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
 from ledgerrecon.llm.secrets import find_secrets, redact_secrets
@@ -191,3 +194,26 @@ def test_licenses(spark, odd, none):
     assert {r["doc_id"] for r in rows if r["text_digest"] is None} == {4, 5}
     assert find_licenses(odd).where("license_id is not null").count() == 0 and find_licenses(none).count() == 0
     assert find_licenses(docs, docs.select("license_id", "text").limit(0)).where("size(notices) > 0").count() == 0
+
+
+def rewrapped(text, width):
+    """Paragraphs and list items filled anew; lines that name the owner stay lines."""
+    parts = re.split(r"(\n[ \t]*\n|\n(?=[ \t]*(?:\d\.|\*|\([a-z]\)) )|(?<=\n)[ \t]*Copyright (?:\(C\) 2|\[)[^\n]*\n)", text)
+    return "".join(x if k % 2 else "\n" * (k > 0) + textwrap.fill(" ".join(x.split()), width, break_long_words=False, break_on_hyphens=False) for k, x in enumerate(parts))
+
+
+def test_licenses_however_wrapped(spark):
+    texts = [(name, text) for name, text in (*KNOWN_TEXTS, *whole_texts()) if len(text) > 400]
+    assert {name for name, _ in texts} == {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "CC0-1.0"}
+    rows = [(f"{name} {k} {width}", name, "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + rewrapped(text, width))
+            for k, (name, text) in enumerate(texts) for width in (40, 60, 64, 68, 72, 76, 80, 100, 120)]
+    docs = spark.createDataFrame(rows, "key string, name string, text string").repartition(4)
+    missed = find_licenses(docs, keep_text=False).where("license_id is null or license_id <> name").select("key").collect()
+    assert [r["key"] for r in missed] == []
+
+
+def test_licenses_of_wrapped_isc(spark):
+    isc = next(text for name, text in KNOWN_TEXTS if name == "ISC" and text.startswith("Permission"))
+    wrapped = isc.replace("\n", " ").replace("above copyright", "above\ncopyright").replace("all copies. ", "all copies.\n\n")
+    docs = spark.createDataFrame([(1, "Copyright 2019 Me <me@x.org>\n\n" + wrapped)], "doc_id long, text string")
+    assert [r["license_id"] for r in find_licenses(docs).collect()] == ["ISC"]
