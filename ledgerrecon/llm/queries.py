@@ -15,6 +15,7 @@ from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
 from ledgerrecon.llm.secrets import find_secrets, span_text
 from ledgerrecon.llm.sharding import shard_by_size
+from ledgerrecon.llm.spelling import count_words, group_variants
 from ledgerrecon.llm.substrings import remove_repeats
 from ledgerrecon.llm.token_files import read_tokens, write_tokens
 from ledgerrecon.llm.urls import judge_urls, site_rule, word_rule
@@ -108,6 +109,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(rows_of(spark, sf_dir, "documents"), min_length=7, min_count=2, drop_every=31)
+    return group_variants(words, factor=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -119,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
