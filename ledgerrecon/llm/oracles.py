@@ -62,6 +62,30 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS component_id FROM c GROUP BY 1) m USING (doc_id)
+""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*)::BIGINT AS n_all, sum(len(w))::BIGINT AS l_all FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+q AS (
+  SELECT item_id, t, count(*) AS reps FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark) GROUP BY 1, 2),
+f AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM p GROUP BY 1), s),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_all) // l_all AS m FROM d, s WHERE len(w) > 0),
+x AS (
+  SELECT item_id, r, CAST(sum(reps * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY 1, 2),
+k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+  FROM x JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
 """,
     "op9_url_filters": r"""
 WITH u AS (

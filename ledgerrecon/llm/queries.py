@@ -13,6 +13,7 @@ from ledgerrecon.llm.jaccard import similar_documents
 from ledgerrecon.llm.licenses import find_licenses
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
 from ledgerrecon.llm.quality import judge
+from ledgerrecon.llm.search import ranked_search
 from ledgerrecon.llm.secrets import find_secrets, span_text
 from ledgerrecon.llm.sharding import shard_by_size
 from ledgerrecon.llm.spelling import count_words, group_variants
@@ -109,6 +110,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search(docs, rows_of(spark, sf_dir, "benchmark"), k=20).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = count_words(rows_of(spark, sf_dir, "documents"), min_length=7, min_count=2, drop_every=31)
     return group_variants(words, factor=10).select("word", "form", "root", "n", "n_near", "form_n")
@@ -125,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
+    "op12_ranked_search": op12_ranked_search,
     "op13_spelling_variants": op13_spelling_variants,
 }
