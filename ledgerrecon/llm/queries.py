@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import rows_of, tokenizer_path
 from ledgerrecon.llm.decontaminate import find_passages
+from ledgerrecon.llm.html_text import extract_main_text
 from ledgerrecon.llm.jaccard import similar_documents
 from ledgerrecon.llm.licenses import find_licenses
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
@@ -110,6 +111,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(rows_of(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
     return ranked_search(docs, rows_of(spark, sf_dir, "benchmark"), k=20).select("item_id", "rank", "doc_id", "score")
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_token_files": op10_token_files,
+    "op11_html_extraction": op11_html_extraction,
     "op12_ranked_search": op12_ranked_search,
     "op13_spelling_variants": op13_spelling_variants,
 }
