@@ -26,6 +26,7 @@ from ledgerrecon.functions import AMOUNT_SCALE, amount, column_type, key_part, n
 from ledgerrecon.functions.refs import require
 from ledgerrecon.labels import REVERSAL_FLAG, REVERSAL_GROUP, REVERSAL_STATUS
 from ledgerrecon.operators.groups import HOT, HOT_ROWS, SLAB_ROWS, SPREAD, attach_group, complete_key, spread_of
+from ledgerrecon.operators.ranks import sums_within
 
 KEYS = ("__low__", "__high__", "__units__", "__nanos__")
 NANOS = 1_000_000_000
@@ -132,9 +133,12 @@ def reversal_rows(df: DataFrame, config: ReversalConfig, ordinal: str = "row_ind
     """Rows that have partners: their group, their side in it and how many partners.
 
     With ``reversal_pairs`` this says which rows pair, at a size that grows with the
-    rows and not with the pairs.
+    rows and not with the pairs. With a tolerance wider than one billionth the level of a
+    row is its own, and its partners' levels are at most the tolerance away.
     """
     require(df, ordinal)
+    if config.tolerance > UNIT:
+        return _rows_within(df, config, ordinal, hot_rows, slab_rows)
     sided = _sided(df, config).select(ref(ordinal), *KEYS, "__level__", "__side__").where(F.col("__low__").isNotNull())
     facts = attach_group(sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", ordinal, hot_rows, slab_rows)
     return facts.withColumn("partners", _partners()).where(F.col("partners") > 0).select(
@@ -143,6 +147,19 @@ def reversal_rows(df: DataFrame, config: ReversalConfig, ordinal: str = "row_ind
     )
 
 
+def _rows_within(df: DataFrame, config: ReversalConfig, ordinal: str, hot_rows: int, slab_rows: int) -> DataFrame:
+    keys = ("__low__", "__high__", "__x__")
+    base, places = _partners_within(_sided(df, config).where(F.col("__low__").isNotNull()), config)
+    groups = places.withColumns({SPREAD: spread_of(keys), "__n__": F.col("n0") + F.col("n1")})
+    rows = base.select(ref(ordinal), *keys, "__side__")
+    found = attach_group(rows, groups, keys, ("within_n0", "within_n1"), "__n__", ordinal, hot_rows, slab_rows)
+    partners = F.when(F.col("__side__") == 0, F.col("within_n1")).otherwise(F.col("within_n0")) - _itself(config)
+    return found.withColumn("partners", partners).where(F.col("partners") > 0).select(
+        ref(ordinal), F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__x__").cast("double").alias("level"),
+        F.col("__side__").alias("side"), "partners",
+    )
+
+
 def reversal_pairs_one_to_one(df: DataFrame, config: ReversalConfig, ordinal: str = "row_index",
                               hot_rows: int = HOT_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """Pairs (row_i, row_j) where each row is used once, first come first served.
@@ -189,6 +206,78 @@ def _matched_one_to_one(sided: DataFrame, ordinal: str, hot_rows: int, slab_rows
     return sided.join(used, ordinal, "left").withColumn("__hit__", F.col("__used__").isNotNull()).drop("__used__")
 
 
+def _limit(config: ReversalConfig) -> Decimal:
+    """The tolerance in whole billionths."""
+    return Decimal(int(config.tolerance / UNIT + 1e-6)).scaleb(-AMOUNT_SCALE)
+
+
+def _on_a_line(sided: DataFrame, config: ReversalConfig) -> tuple[DataFrame, Column]:
+    """Rows with their place ``__x__`` as an exact level, and where they stand: (side, x).
+
+    Two rows of a group reverse each other if they stand on opposite sides at most the tolerance apart.
+    Rows whose two keys are equal stand on both sides of their group.
+    """
+    same_keys = F.col("__low__") == F.col("__high__")
+    value = amount(ref(config.value_column), column_type(sided, config.value_column)).cast(LEVEL)
+    base = sided.withColumn("__x__", value).withColumns({
+        "__x__": F.when((F.col("__side__") == 1) & ~same_keys, -F.col("__x__")).otherwise(F.col("__x__")).cast(LEVEL),
+        "__side__": F.when(same_keys, F.lit(0)).otherwise(F.col("__side__")),
+    })
+    entry = lambda side, x: F.struct(side.alias("side"), x.alias("x"))
+    stands = F.when(
+        same_keys, F.array(entry(F.lit(0), F.col("__x__")), entry(F.lit(1), (-F.col("__x__")).cast(LEVEL)))
+    ).otherwise(F.array(entry(F.col("__side__"), F.col("__x__"))))
+    return base, stands
+
+
+def _partners_within(sided: DataFrame, config: ReversalConfig) -> tuple[DataFrame, DataFrame]:
+    """Rows on their line, and per (low, high, x) how many rows stand there and how many within the tolerance, by side."""
+    base, stands = _on_a_line(sided, config)
+    places = (
+        base.where(complete_key(("__low__", "__high__"))).select("__low__", "__high__", F.inline(stands))
+        .groupBy("__low__", "__high__", F.col("x").alias("__x__"))
+        .agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    )
+    return base, sums_within(places, ("__low__", "__high__"), "__x__", ("n0", "n1"), _limit(config))
+
+
+def _itself(config: ReversalConfig) -> Column:
+    """1 where a row whose two keys are equal is its own partner, which does not count."""
+    return ((F.col("__low__") == F.col("__high__")) & (F.abs(F.col("__x__")) * 2 <= F.lit(_limit(config)))).cast("int")
+
+
+def reversal_pairs_within(df: DataFrame, config: ReversalConfig) -> DataFrame:
+    """All pairs at any tolerance, run-length encoded: one row per (low, high, level) whose forward rows have partners.
+
+    ``rows_forward`` rows read (low, high, level) and each of them pairs with the same ``partners`` mirrored
+    rows, whose levels are at most the tolerance away; ``pairs`` of all rows add up to the pairs there are.
+    With equal keys every row is forward and pairs are found from both ends, so a row counts half of them.
+    """
+    _, places = _partners_within(_sided(df, config), config)
+    own = F.col("n0").cast("decimal(19,0)")
+    partners = (F.col("within_n1") - _itself(config)).alias("partners")
+    whole = own * (F.col("within_n1") - _itself(config))
+    pairs = F.when(F.col("__low__") == F.col("__high__"), (whole / 2).cast("decimal(38,1)")).otherwise(whole.cast("decimal(38,1)"))
+    return places.select(
+        F.col("__low__").alias("low"), F.col("__high__").alias("high"), F.col("__x__").cast("double").alias("level"),
+        F.col("n0").alias("rows_forward"), partners, pairs.alias("pairs"),
+    ).where((F.col("rows_forward") > 0) & (F.col("partners") > 0))
+
+
+def _counts_within(df: DataFrame, config: ReversalConfig) -> DataFrame:
+    _, places = _partners_within(_sided(df, config), config)
+    same_keys = F.col("__low__") == F.col("__high__")
+    forward = F.col("within_n1") - _itself(config)
+    wide = lambda c: c.cast("decimal(38,0)")
+    pairs = F.sum(F.when(~same_keys, wide(F.col("n0")) * F.col("within_n1")))
+    half = F.sum(F.when(same_keys, wide(F.col("n0")) * forward))
+    marked = F.when(forward > 0, F.col("n0")).otherwise(0) + F.when(~same_keys & (F.col("within_n0") > 0), F.col("n1")).otherwise(0)
+    return places.agg(
+        # from both ends each pair of equal keys is counted twice
+        (F.coalesce(pairs, F.lit(0)) + (F.coalesce(half, F.lit(0)) / 2).cast("decimal(38,0)")).cast("decimal(38,0)").alias("reversals"),
+        F.coalesce(F.sum(marked), F.lit(0)).alias("rows_marked"))
+
+
 def _matched_within(sided: DataFrame, df: DataFrame, config: ReversalConfig, ordinal: str,
                     hot_rows: int, slab_rows: int) -> DataFrame:
     """Rows with a partner whose value is off by at most a tolerance wider than one unit.
@@ -198,7 +287,7 @@ def _matched_within(sided: DataFrame, df: DataFrame, config: ReversalConfig, ord
     do, and in a neighbouring bucket the nearest level decides. So counts and
     extremes per bucket are enough and no pair is ever built.
     """
-    limit = Decimal(int(config.tolerance / UNIT + 1e-6)).scaleb(-AMOUNT_SCALE)
+    limit = _limit(config)
     width = limit + Decimal(1).scaleb(-AMOUNT_SCALE)
     keys = ("__low__", "__high__", "__bucket__")
     same_keys = F.col("__low__") == F.col("__high__")
@@ -207,16 +296,7 @@ def _matched_within(sided: DataFrame, df: DataFrame, config: ReversalConfig, ord
         shifted = x.cast("decimal(30,10)") + F.lit(width / 2)
         return (shifted - F.pmod(shifted, F.lit(width))).cast(LEVEL)
 
-    # rows whose two keys are equal stand on both sides of their group
-    value = amount(ref(config.value_column), column_type(df, config.value_column)).cast(LEVEL)
-    base = sided.withColumn("__x__", value).withColumns({
-        "__x__": F.when((F.col("__side__") == 1) & ~same_keys, -F.col("__x__")).otherwise(F.col("__x__")),
-        "__side__": F.when(same_keys, F.lit(0)).otherwise(F.col("__side__")),
-    })
-    entry = lambda side, x: F.struct(side.alias("side"), x.alias("x"))
-    stands = F.when(
-        same_keys, F.array(entry(F.lit(0), F.col("__x__")), entry(F.lit(1), (-F.col("__x__")).cast(LEVEL)))
-    ).otherwise(F.array(entry(F.col("__side__"), F.col("__x__"))))
+    base, stands = _on_a_line(sided, config)
     cells = (
         base.where(complete_key(keys[:2]))
         .select("__low__", "__high__", F.inline(stands))
@@ -304,7 +384,7 @@ def reversal_counts(df: DataFrame, config: ReversalConfig, ordinal: str = "row_i
         pairs = reversal_pairs_one_to_one(df, config, ordinal)
         return pairs.agg(F.count("*").alias("reversals"), (F.count("*") * 2).alias("rows_marked"))
     if config.tolerance > UNIT:
-        raise ValueError("pairs are counted at nine places; with a wider tolerance only rows are flagged")
+        return _counts_within(df, config)
     both = F.col("rows_forward") + F.col("rows_mirrored")
     return reversal_pairs(df, config).agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).cast("decimal(38,0)").alias("reversals"),

@@ -1,6 +1,7 @@
 """Reversal detection against brute force, with and without hot groups."""
 
 import random
+from collections import Counter
 from dataclasses import replace
 from decimal import Decimal
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ledgerrecon.config import ReversalConfig
 from ledgerrecon.labels import REVERSAL_FLAG
 from ledgerrecon.operators.reversals import (
-    mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_results, reversal_rows,
+    mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_pairs_within, reversal_results,
+    reversal_rows,
 )
 
 PAIRS = ReversalConfig("a", "b", "v")
@@ -111,6 +113,31 @@ def test_wider_tolerance_matches_brute_force(spark, tolerance, hot):
     assert flagged(mark_reversals(frame(spark, rows), replace(PAIRS, tolerance=tolerance), **hot)) == want
 
 
+@pytest.mark.parametrize("tolerance", [0.01, 0.05, 3.0])
+@pytest.mark.parametrize("hot", [{}, HOT])
+def test_pairs_within_a_tolerance_match_brute_force(spark, tolerance, hot):
+    rng = random.Random(int(tolerance * 1000) + 1)
+    rows = [(i, rng.choice([None, 0, 1, 2]), rng.randrange(3), rng.randint(-9, 9) / 100 + rng.choice([0, 7.5, -7.5])) for i in range(250)]
+    exact = [(i, a, b, Decimal(repr(round(v, 2)))) for i, a, b, v in rows]
+    pairs = brute_pairs([r for r in exact if r[1] is not None], Decimal(repr(tolerance)))
+    df = frame(spark, [(i, a, b, float(v)) for i, a, b, v in exact])
+    config = replace(PAIRS, tolerance=tolerance)
+    partners = Counter(i for pair in pairs for i in pair)
+    assert {r["row_index"]: r["partners"] for r in reversal_rows(df, config, **hot).collect()} == partners
+    counts = reversal_counts(df, config).head()
+    assert (int(counts["reversals"]), counts["rows_marked"]) == (len(pairs), len(partners))
+    assert sum(r["pairs"] for r in reversal_pairs_within(df, config).collect()) == len(pairs)
+
+
+def test_counting_within_a_tolerance_lists_no_pairs(spark):
+    """2 x 3000 rows of one account pair: nine million pairs, no plan node with more than three rows for each level."""
+    rows = [(i, 1, 2, 1.0 + i / 1e6) for i in range(3000)] + [(3000 + i, 2, 1, -1.0 - i / 1e6) for i in range(3000)]
+    counts = reversal_counts(frame(spark, rows).repartition(8), replace(PAIRS, tolerance=0.5)).head()
+    assert (int(counts["reversals"]), counts["rows_marked"]) == (9_000_000, 6000)
+    empty = reversal_counts(frame(spark, rows).limit(0), replace(PAIRS, tolerance=0.5)).head()
+    assert (int(empty["reversals"]), empty["rows_marked"]) == (0, 0)
+
+
 def test_sparse_tolerance(spark):
     rows = [(1, 5, 5, 0.004), (2, 7, 7, 0.004), (3, 7, 7, 0.003), (4, 8, 8, 0.02), (5, 8, 8, -0.011), (6, 1, 2, 1.0),
             (7, 2, 1, -1.009), (8, 3, 4, 1.0), (9, 4, 3, -1.011)]

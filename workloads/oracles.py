@@ -187,6 +187,16 @@ exact AS (SELECT row_index, a, b, CAST(v AS DECIMAL(18,2)) AS v FROM journal)"""
 SELECT row_index, EXISTS (
   SELECT 1 FROM exact y WHERE x.a = y.b AND x.b = y.a AND abs(x.v + y.v) <= 0.01 AND x.row_index <> y.row_index
 ) AS is_reversal FROM exact x"""
+_WITHIN = _with(_DRIFTED, """
+exact AS (SELECT row_index, a, b, CAST(v AS DECIMAL(18,2)) AS v FROM journal),
+pairs AS (
+  SELECT x.row_index AS i, y.row_index AS j FROM exact x JOIN exact y ON x.a = y.b AND x.b = y.a
+  WHERE abs(x.v + y.v) <= 0.01 AND x.row_index < y.row_index),
+involved AS (SELECT i, count(*) AS partners FROM (SELECT i FROM pairs UNION ALL SELECT j FROM pairs) GROUP BY 1)""")
+ORACLES["reversal_totals_tolerance"] = _WITHIN + """
+SELECT count(*) AS reversals, (SELECT count(*) FROM involved) AS rows_marked FROM pairs"""
+ORACLES["reversal_rows_tolerance"] = _WITHIN + """
+SELECT row_index, least(a, b) AS low, greatest(a, b) AS high, partners FROM exact JOIN involved ON i = row_index"""
 ORACLES["reversal_totals"] = _with(_PAIRS) + """
 SELECT count(*) AS reversals, (SELECT count(*) FROM (SELECT i FROM pairs UNION SELECT j FROM pairs)) AS rows_marked FROM pairs"""
 ORACLES["reversal_result_records"] = _with(_PAIRS) + """

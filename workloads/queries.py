@@ -321,6 +321,18 @@ def reversal_totals(spark, sf_dir):
     return counts.withColumn("reversals", F.col("reversals").cast("bigint"))
 
 
+@query
+def reversal_totals_tolerance(spark, sf_dir):
+    counts = reversal_counts(journal(spark, sf_dir, drift=0.01), replace(PAIRS, tolerance=0.01))
+    return counts.withColumn("reversals", F.col("reversals").cast("bigint"))
+
+
+@query
+def reversal_rows_tolerance(spark, sf_dir):
+    rows = reversal_rows(journal(spark, sf_dir, drift=0.01), replace(PAIRS, tolerance=0.01))
+    return rows.select("row_index", "low", "high", "partners")
+
+
 @query
 def reversal_result_records(spark, sf_dir):
     return reversal_results(mark_reversals(journal(spark, sf_dir), PAIRS), 7, 3)
