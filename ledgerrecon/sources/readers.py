@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerrecon.config import SourceSpec
@@ -40,20 +41,93 @@ def _format(spec: SourceSpec) -> str:
     raise ValueError(f"unsupported format: {spec.format}")
 
 
+# blanks around a cell are part of it
+_CSV = dict(sep=",", quote='"', escape='"', mode="PERMISSIVE", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+_PLACE = ("__file__", "__block__", "__seq__")
+
+
+def _odd_quotes() -> Column:
+    """1 for a line with an odd number of quotes: a cell begins or ends its life in other lines."""
+    return (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2
+
+
 def _spans_lines(spark: SparkSession, spec: SourceSpec) -> bool:
     """Whether some cell holds a line break: a line with an odd number of quotes. Stops at the first one."""
     if spec.multi_line is not None:
         return spec.multi_line
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return not spark.read.text(spec.path).where(quotes % 2 == 1).isEmpty()
+    return not spark.read.text(spec.path).where(_odd_quotes() == 1).isEmpty()
+
+
+def _placed(df: DataFrame, *columns: Column) -> DataFrame:
+    """Rows of a scan with their file, their split of it and an id that counts up inside the split.
+
+    The ids are those of the scan's tasks, and files are dealt to tasks in the same way each time they are
+    read, so a table of splits made by one read fits the next.
+    """
+    return df.select(*columns, F.col("_metadata.file_path").alias("__file__"), F.col("_metadata.file_block_start").alias("__block__"),
+                     F.monotonically_increasing_id().alias("__seq__"))
+
+
+def _kept(spark: SparkSession, df: DataFrame, label: str, staged_paths: list[str] | None) -> DataFrame:
+    path = shared_path(spark, label)
+    if staged_paths is not None:
+        staged_paths.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
+def _few(splits: DataFrame) -> DataFrame:
+    """The table of splits, broadcast if its counted size allows."""
+    return F.broadcast(splits) if splits.count() <= BROADCAST_SPLITS else splits
 
-def _text_reader(spark: SparkSession, spec: SourceSpec, **options: object):
-    # blanks around a cell are part of it; a file with quoted line breaks is read whole by one task
-    return spark.read.options(
-        sep=",", quote='"', escape='"', mode="PERMISSIVE", multiLine=_spans_lines(spark, spec), emptyValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options
+
+def _quoted_records(spark: SparkSession, spec: SourceSpec, names: list[str], header: bool,
+                    staged_paths: list[str] | None) -> DataFrame:
+    """Cells of text whose quoted cells hold line breaks, read in splits like any other text.
+
+    Whether a line begins inside a cell is the parity of all quotes before it in the file. Each split
+    counts its own; the parities of the splits before it, a running XOR over the table of splits, say how it
+    begins. Lines that begin outside start a record; only those of records on several lines are brought
+    together. Blank lines outside of cells do not count, and with ``header`` the first record of each file goes.
+    """
+    lines = _placed(spark.read.option("lineSep", "\n").text(spec.path), F.col("value"), _odd_quotes().alias("__odd__"))
+    parities = _kept(spark, lines.groupBy("__file__", "__block__").agg((F.sum("__odd__") % 2).alias("__odd__")), "parities", staged_paths)
+    earlier = Window.partitionBy("__file__").orderBy("__block__").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parities.select("__file__", "__block__", (F.coalesce(F.sum("__odd__").over(earlier), F.lit(0)) % 2).alias("__begins__"))
+    split = Window.partitionBy("__file__", "__block__").orderBy("__seq__")
+    before, so_far = (split.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.currentRow))
+    inside = (F.col("__begins__") + F.coalesce(F.sum("__odd__").over(before), F.lit(0))) % 2 == 1
+    lines = lines.join(_few(begins), ["__file__", "__block__"]).withColumn("__inside__", inside)
+    starts = ~F.col("__inside__") & (F.col("value").rlike(r"[^\x00-\x20]"))
+    lines = lines.withColumn("__starts__", starts).withColumns({
+        "__index__": F.count_if("__starts__").over(so_far),
+        "__record__": F.last(F.when(F.col("__starts__"), F.col("__seq__")), ignorenulls=True).over(so_far),
+    })
+    lines = _kept(spark, lines.drop("__begins__"), "lines", staged_paths)
+    # a split may begin with the rest of a record that started in one before it
+    ends = lines.groupBy("__file__", "__block__").agg(F.max("__record__").alias("__last__"), F.max("__index__").alias("__records__"))
+    carried = ends.select(
+        "__file__", "__block__", F.last("__last__", ignorenulls=True).over(earlier).alias("__carried__"),
+        (F.coalesce(F.sum("__records__").over(earlier), F.lit(0)) == 0).alias("__leads__"))
+    lines = lines.join(_few(_kept(spark, carried, "carried", staged_paths)), ["__file__", "__block__"])
+    if header:
+        lines = lines.withColumn("__gone__", F.col("__starts__") & F.col("__leads__") & (F.col("__index__") == 1))
+    else:
+        lines = lines.withColumn("__gone__", F.lit(False))
+    whole = lines.where(F.col("__starts__") & (F.col("__odd__") == 0) & ~F.col("__gone__")).select(
+        "__file__", "__block__", F.col("__index__").alias("__seq__"), F.col("value").alias("__text__"))
+    first = F.max(F.when(F.col("__starts__"), F.struct("__block__", "__index__", "__gone__"))).alias("__first__")
+    torn = (
+        lines.where(F.col("__inside__") | (F.col("__starts__") & (F.col("__odd__") == 1)))
+        .groupBy("__file__", F.coalesce("__record__", "__carried__").alias("__record__"))
+        .agg(first, F.sort_array(F.collect_list(F.struct("__seq__", "value"))).alias("__lines__"))
+        .where(~F.col("__first__.__gone__"))
+        .select("__file__", "__first__.__block__", F.col("__first__.__index__").alias("__seq__"),
+                F.array_join(F.transform("__lines__", lambda x: x["value"]), "\n").alias("__text__"))
     )
+    text = F.regexp_replace("__text__", "\r$", "")
+    parsed = whole.unionByName(torn).withColumn("__cells__", F.from_csv(text, _text_schema(names), {k: str(v) for k, v in _CSV.items()}))
+    return parsed.select(*_checked(names, lambda n: F.col("__cells__").getField(n)), *_PLACE)
 
 
 def _first_lines(spark: SparkSession, spec: SourceSpec, n: int) -> list[list[str]]:
@@ -68,46 +142,48 @@ def _first_lines(spark: SparkSession, spec: SourceSpec, n: int) -> list[list[str
     return [next(csv.reader([line.value])) for line in lines]
 
 
-def _cells(spark: SparkSession, spec: SourceSpec, names: list[str], header: bool) -> DataFrame:
-    """The file as text columns. A row with more cells than there are columns raises."""
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, _BEYOND])
-    raw = _text_reader(spark, spec, header=header, enforceSchema=True).schema(schema).csv(spec.path)
-    told = F.raise_error(F.concat(F.lit(f"a row has more than {len(names)} cells: "), F.concat_ws(",", *[ref(n) for n in names], ref(_BEYOND))))
-    checked = F.when(ref(_BEYOND).isNull(), ref(names[0])).otherwise(told.cast("string")).alias(names[0])
-    return raw.select(checked, *[ref(n) for n in names[1:]], "_metadata")
+def _text_schema(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, _BEYOND])
+
+
+def _checked(names: list[str], cell: Callable[[str], Column]) -> list[Column]:
+    """The cells of a row; one with more cells than there are columns raises."""
+    told = F.raise_error(F.concat(F.lit(f"a row has more than {len(names)} cells: "), F.concat_ws(",", *[cell(n) for n in [*names, _BEYOND]])))
+    first = F.when(cell(_BEYOND).isNull(), cell(names[0])).otherwise(told.cast("string")).alias(names[0])
+    return [first, *[cell(n).alias(n) for n in names[1:]]]
+
+
+def _cells(spark: SparkSession, spec: SourceSpec, names: list[str], header: bool, staged_paths: list[str] | None) -> DataFrame:
+    """The file as text columns with the place of each row."""
+    if _spans_lines(spark, spec):
+        # a line break of another kind than the last byte of a line: such a file is read whole
+        odd_breaks = spark.read.option("lineSep", "\n").text(spec.path).where(F.col("value").rlike("\r(?!$)"))
+        if odd_breaks.isEmpty():
+            return _quoted_records(spark, spec, names, header, staged_paths)
+        reader = spark.read.options(**_CSV, multiLine=True)
+    else:
+        reader = spark.read.options(**_CSV)
+    raw = reader.options(header=header, enforceSchema=True).schema(_text_schema(names)).csv(spec.path)
+    return _placed(raw, *_checked(names, ref))
 
 
 def _missing_to_null(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: F.when(~ref(n).isin(*MISSING_CELLS), ref(n)) for n in names})
 
 
-def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal: str, header: list[str] | None = None,
+def _number_rows(spark: SparkSession, rows: DataFrame, names: list[str], ordinal: str, header: list[str] | None = None,
                  skip: int = 0, staged_paths: list[str] | None = None) -> DataFrame:
-    """Rows of split text files with ``ordinal`` 1..N in file order.
+    """Rows with their place (``_PLACE``) numbered by ``ordinal`` 1..N in file order.
 
     The first ``skip`` lines go from the first file, and from every other one whose line ``skip``
     is the same ``header``: files that go on where the one before ends have none.
 
-    The cells are staged once with the split they come from and their place in
-    it. Counting rows per split then gives each split its offset; only that table
-    of splits is ever ordered as a whole, never the data. The staged folder is
-    added to ``staged_paths``, for a job to remove once its result is written.
+    A first, narrow read counts the rows of each split, which gives each split its offset; only that
+    table of splits is ever ordered as a whole, never the data, and nothing of the data is staged.
     """
-    staging = shared_path(spark, "staged")
-    if staged_paths is not None:
-        staged_paths.append(staging)
-    df.select(
-        *[ref(n) for n in names], F.col("_metadata.file_path").alias("__file__"),
-        F.col("_metadata.file_block_start").alias("__block__"), F.monotonically_increasing_id().alias("__seq__"),
-    ).write.parquet(staging)
-    staged = spark.read.parquet(staging)
-    counted = shared_path(spark, "splits")
-    if staged_paths is not None:
-        staged_paths.append(counted)
-    staged.groupBy("__file__", "__block__").agg(
-        F.min("__seq__").alias("__first__"), F.count("*").alias("__rows__")
-    ).write.parquet(counted)
-    splits = spark.read.parquet(counted)
+    counted = rows.groupBy("__file__", "__block__").agg(F.min("__seq__").alias("__first__"), F.count("*").alias("__rows__"))
+    counted = _kept(spark, counted, "splits", staged_paths)
+    splits = counted
     # rows of the split that belong to the file's first ``skip``
     inside = Window.partitionBy("__file__").orderBy("__block__").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("__before__", F.coalesce(F.sum("__rows__").over(inside), F.lit(0))).withColumn("__skip__", F.lit(0))
@@ -115,7 +191,7 @@ def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal:
         padded = [*(header or []), *[""] * len(names)]
         same = [F.coalesce(ref(n), F.lit("")) == F.lit(cell or "") for n, cell in zip(names, padded)]
         line = F.col("__seq__") - F.col("__first__") + F.col("__before__") + 1
-        headed = staged.where(reduce(lambda x, y: x & y, same)).select("__file__", "__block__", "__seq__").join(
+        headed = rows.where(reduce(lambda x, y: x & y, same)).select("__file__", "__block__", "__seq__").join(
             splits.select("__file__", "__block__", "__first__", "__before__"), ["__file__", "__block__"]
         ).where(line == skip).select("__file__").union(splits.agg(F.min("__file__").alias("__file__"))).distinct()
         splits = splits.join(headed.withColumn("__headed__", F.lit(skip)), "__file__", "left").withColumn(
@@ -127,9 +203,9 @@ def _number_rows(spark: SparkSession, df: DataFrame, names: list[str], ordinal:
         "__file__", "__block__", (F.col("__first__") + F.col("__gone__")).alias("__from__"),
         (F.coalesce(F.sum("__kept__").over(order), F.lit(0)) - F.col("__first__") - F.col("__gone__")).alias("__shift__"),
     )
-    if spark.read.parquet(counted).count() <= BROADCAST_SPLITS:
+    if counted.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
-    numbered = staged.join(offsets, ["__file__", "__block__"])
+    numbered = rows.join(offsets, ["__file__", "__block__"])
     if skip:
         numbered = numbered.where(F.col("__seq__") >= F.col("__from__"))
     return numbered.select((F.col("__seq__") + F.col("__shift__") + 1).alias(ordinal), *[ref(n) for n in names])
@@ -181,7 +257,7 @@ def _read_text(spark: SparkSession, spec: SourceSpec, ordinal: str | None,
     What stands above the header, and the header, is left out of every file of a folder that has it.
     """
     names, header_row, header = _text_layout(spark, spec)
-    cells = _cells(spark, spec, names, header=header_row is None)
+    cells = _cells(spark, spec, names, header_row is None, staged_paths)
     if header_row is None:
         rows = _number_rows(spark, cells, names, ordinal, staged_paths=staged_paths) if ordinal else cells.select(*[ref(n) for n in names])
     else:
@@ -210,7 +286,7 @@ def read_source(spark: SparkSession, spec: SourceSpec, ordinal: str | None = Non
         return df
     if fmt == "parquet":
         return _number_stored_rows(df, ordinal)
-    return _number_rows(spark, df.select("*", "_metadata"), df.columns, ordinal, staged_paths=staged_paths)
+    return _number_rows(spark, _placed(df, *[ref(c) for c in df.columns]), df.columns, ordinal, staged_paths=staged_paths)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:

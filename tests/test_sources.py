@@ -102,7 +102,7 @@ def test_promote_header_on_stored_rows(spark):
         promote_header(df, 9)
 
 
-@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+@pytest.mark.parametrize("fmt", ["csv", "parquet", "json", "orc"])
 def test_row_ordinals_follow_file_order(spark, tmp_path, fmt):
     path = str(tmp_path / fmt)
     data = spark.range(5000).select("id", F.md5(F.col("id").cast("string")).alias("text"))
@@ -116,6 +116,48 @@ def test_row_ordinals_follow_file_order(spark, tmp_path, fmt):
         spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
 
 
+def quoted(i):
+    """A cell with line breaks, quotes and blank lines in every third row."""
+    return f'x{i}' if i % 3 else f'l"{i}"\n\n{"y" * (i % 50)}\nend, "q"\n' * (i % 4 + 1)
+
+
+@pytest.mark.parametrize("preamble,ends", [([], "\n"), (["relatorio,", "emitido,hoje"], "\n"), ([], "\r\n")])
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path, preamble, ends):
+    folder, want = tmp_path / "in", []
+    folder.mkdir()
+    for part in range(3):
+        data = [(str(part * 1000 + i), quoted(part * 1000 + i)) for i in range(400)]
+        cells = [[f"{k}", '"' + v.replace('"', '""').replace("\n", ends) + '"'] for k, v in data]
+        lines = [*preamble, "id,texto", *map(",".join, cells)]
+        lines.insert(len(preamble) + 5, " \t")  # a blank line between rows
+        (folder / f"p{part}.csv").write_bytes((ends.join(lines) + ends).encode())
+        want += [(k, v.replace("\n", ends)) for k, v in data]
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4KB")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 8
+        spec = SourceSpec(str(folder), header_row=len(preamble) + 1 if preamble else None)
+        df = read_source(spark, spec, ordinal="n", typed=False)
+        assert [tuple(r) for r in df.orderBy("n").collect()] == [(i + 1, *row) for i, row in enumerate(want)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+
+
+def test_quoted_line_breaks_with_bare_carriage_returns(spark, tmp_path):
+    path = tmp_path / "mac.csv"
+    path.write_bytes(b'a,b\r1,"x\ry"\r2,z\r')
+    assert rows(read_source(spark, SourceSpec(str(path)), ordinal="n").orderBy("n")) in (
+        [(1, 1, "x\ry"), (2, 2, "z")], [(1, 1, "x\ny"), (2, 2, "z")])
+
+
+def test_wide_quoted_row_raises_and_open_quote_ends_with_the_file(spark, tmp_path):
+    path = csv_file(tmp_path, 'a,b\n1,"x\ny",3\n')
+    with pytest.raises(Exception, match="more than 2 cells"):
+        read_source(spark, SourceSpec(path)).collect()
+    path = csv_file(tmp_path, 'a,b\n1,x\n2,"never\nclosed\n', "open.csv")
+    assert rows(read_source(spark, SourceSpec(path), typed=False))[0] == ("1", "x")
+
+
 def test_ingest_and_preview(spark, tmp_path):
     spec = SourceSpec(csv_file(tmp_path, "id,v\n" + "".join(f"{i},{i / 4}\n" for i in range(120))))
     done = ingest(spark, spec, str(tmp_path / "stored"))

@@ -205,26 +205,27 @@ SELECT CAST(7 AS BIGINT) AS run_id, CAST(3 AS BIGINT) AS dataset_id, CAST(i AS V
 FROM (SELECT i FROM pairs UNION SELECT j FROM pairs)"""
 
 # --- verdicts on rows -------------------------------------------------------
+_BOTH = _with(RECON_SQL, f"recon AS MATERIALIZED ({_ORDER} UNION ALL {_YEAR})",
+              "by_order AS MATERIALIZED (SELECT *, CAST(key AS BIGINT) AS number FROM recon WHERE key_ordinal = 0)",
+              "by_year AS MATERIALIZED (SELECT *, CAST(key AS BIGINT) AS number FROM recon WHERE key_ordinal = 1)")
 _HITS = """
-FROM {rows} r
-LEFT JOIN (SELECT * FROM recon WHERE key_ordinal = 0) p ON p.key = CAST(r.{by_order} AS VARCHAR)
-LEFT JOIN (SELECT * FROM recon WHERE key_ordinal = 1) q ON q.key = CAST(r.{by_year} AS VARCHAR)"""
+FROM {rows} r LEFT JOIN by_order p ON p.number = r.{by_order} LEFT JOIN by_year q ON q.number = r.{by_year}"""
 _HITS_A = _HITS.format(rows="ledger_a", by_order="l_orderkey", by_year="ship_year")
 _HITS_B = _HITS.format(rows="ledger_b", by_order="o_orderkey", by_year="order_year")
 _FIRST = """CASE WHEN p.key IS NOT NULL THEN p.status ELSE q.status END AS status,
   CASE WHEN p.key IS NOT NULL THEN p.grp ELSE q.grp END AS group_name,
   CASE WHEN p.key IS NOT NULL THEN p.key_name ELSE q.key_name END AS key_used"""
-ORACLES["enrich_first"] = f"{_TWO} SELECT o_orderkey, o_custkey, {_FIRST} {_HITS_B}"
-ORACLES["enrich_last"] = f"""{_TWO}
+ORACLES["enrich_first"] = f"{_BOTH} SELECT o_orderkey, o_custkey, {_FIRST} {_HITS_B}"
+ORACLES["enrich_last"] = f"""{_BOTH}
 SELECT o_orderkey, CASE WHEN q.key IS NOT NULL THEN q.key_name ELSE p.key_name END AS recon_key_name,
   CASE WHEN q.key IS NOT NULL THEN q.status ELSE p.status END AS recon_status,
   CASE WHEN q.key IS NOT NULL THEN q.grp ELSE p.grp END AS recon_group,
   CASE WHEN q.key IS NOT NULL THEN q.difference ELSE p.difference END AS recon_difference {_HITS_B}"""
-ORACLES["enrich_items"] = f"{_TWO} SELECT l_orderkey, l_linenumber, l_extendedprice, {_FIRST} {_HITS_A}"
+ORACLES["enrich_items"] = f"{_BOTH} SELECT l_orderkey, l_linenumber, l_extendedprice, {_FIRST} {_HITS_A}"
 ORACLES["attach_by_key"] = f"""{_ONE}
 SELECT o_orderkey, f.status, f.grp AS group_name, f.difference
 FROM orders LEFT JOIN (SELECT * FROM recon WHERE grp = 'Conciliados') f ON f.key = CAST(o_orderkey AS VARCHAR)"""
-ORACLES["run_then_enrich"] = f"""{_TWO}
+ORACLES["run_then_enrich"] = f"""{_BOTH}
 SELECT 'a' AS side, key_used, status, count(*) AS rows FROM (SELECT {_FIRST} {_HITS_A}) GROUP BY ALL
 UNION ALL
 SELECT 'b', key_used, status, count(*) FROM (SELECT {_FIRST} {_HITS_B}) GROUP BY ALL"""
@@ -294,6 +295,8 @@ SELECT {_ORDINAL} AS row_index, {_ORDER_ROWS}, {_DATE} AS data, o_orderpriority
 ORACLES["header_detected"] = f"""
 SELECT {_ORDINAL} AS row_index, {_ORDER_ROWS}, {_DATE} AS data, o_orderpriority AS prioridade FROM orders"""
 ORACLES["row_ordinals"] = f"SELECT {_ORDINAL} AS row_index, o_orderkey, o_totalprice FROM orders"
+ORACLES["ordinals_json"] = f"SELECT {_ORDINAL} AS row_index, o_orderkey, o_orderstatus FROM orders"
+ORACLES["ordinals_orc"] = ORACLES["ordinals_json"]
 ORACLES["preview_rows"] = """
 SELECT row_number() OVER (ORDER BY c_custkey) AS row_index, c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50"""
 ORACLES["export_ordered"] = _with(MESSY_SQL) + f"""

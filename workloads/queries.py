@@ -343,21 +343,22 @@ def reversal_result_records(spark, sf_dir):
 @query
 def enrich_first(spark, sf_dir):
     _, results = _stored_run(spark, sf_dir)
-    rows = enrich(recon_b(spark, sf_dir), results, recon_config(BY_ORDER, BY_YEAR), "b")
+    rows = enrich(recon_b(spark, sf_dir), results, recon_config(BY_ORDER, BY_YEAR), "b", ordinal="o_orderkey")
     return rows.select("o_orderkey", "o_custkey", "status", "group_name", "key_used")
 
 
 @query
 def enrich_last(spark, sf_dir):
     _, results = _stored_run(spark, sf_dir)
-    rows = merge_results(recon_b(spark, sf_dir), results, recon_config(BY_ORDER, BY_YEAR), "b")
+    rows = merge_results(recon_b(spark, sf_dir), results, recon_config(BY_ORDER, BY_YEAR), "b", ordinal="o_orderkey")
     return rows.select("o_orderkey", "recon_key_name", "recon_status", "recon_group", "recon_difference")
 
 
 @query
 def enrich_items(spark, sf_dir):
     _, results = _stored_run(spark, sf_dir)
-    rows = enrich(recon_a(spark, sf_dir), results, recon_config(BY_ORDER, BY_YEAR), "a")
+    items = read_source(spark, SourceSpec(f"{sf_dir}/lineitem.parquet", "parquet"), ordinal="row_index")
+    rows = enrich(items.withColumn("ship_year", F.year("l_shipdate")), results, recon_config(BY_ORDER, BY_YEAR), "a")
     return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", "status", "group_name", "key_used")
 
 
@@ -528,6 +529,22 @@ def row_ordinals(spark, sf_dir):
     return read_source(spark, spec, ordinal="row_index").select("row_index", "o_orderkey", "o_totalprice")
 
 
+def _ordered_orders(spark, sf_dir, fmt: str) -> DataFrame:
+    path = shared_path(spark, fmt)
+    in_file_order(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").write.format(fmt).save(path)
+    return read_source(spark, SourceSpec(path, fmt), ordinal="row_index").select("row_index", "o_orderkey", "o_orderstatus")
+
+
+@query
+def ordinals_json(spark, sf_dir):
+    return _ordered_orders(spark, sf_dir, "json")
+
+
+@query
+def ordinals_orc(spark, sf_dir):
+    return _ordered_orders(spark, sf_dir, "orc")
+
+
 @query
 def preview_rows(spark, sf_dir):
     rows = read_source(spark, SourceSpec(f"{sf_dir}/customer.parquet", "parquet"), ordinal="row_index")
