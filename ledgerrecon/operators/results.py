@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerrecon.functions import ref, translate_status
@@ -27,7 +27,16 @@ _RESULT_FIELDS = {
 
 def result_rows(df: DataFrame, run_id: int) -> DataFrame:
     """Reconciliation rows, or records under other names, in the shape of the results table."""
-    columns = [F.lit(run_id).cast("bigint").alias("run_id")]
+    return _result_columns(df, F.lit(run_id))
+
+
+def result_rows_by_run(df: DataFrame) -> DataFrame:
+    """Records that name their run, in the shape of the results table."""
+    return _result_columns(df, ref("run_id"))
+
+
+def _result_columns(df: DataFrame, run_id: Column) -> DataFrame:
+    columns = [run_id.cast("bigint").alias("run_id")]
     for name, (sources, kind) in _RESULT_FIELDS.items():
         found = [ref(c) for c in sources if c in df.columns]
         value = F.coalesce(*found) if found else F.lit(0 if name == "key_ordinal" else None)
@@ -76,6 +85,33 @@ def page_after(results: DataFrame, last: tuple | Row, limit: int = PAGE_ROWS) ->
     return results.where(bound & later).orderBy(*order).limit(limit)
 
 
+def store_pages(results: DataFrame, path: str) -> None:
+    """Store results in page order with an index of how many rows each file holds; ``stored_page`` reads them.
+
+    The data is dealt by ranges and sorted inside them, never brought to one task.
+    """
+    order = _order(results)
+    rows, index = f"{path.rstrip('/')}/rows", f"{path.rstrip('/')}/index"
+    results.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(rows)
+    counts = results.sparkSession.read.parquet(rows).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file
+    counts.withColumn("before", F.coalesce(before, F.lit(0))).write.mode("overwrite").parquet(index)
+
+
+def stored_page(spark: SparkSession, path: str, limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
+    """A page of stored results, however deep: only the files that hold its rows are opened."""
+    index = spark.read.parquet(f"{path.rstrip('/')}/index")
+    wanted = index.where((F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset)).orderBy("before").collect()
+    rows = f"{path.rstrip('/')}/rows"
+    schema = spark.read.parquet(rows).schema
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    files = spark.read.schema(schema).parquet(*[f"{rows}/{r['file']}" for r in wanted])
+    starts = F.create_map(*[F.lit(x) for r in wanted for x in (r["file"], r["before"])])  # files of one page
+    at = F.element_at(starts, F.col("_metadata.file_name")) + F.col("_metadata.row_index")
+    return files.withColumn("__at__", at).where(F.col("__at__").between(offset, offset + limit - 1)).drop("__at__")
+
+
 def total_rows(results: DataFrame) -> DataFrame:
     """One row: how many results the filters leave."""
     return results.agg(F.count("*").alias("total"))

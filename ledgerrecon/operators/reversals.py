@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,13 +53,12 @@ def _value(df: DataFrame, value: str) -> Column:
     return F.when(F.abs(number) < F.lit(9e18), number).otherwise(F.raise_error(F.lit("reversal values must be below 9e18")))
 
 
-def _whole_and_nano() -> tuple[Column, Column]:
+def _whole_and_nano(level: Column) -> tuple[Column, Column]:
     """Level at nine places as two integers, units and billionths (levels below 9e18).
 
     Integers hash and sort fast, and the same way in joins and aggregations; doubles
     would be normalised in one and not in the other, and so be shuffled twice.
     """
-    level = F.col("__level__")
     nanos = F.floor((level - F.floor(level)) * F.lit(1e9) + F.lit(0.5)).cast("bigint")
     units = F.floor(level).cast("bigint") + F.when(nanos >= NANOS, 1).otherwise(0)
     # never NULL, so that null tests on the group keys fold away
@@ -80,7 +80,7 @@ def _sided(df: DataFrame, config: ReversalConfig) -> DataFrame:
         "__level__": F.when(flipped, -F.col("__v__")).otherwise(F.col("__v__")),
         "__side__": flipped.cast("int"),
     }).drop("__a__", "__b__", "__v__")
-    units, nanos = _whole_and_nano()
+    units, nanos = _whole_and_nano(F.col("__level__"))
     return sided.withColumns({"__units__": units, "__nanos__": nanos})
 
 
@@ -354,28 +354,79 @@ def mark_reversals(df: DataFrame, config: ReversalConfig, ordinal: str = "row_in
     return matched.select(*others, flag.alias(REVERSAL_FLAG))
 
 
-def mark_all_reversals(df: DataFrame, configs: Sequence[ReversalConfig], ordinal: str = "row_index") -> DataFrame:
-    """``df`` with ``__is_reversal__`` set where any configuration finds a partner; a set flag stays set.
+def _stackable(config: ReversalConfig) -> bool:
+    return config.mode == "all_pairs" and config.tolerance is not None and 0 <= config.tolerance <= UNIT
+
+
+def _stacked_hits(df: DataFrame, configs: Sequence[tuple[int, ReversalConfig]], ordinal: str,
+                  hot_rows: int, slab_rows: int) -> DataFrame:
+    """(config, row) of every row with a partner, for all configurations in one pass.
 
-    Every configuration looks at the same rows, and only the ordinals it finds meet the
-    others, so the plan grows by the configurations and does not double with each.
+    Each row stands once for each configuration, tagged with it, and one aggregation counts the groups of all.
+    """
+    keyed = df.select(ref(ordinal).alias("__row__"), *[ref(c) for c in dict.fromkeys(
+        name for _, c in configs for name in (c.column_a, c.column_b, c.value_column))])
+    entries = []
+    for i, config in configs:
+        text = lambda name: F.when(ref(name).isNotNull(), key_part(ref(name), column_type(df, name)))
+        names = (f"__a{i}__", f"__b{i}__", f"__v{i}__")
+        keyed = keyed.withColumns(dict(zip(names, (text(config.column_a), text(config.column_b), _value(df, config.value_column).cast("double")
+                                                   if not isinstance(column_type(df, config.value_column), T.DecimalType)
+                                                   else _value(df, config.value_column)))))
+        a, b, v = map(F.col, names)
+        flipped = (a > b) | ((a == b) & (v < 0))
+        complete = a.isNotNull() & b.isNotNull()
+        units, nanos = _whole_and_nano(F.when(flipped, -v).otherwise(v))
+        entries.append(F.struct(
+            F.lit(i).alias("__config__"), F.when(complete, F.least(a, b)).alias("__low__"), F.when(complete, F.greatest(a, b)).alias("__high__"),
+            units.alias("__units__"), nanos.alias("__nanos__"), flipped.cast("int").alias("__side__")))
+    keys = ("__config__", *KEYS)
+    tagged = keyed.select("__row__", F.inline(F.array(*entries))).where(F.col("__low__").isNotNull())
+    groups = (
+        tagged.where(complete_key(keys)).groupBy(spread_of(keys).alias(SPREAD), *keys)
+        .agg(F.count_if(F.col("__side__") == 0).alias("__n0__"), F.count_if(F.col("__side__") == 1).alias("__n1__"))
+        .withColumn("__n__", F.col("__n0__") + F.col("__n1__"))
+    )
+    facts = attach_group(tagged, groups, keys, ("__n0__", "__n1__"), "__n__", "__row__", hot_rows, slab_rows)
+    return facts.where(_partners() > 0).select(F.col("__config__").alias("config"), F.col("__row__").alias("row"))
+
+
+def reversal_hits(df: DataFrame, configs: Sequence[ReversalConfig], ordinal: str = "row_index",
+                  hot_rows: int = HOT_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """(config, row): the position of a configuration and the ordinal of a row that it finds a partner for.
+
+    Configurations that pair all rows at nine places share one pass over the rows; others take one each.
     """
-    if len(configs) == 1:
-        return mark_reversals(df, configs[0], ordinal)
     require(df, ordinal)
-    found = None
+    if not configs:
+        return df.select(F.lit(0).alias("config"), ref(ordinal).alias("row")).where("false")
     for config in configs:
-        own = list(dict.fromkeys((ordinal, config.column_a, config.column_b, config.value_column)))
-        hits = mark_reversals(df.select(*[ref(c) for c in own]), config, ordinal).where(ref(REVERSAL_FLAG)).select(ref(ordinal).alias("__row__"))
-        found = hits if found is None else found.unionByName(hits)
-    flag = F.col("__hit__").isNotNull() if found is not None else F.lit(False)
+        require(df, config.column_a, config.column_b, config.value_column)
+    together = [(i, c) for i, c in enumerate(configs) if _stackable(c)]
+    found = [_stacked_hits(df, together, ordinal, hot_rows, slab_rows)] if together else []
+    for i, config in enumerate(configs):
+        if not _stackable(config):
+            own = list(dict.fromkeys((ordinal, config.column_a, config.column_b, config.value_column)))
+            marked = mark_reversals(df.select(*[ref(c) for c in own]), config, ordinal, hot_rows, slab_rows)
+            found.append(marked.where(ref(REVERSAL_FLAG)).select(F.lit(i).alias("config"), ref(ordinal).alias("row")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def mark_all_reversals(df: DataFrame, configs: Sequence[ReversalConfig], ordinal: str = "row_index",
+                       hot_rows: int = HOT_ROWS, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """``df`` with ``__is_reversal__`` set where any configuration finds a partner; a set flag stays set.
+
+    Every configuration looks at the same rows, in one pass, and only the ordinals found meet the others.
+    """
+    if len(configs) == 1:
+        return mark_reversals(df, configs[0], ordinal, hot_rows, slab_rows)
+    hits = reversal_hits(df, configs, ordinal, hot_rows, slab_rows).select(F.col("row").alias("__row__")).distinct()
+    flag = F.col("__hit__").isNotNull()
     if REVERSAL_FLAG in df.columns:
         flag = F.coalesce(ref(REVERSAL_FLAG).cast("boolean"), F.lit(False)) | flag
     others = [ref(c) for c in df.columns if c != REVERSAL_FLAG]
-    if found is None:
-        return df.select(*others, flag.alias(REVERSAL_FLAG))
-    rows = found.distinct().withColumn("__hit__", F.lit(True))
-    return df.join(rows, ref(ordinal) == F.col("__row__"), "left").select(*others, flag.alias(REVERSAL_FLAG))
+    found = df.join(hits.withColumn("__hit__", F.lit(True)), ref(ordinal) == F.col("__row__"), "left")
+    return found.select(*others, flag.alias(REVERSAL_FLAG))
 
 
 def reversal_counts(df: DataFrame, config: ReversalConfig, ordinal: str = "row_index") -> DataFrame:
@@ -394,12 +445,22 @@ def reversal_counts(df: DataFrame, config: ReversalConfig, ordinal: str = "row_i
 
 def reversal_results(marked: DataFrame, run_id: int, dataset_id: int, ordinal: str = "row_index") -> DataFrame:
     """One result record per flagged row, in the shape of the results table."""
-    return marked.where(ref(REVERSAL_FLAG)).select(
-        F.lit(run_id).cast("bigint").alias("run_id"),
+    return _records(marked.where(ref(REVERSAL_FLAG)), F.lit(run_id), dataset_id, ref(ordinal))
+
+
+def _records(rows: DataFrame, run_id: Column, dataset_id: int, ordinal: Column) -> DataFrame:
+    return rows.select(
+        run_id.cast("bigint").alias("run_id"),
         F.lit(dataset_id).cast("bigint").alias("dataset_id"),
-        ref(ordinal).cast("string").alias("row_identifier"),
+        ordinal.cast("string").alias("row_identifier"),
         F.lit(REVERSAL_STATUS).alias("status"),
         F.lit(REVERSAL_GROUP).alias("group_name"),
         F.lit(None).cast("string").alias("key_used"),
         F.lit(0.0).alias("difference"),
     )
+
+
+def reversal_hit_results(hits: DataFrame, run_ids: Sequence[int], dataset_id: int) -> DataFrame:
+    """Result records of ``reversal_hits``; configuration i belongs to run ``run_ids[i]``."""
+    runs = F.array(*[F.lit(r).cast("bigint") for r in run_ids])
+    return _records(hits, F.get(runs, F.col("config")), dataset_id, F.col("row"))

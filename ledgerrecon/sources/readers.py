@@ -268,6 +268,12 @@ def _read_text(spark: SparkSession, spec: SourceSpec, ordinal: str | None,
     return _missing_to_null(rows, [c for c in rows.columns if c != ordinal])
 
 
+def read_rows(spark: SparkSession, spec: SourceSpec, width: int, ordinal: str = ORDINAL) -> DataFrame:
+    """A text file as it is: ``width`` text columns ``_c0``..., no header taken out, lines numbered from 1 in file order."""
+    names = [f"_c{i}" for i in range(width)]
+    return _missing_to_null(_number_rows(spark, _cells(spark, spec, names, False, None), names, ordinal), names)
+
+
 def read_source(spark: SparkSession, spec: SourceSpec, ordinal: str | None = None, typed: bool = True,
                 staged_paths: list[str] | None = None) -> DataFrame:
     """Read a ledger file; with ``ordinal`` rows are numbered 1..N in file order.

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerrecon.functions.refs import ref
@@ -11,35 +14,59 @@ from ledgerrecon.operators.results import present, present_headers
 from ledgerrecon.sources.headers import ORDINAL
 
 
-def _write(df: DataFrame, path: str, fmt: str) -> int:
-    """Write a frame and return how many rows it had."""
+def _write(df: DataFrame, path: str, fmt: str, counts: Mapping[str, Column] | None = None) -> dict[str, int]:
+    """Write a frame and return how many ``rows`` it had, and other counts, taken while writing."""
     seen = Observation()
-    writer = df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").format(fmt)
+    wanted = [F.count("*").alias("rows"), *[c.alias(n) for n, c in (counts or {}).items()]]
+    writer = df.observe(seen, *wanted).write.mode("overwrite").format(fmt)
     if fmt == "csv":
         # blanks around a cell are part of it; an empty cell is quoted, a missing one is not
         writer = writer.options(
             header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""',
         )
     writer.save(path)
-    return int(seen.get["rows"])
+    return {name: int(count) for name, count in seen.get.items()}
+
+
+def write_prepared_counted(df: DataFrame, path: str, counts: Mapping[str, Column],
+                           fmt: str = "parquet") -> tuple[DataFrame, dict[str, int]]:
+    """Store a prepared ledger, which always has a reversal flag; with the counts taken by the write."""
+    stored = df if REVERSAL_FLAG in df.columns else df.withColumn(REVERSAL_FLAG, F.lit(False))
+    return stored, _write(stored, path, fmt, counts)
 
 
 def write_prepared(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
     """Store a prepared ledger; the stored frame always has a reversal flag."""
-    stored = df if REVERSAL_FLAG in df.columns else df.withColumn(REVERSAL_FLAG, F.lit(False))
-    _write(stored, path, fmt)
-    return stored
+    return write_prepared_counted(df, path, {}, fmt)[0]
+
+
+def export_prepared(spark: SparkSession, prepared_path: str, path: str, fmt: str = "csv", ordinal: str = ORDINAL) -> dict:
+    """Export a stored prepared ledger in order, under presentation names; one that is not there raises."""
+    try:
+        prepared = spark.read.parquet(prepared_path)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no prepared ledger in {prepared_path}") from error
+    return export_ledger(prepared, path, fmt, ordinal)
+
 
+def in_file_order(df: DataFrame, ordinal: str = ORDINAL, last: int | None = None) -> DataFrame:
+    """Rows so that the files written, read by name, are in ordinal order.
 
-def in_file_order(df: DataFrame, ordinal: str = ORDINAL) -> DataFrame:
-    """Rows so that the files written, read by name, are in ordinal order."""
-    return df.repartitionByRange(ref(ordinal)).sortWithinPartitions(ref(ordinal))
+    Ordinals are whole numbers without large gaps, so each row's file follows from its ordinal and the ``last``
+    one (looked up in a narrow read if not given); nothing is sampled.
+    """
+    if last is None:
+        last = df.agg(F.max(ref(ordinal))).head()[0] or 0
+    files = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = max(1, -(-(last + 1) // files))
+    file = F.least(F.greatest(F.coalesce(F.floor(ref(ordinal) / width), F.lit(0)), F.lit(0)), F.lit(files - 1)).cast("int")
+    return df.repartitionById(files, file).sortWithinPartitions(ref(ordinal))
 
 
-def export_ledger(df: DataFrame, path: str, fmt: str = "csv", ordinal: str = ORDINAL) -> dict:
+def export_ledger(df: DataFrame, path: str, fmt: str = "csv", ordinal: str = ORDINAL, last: int | None = None) -> dict:
     """Export all columns but the ordinal, in order, under presentation names."""
-    out = present_headers(in_file_order(df, ordinal).drop(ordinal))
-    return {"path": path, "rows": _write(out, path, fmt), "columns": out.columns}
+    out = present_headers(in_file_order(df, ordinal, last).drop(ordinal))
+    return {"path": path, "rows": _write(out, path, fmt)["rows"], "columns": out.columns}
 
 
 def run_summary_sheet(runs: DataFrame, run_id: int) -> DataFrame:
@@ -63,9 +90,9 @@ def export_run(runs: DataFrame, results: DataFrame, run_id: int, path: str, fmt:
     details = run_details_sheet(results, run_id, translated)
     ordered = details.repartitionByRange("key_ordinal", "row_identifier").sortWithinPartitions("key_ordinal", "row_identifier")
     paths = {"summary": f"{path}/summary", "details": f"{path}/details"}
-    if not _write(run_summary_sheet(runs, run_id), paths["summary"], fmt):
+    if not _write(run_summary_sheet(runs, run_id), paths["summary"], fmt)["rows"]:
         raise LookupError(f"run not found: {run_id}")
-    return {**paths, "rows": _write(ordered, paths["details"], fmt)}
+    return {**paths, "rows": _write(ordered, paths["details"], fmt)["rows"]}
 
 
 def export_enriched(enriched: DataFrame, path: str, fmt: str = "csv") -> str:

@@ -307,7 +307,7 @@ ORACLES["run_export"] = ORACLES["label_translate"]
 ORACLES["run_export_summary"] = f"""{_TWO}
 SELECT 4 AS run_id, 'completed' AS status, 'itens x pedidos' AS config_name, count(*) AS keys_evaluated,
        count(*) FILTER (grp = 'Conciliados') AS matched_keys, count(*) FILTER (grp <> 'Conciliados') AS unmatched_keys FROM recon"""
-ORACLES["enriched_export"] = f"""{_TWO}
+ORACLES["enriched_export"] = f"""{_BOTH}
 SELECT recon_key_name, recon_status, count(*) AS rows, count(*) FILTER (d > 0) AS positive FROM (
   SELECT coalesce(q.key_name, p.key_name) AS recon_key_name, coalesce(q.status, p.status) AS recon_status,
          coalesce(q.difference, p.difference) AS d {_HITS_A})
@@ -354,3 +354,25 @@ SELECT event_type AS key, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) A
 ORACLES["side_totals_duplicates"] = """
 SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(sum(l_linenumber + CAST(l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS total
 FROM lineitem GROUP BY 1"""
+ORACLES["results_page_deep"] = f"""{_TWO}, ordered AS (
+  SELECT key_name AS key_used, key AS row_identifier, status, grp AS group_name, difference,
+         row_number() OVER (ORDER BY key_ordinal, key) AS n, count(*) OVER () AS total FROM recon)
+SELECT key_used, row_identifier, status, group_name, difference FROM ordered WHERE n > total - 150 AND n <= total - 50"""
+ORACLES["purge_applied"] = ORACLES["purge_results"]
+ORACLES["preprocess_run_record"] = _with(MESSY_SQL, _FILLED.strip()) + f"""
+SELECT CAST(1 AS BIGINT) AS run_id, CAST(5 AS BIGINT) AS dataset_id, 'completed' AS status, CAST(NULL AS BIGINT) AS rows,
+       CAST(NULL AS INTEGER) AS columns, count(*) AS total_rows, count(*) FILTER ({_CANCELED}) AS canceled_rows,
+       count(*) FILTER (NOT {_CANCELED}) AS active_rows, CAST(NULL AS BIGINT) AS reversals_count, (SELECT count(*) FROM messy) AS stored_rows
+FROM messy
+UNION ALL
+SELECT 2, 6, 'completed', count(*), 6, NULL, NULL, NULL, count(*) FILTER ({_partner('filled', 'acct_a', 'acct_b')}), (SELECT count(*) FROM messy)
+FROM filled x"""
+ORACLES["reversal_run_rows"] = _with(_FILLED) + f"""
+SELECT CAST(41 AS BIGINT) AS run_id, CAST(2 AS BIGINT) AS dataset_id, 'Conciliado_Estorno' AS status, count(*) AS rows,
+       'completed' AS run_status, CAST(NULL AS BIGINT) AS config_id
+FROM filled x WHERE {_partner('filled', 'acct_a', 'acct_b')}"""
+ORACLES["reload_promoted"] = f"""
+SELECT {_ORDINAL} AS row_index, CAST(o_orderkey AS VARCHAR) AS pedido, CAST(o_custkey AS VARCHAR) AS cliente, o_orderstatus AS situacao,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS valor, {_DATE} AS data, o_orderpriority AS data_1 FROM orders"""
+ORACLES["preprocessed_export"] = _with(TEXT_JOURNAL_SQL) + f"""
+SELECT acct_a, acct_b, v, ind, {_CANCELED} AS "Cancelado", false AS "Estorno" FROM text_journal"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,23 +20,25 @@ from ledgerrecon.operators.enrich import attach_results, enrich, merge_results
 from ledgerrecon.operators.prepare import cancel_counts, fill_counts, fill_nulls, mark_canceled
 from ledgerrecon.operators.results import (
     append_results, filter_results, page, page_after, present, present_headers, purge, result_rows, run_with_results,
-    total_rows,
+    store_pages, stored_page, total_rows,
 )
 from ledgerrecon.operators.reversals import (
     mark_reversals, reversal_counts, reversal_pairs, reversal_pairs_one_to_one, reversal_results, reversal_rows,
 )
 from ledgerrecon.operators.totals import group_breakdown, missing_keys, run_summary, side_totals, status_breakdown
 from ledgerrecon.plans.preprocess import (
-    preprocess, preprocess_base_b, preprocess_generic, reversal_run_results,
+    persist_reversal_runs, preprocess, preprocess_base_b, preprocess_generic, reversal_run_results, run_base_b, run_generic,
 )
+from ledgerrecon.plans.purge import purge_dataset
 from ledgerrecon.plans.reconcile import persist_run, reconcile, run_and_enrich
 from ledgerrecon.session import shared_path
 from ledgerrecon.sources.catalog import (
     apply_headers, cast_text_columns, column_profile, infer_text_types, mapped_columns, text_column_evidence,
 )
-from ledgerrecon.sources.readers import ingest, preview, read_source
+from ledgerrecon.sources.headers import promote_header
+from ledgerrecon.sources.readers import ingest, preview, read_rows, read_source
 from ledgerrecon.sources.sinks import (
-    export_enriched, export_ledger, export_run, in_file_order, write_prepared,
+    export_enriched, export_ledger, export_prepared, export_run, in_file_order, write_prepared,
 )
 from workloads.ledgers import (
     BY_ORDER, BY_YEAR, MESSY_TYPES, journal, messy, recon_a, recon_b, recon_config, table, text_journal,
@@ -662,12 +665,16 @@ def ingest_quoted_lines(spark, sf_dir):
 def header_many_files(spark, sf_dir):
     path = shared_path(spark, "preamble")
     orders = table(spark, sf_dir, "orders")
-    for part in range(3):
-        line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
-        first = spark.createDataFrame([(f"parte {part},,",), ("pedido,situacao,prioridade",)], "value string").coalesce(1)
-        rows = orders.where(F.col("o_orderkey") % 3 == part).select(line.alias("value")).coalesce(1)
-        first.union(rows).coalesce(1).write.mode("append").text(path)
-    read = read_source(spark, SourceSpec(path, "csv", header_row=2), ordinal="row_index")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    # a file for each thousand orders, with its own preamble and header
+    part = F.floor(F.col("o_orderkey") / 4000).cast("string")
+    top = lambda at, text: F.struct(F.lit(at).alias("at"), text.alias("value"))
+    heads = orders.select(part.alias("part")).distinct().select("part", F.inline(F.array(
+        top(0, F.concat(F.lit("parte "), F.col("part"), F.lit(",,"))), top(1, F.lit("pedido,situacao,prioridade")))))
+    rows = orders.select(part.alias("part"), (F.col("o_orderkey") + 2).alias("at"), line.alias("value"))
+    files = heads.select("part", F.col("at").cast("bigint").alias("at"), "value").unionByName(rows)
+    files.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+    read = read_source(spark, SourceSpec(f"{path}/part=*", "csv", header_row=2), ordinal="row_index")
     return read.groupBy("situacao", "prioridade").agg(
         F.count("*").alias("pedidos"), F.min("pedido").alias("primeiro"), F.max("pedido").alias("ultimo"),
     )
@@ -683,14 +690,74 @@ def preprocess_many_reversals(spark, sf_dir):
 @query
 def pages_cover_all(spark, sf_dir):
     _, results = _stored_run(spark, sf_dir, run_id=6)
-    rows = results.count()
-    limit = rows // 3 + 1
-    current = page(results, limit)
-    out = current
-    for _ in range(2):
-        current = page_after(results, current.tail(1)[0], limit)
-        out = out.unionByName(current)
-    return out.select("key_used", "row_identifier", "status")
+    path = shared_path(spark, "pages")
+    store_pages(results, path)
+    files = spark.read.parquet(f"{path}/index").agg(F.max(F.col("before") + F.col("rows")).alias("rows"), F.count("*").alias("files")).head()
+    # a page for each file of the store, cut across the files' borders
+    limit = -(-files["rows"] // files["files"])
+    pages = [stored_page(spark, path, limit, offset) for offset in range(0, files["rows"], limit)]
+    return reduce(DataFrame.unionByName, pages).select("key_used", "row_identifier", "status")
+
+
+@query
+def results_page_deep(spark, sf_dir):
+    path = shared_path(spark, "pages")
+    results = _results(spark, sf_dir)
+    store_pages(results, path)
+    rows = spark.read.parquet(f"{path}/index").agg(F.sum("rows")).head()[0]
+    return stored_page(spark, path, 100, rows - 150).select("key_used", "row_identifier", "status", "group_name", "difference")
+
+
+@query
+def purge_applied(spark, sf_dir):
+    results, runs, configs = _history(spark, sf_dir)
+    paths = [shared_path(spark, n) for n in ("results", "runs", "configs")]
+    results.write.partitionBy("run_id").parquet(paths[0])
+    runs.write.partitionBy("run_id").parquet(paths[1])
+    configs.write.parquet(paths[2])
+    purge_dataset(spark, 3, *paths)
+    left = spark.read.parquet(paths[0])
+    return left.select(F.col("run_id").cast("bigint").alias("run_id"), "dataset_id", "row_identifier", "difference")
+
+
+@query
+def preprocess_run_record(spark, sf_dir):
+    runs = shared_path(spark, "preprocess_runs")
+    stored = shared_path(spark, "prepared")
+    run_base_b(spark, messy(spark, sf_dir), "b", CANCEL_S, 1, 5, stored, runs, ordinal="k")
+    run_generic(spark, text_journal(spark, sf_dir), 2, 6, shared_path(spark, "prepared"), runs, "acct_a", "acct_b", "v", _TEXT_JOURNAL_TYPES)
+    kept = spark.read.parquet(stored).agg(F.count("*").alias("stored_rows"))
+    return spark.read.parquet(runs).select(
+        F.col("run_id").cast("bigint").alias("run_id"), "dataset_id", "status", "summary.rows", "summary.columns", "summary.total_rows",
+        "summary.canceled_rows", "summary.active_rows", "summary.reversals_count").crossJoin(F.broadcast(kept))
+
+
+@query
+def reversal_run_rows(spark, sf_dir):
+    results, runs = shared_path(spark, "results"), shared_path(spark, "runs")
+    rows = fill_nulls(text_journal(spark, sf_dir), _TEXT_JOURNAL_TYPES)
+    configs = [TEXT_PAIRS, ReversalConfig("acct_a", "gone", "v"), ReversalConfig("acct_a", "ind", "v")]
+    persist_reversal_runs(spark, rows, configs, 41, 2, results, runs)
+    run, found = run_with_results(spark.read.parquet(runs), spark.read.parquet(results), 41)
+    tally = found.groupBy(F.col("run_id").cast("bigint").alias("run_id"), "dataset_id", "status").agg(F.count("*").alias("rows"))
+    return tally.join(run.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("status").alias("run_status"), "config_id"), "run_id")
+
+
+@query
+def reload_promoted(spark, sf_dir):
+    path = _with_preamble(spark, sf_dir, ["Relatorio de pedidos,,", ",emitido,hoje", ",pedido,cliente,situacao,valor,data,data,"], ",")
+    stored = shared_path(spark, "ledger")
+    # stored as it is, as text under plain names; the header is promoted on reload
+    read_rows(spark, SourceSpec(path, "csv"), 7, "row_index").write.parquet(stored)
+    return promote_header(spark.read.parquet(stored), 3, "B")
+
+
+@query
+def preprocessed_export(spark, sf_dir):
+    stored, out = shared_path(spark, "prepared"), shared_path(spark, "export")
+    write_prepared(mark_canceled(text_journal(spark, sf_dir), CANCEL_S), stored)
+    export_prepared(spark, stored, out, "parquet")
+    return spark.read.parquet(out)
 
 
 @query
