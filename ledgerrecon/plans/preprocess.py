@@ -105,12 +105,14 @@ PREPROCESS_RUN_SCHEMA = (
 )
 
 
-def _save(spark: SparkSession, rows: DataFrame, run_id: int, dataset_id: int, path: str, runs_path: str, started_at: str,
-          base_b: bool) -> DataFrame:
-    """Store prepared rows and the record of the run; its counts come from the write itself."""
-    flag = lambda name: truthy(ref(name), column_type(rows, name)) if name in rows.columns else F.lit(False)
+def _save(spark: SparkSession, rows: DataFrame, catalog: Sequence[tuple[str, str | None]] | None, run_id: int, dataset_id: int,
+          path: str, runs_path: str, started_at: str, base_b: bool) -> DataFrame:
+    """Store prepared rows under logical names, and the record of the run; its counts come from the write itself."""
+    renamed = apply_headers(rows, catalog or ())
+    named = dict(zip(rows.columns, renamed.columns))
+    flag = lambda name: truthy(ref(named[name]), column_type(rows, name)) if name in named else F.lit(False)
     counts = {"canceled_rows": F.count_if(flag(CANCELED_FLAG)), "reversals_count": F.count_if(flag(REVERSAL_FLAG))}
-    stored, seen = write_prepared_counted(rows, path, counts)
+    stored, seen = write_prepared_counted(renamed, path, counts)
     total = seen["rows"]
     summary = (
         (None, None, total, seen["canceled_rows"], total - seen["canceled_rows"], None, path) if base_b
@@ -145,8 +147,8 @@ def run_base_b(spark: SparkSession, df: DataFrame, base_type: str, cancellation:
     Returns the run's record: total, canceled and active rows and where they lie. The ledger is computed once.
     """
     started_at = _now()
-    out = apply_headers(_base_b(df, base_type, cancellation, ordinal), catalog or ())
-    return _save(spark, out, run_id, dataset_id, path, runs_path, started_at, base_b=True)
+    out = _base_b(df, base_type, cancellation, ordinal)
+    return _save(spark, out, catalog, run_id, dataset_id, path, runs_path, started_at, base_b=True)
 
 
 def preprocess_generic(df: DataFrame, col_a: str | None = None, col_b: str | None = None,
@@ -174,5 +176,5 @@ def run_generic(spark: SparkSession, df: DataFrame, run_id: int, dataset_id: int
     """``preprocess_generic``, stored under logical names, with the run's record: rows, columns, reversals, place."""
     started_at = _now()
     configs = [ReversalConfig(col_a, col_b, value_column)] if col_a and col_b and value_column else []
-    out = apply_headers(preprocess(df, schema, None, configs, ordinal), catalog or ())
-    return _save(spark, out, run_id, dataset_id, path, runs_path, started_at, base_b=False)
+    out = preprocess(df, schema, None, configs, ordinal)
+    return _save(spark, out, catalog, run_id, dataset_id, path, runs_path, started_at, base_b=False)

@@ -49,14 +49,14 @@ def text_column_evidence(df: DataFrame, names: Sequence[str]) -> DataFrame:
     kind = F.col("kind")
     seen = df.select(F.inline(kinds)).groupBy("position").agg(
         F.count(kind).alias("filled"), F.count_if(kind >= 2).alias("numbers"), F.count_if(kind >= 3).alias("wholes"),
-        F.count_if(kind == 4).alias("longs"), F.count_if(kind == 1).alias("booleans"),
+        F.count_if(kind == 4).alias("longs"), F.count_if(kind == 1).alias("booleans"), F.count("*").alias("cells"),
     )
     titles = F.array(*[F.lit(n) for n in names])
-    seen = seen.select(F.get(titles, F.col("position")).alias("column"), "filled", "numbers", "wholes", "longs", "booleans")
+    seen = seen.select(F.get(titles, F.col("position")).alias("column"), "filled", "numbers", "wholes", "longs", "booleans", "cells")
     filled = F.col("filled")
     storage = (
         F.when(filled == 0, "double")
-        .when(F.col("booleans") == filled, "boolean")
+        .when(F.col("booleans") == F.col("cells"), "boolean")  # with blanks in between they stay text
         .when((F.col("wholes") == filled) & (F.col("longs") == filled), "bigint")
         .when(F.col("wholes") == filled, "string")
         .when(F.col("numbers") == filled, "double")

@@ -40,9 +40,11 @@ def test_types_missing_cells_and_quotes(spark, tmp_path):
             '3,-2e3, x ,,12345678901234567890123456789012345678901236,\n')
     df = read_source(spark, SourceSpec(csv_file(tmp_path, text), "TXT"), ordinal="row_index").orderBy("row_index")
     assert dict(df.dtypes) == {"row_index": "bigint", "id": "bigint", "valor": "double", "nome": "string",
-                               "ok": "boolean", "chave": "string", "vazio": "double"}
+                               "ok": "string", "chave": "string", "vazio": "double"}
     assert rows(df.select("id", "valor", "nome", "ok", "vazio")) == [
-        (1, 1.5, 'a, "b"', True, None), (2, None, None, False, None), (3, -2000.0, " x ", None, None)]
+        (1, 1.5, 'a, "b"', "True", None), (2, None, None, "False", None), (3, -2000.0, " x ", None, None)]
+    df = read_source(spark, SourceSpec(csv_file(tmp_path, "ok,n\nTrue,1\nfalse,2\n", "full.csv")))
+    assert df.dtypes == [("ok", "boolean"), ("n", "bigint")]
 
 
 def test_duplicate_names_and_errors(spark, tmp_path):

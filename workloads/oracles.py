@@ -266,7 +266,7 @@ FROM supplier WHERE s_nationkey NOT IN (SELECT config_id FROM doomed)"""
 _TYPED = """
 SELECT '{0}' AS "column", count({1}) AS filled,
   CASE WHEN count({1}) = 0 THEN 'double'
-       WHEN count({1}) = count(*) FILTER ({1} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean'
+       WHEN count(*) = count(*) FILTER ({1} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) THEN 'boolean'
        WHEN count({1}) = count(*) FILTER (regexp_full_match({1}, '[+-]?\\d+')) THEN
          CASE WHEN count({1}) = count(*) FILTER (try_cast({1} AS BIGINT) IS NOT NULL) THEN 'bigint' ELSE 'string' END
        WHEN count({1}) = count(*) FILTER (regexp_full_match({1}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?')) THEN 'double'
