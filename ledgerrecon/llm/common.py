@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -15,21 +17,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerrecon.session import shared_path
+from ledgerrecon.session import remove_path, shared_path
 
 #: Words kept with their hashes by each Python worker.
 WORD_CACHE = 120_000
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """The frame written below the shared folder and read again: cuts lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """The frame written below the shared folder and read again: cuts lineage, survives lost executors.
+
+    The folder's path is added to ``paths``, for a job to remove once nothing reads it any more (``clear``).
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Removes staged folders that nothing reads any more."""
+    while paths:
+        remove_path(spark, paths.pop())
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -69,6 +82,27 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     return ranged.withColumn(name, (base + F.coalesce(inside, F.lit(0))).cast("long")).drop("_part")
 
 
+_HELD: list = [None, None]
+
+
+def held(kind: Hashable, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks: one thing at a time, made when a task first asks for its kind.
+
+    Workers live as long as the session. If each operator kept its own tables in them, an executor would hold
+    those of every job it ever ran; so asking for another kind lets the one before go, and its memory back.
+    """
+    if _HELD[0] != kind:
+        _HELD[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            pass
+        _HELD[:] = [kind, make()]
+    return _HELD[1]
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -77,9 +111,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def binary_list(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a text column."""
     return column.cast(pa.binary()).to_pylist()
@@ -87,10 +118,11 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
 
 def hashed_words(texts: list[bytes | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words between ASCII white space of all texts, and where each text begins (one more at the end)."""
+    known = held("words", _WordHashes)
     parts, ends = [], [0]
     for text in texts:
         words = (text.translate(LOWER_ASCII) if lower else text).split() if text else ()
-        parts.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         ends.append(ends[-1] + len(words))
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.array(ends, np.int64)
 
@@ -140,6 +172,14 @@ def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[
     return docs.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns]
 
 
+def private_name(df: DataFrame, name: str) -> str:
+    """``name``, or the like of it, that no column of the frame has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

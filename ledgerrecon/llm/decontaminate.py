@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerrecon.llm.common import arrow_map, set_aside
+from ledgerrecon.llm.common import arrow_map, held, set_aside
 
 #: Words of benchmark items in one automaton, and so the bound on what an executor is sent.
 BLOCK_WORDS = 100_000
@@ -206,16 +206,14 @@ def find_passages(
     return out
 
 
-_BUILT: dict[str, SuffixAutomaton] = {}
-
-
 def _automaton(key: str, handle) -> SuffixAutomaton:
     """Built once in each worker from the block it was sent."""
-    if key not in _BUILT:
-        if len(_BUILT) > 1:
-            _BUILT.clear()
-        _BUILT[key] = SuffixAutomaton(*handle.value)
-    return _BUILT[key]
+    built = held("automata", dict)
+    if key not in built:
+        if len(built) > 1:
+            built.clear()
+        built[key] = SuffixAutomaton(*handle.value)
+    return built[key]
 
 
 def _scanner(key: str, handle, text_col: str, names_out: list[str]):

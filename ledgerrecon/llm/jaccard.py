@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import arrow_map, binary_list, hashed_words, mixed, stage, text_runs, window_hashes
+from ledgerrecon.llm.common import arrow_map, binary_list, clear, hashed_words, mixed, stage, text_runs, window_hashes
 
 #: Frequent n-grams whose counts all tasks get (16 bytes each): bounds the broadcast, not the result.
 FREQUENT = 500_000
 #: N-grams counted at least so often are candidates for that table.
 LEAST_COUNT = 3
-BUCKET_BITS = 10
+#: N-grams counted together by one task, about (4 bytes each): the number of buckets follows from it.
+BUCKET_GRAMS = 2_000_000
 #: Lists up to this length give all their pairs; longer ones are joined through hubs first.
 SHORT_LIST = 3
 HUB_ROUNDS = 3
@@ -90,17 +91,22 @@ def _sets_of(batches: Iterator[pa.RecordBatch], size: int, once: bool):
         yield batch, grams[places], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), digest, rows, ends
 
 
-def _count_blocks(size: int):
+def bucket_bits(grams: int) -> int:
+    """How many leading bits of an n-gram's hash name its bucket, for so many n-grams in all."""
+    return min(24, max(6, (grams // BUCKET_GRAMS).bit_length()))
+
+
+def _count_blocks(size: int, bits: int):
     """N-grams of each batch by bucket, 32 bits of each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams, *_ in _sets_of(batches, size, True):
             grams = np.sort(grams)
-            bucket = (grams >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            low = ((grams >> np.uint64(32 - BUCKET_BITS)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            edges = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
-            used = np.flatnonzero(np.diff(edges))
+            bucket = (grams >> np.uint64(64 - bits)).astype(np.int64)
+            low = ((grams >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(starts[1:], len(bucket))
             yield pa.RecordBatch.from_arrays([
-                pa.array(used, pa.int64()), pa.array([low[edges[b] : edges[b + 1]].tobytes() for b in used.tolist()], pa.binary()),
+                pa.array(bucket[starts]), pa.array([low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
             ], ["bucket", "grams"])
     return run
 
@@ -125,27 +131,36 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield counted(at, parts)
 
 
-def frequent_ngrams(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_ngrams(rows: DataFrame, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams, by a prefix of their hash, with how many classes hold each (in each batch once).
 
-    Of all n-grams in ``LEAST_COUNT`` classes or more, as many as ``FREQUENT`` allows, the rest taken as rare.
+    At most ``FREQUENT`` of those in ``LEAST_COUNT`` classes or more; all others are taken as rare.
     """
-    blocks = arrow_map(rows, _count_blocks(size), "bucket long, grams binary")
-    counts = stage(arrow_map(blocks.repartition("bucket").sortWithinPartitions("bucket"), _bucket_counts, "gram long, n long"), "counts")
-    per_count = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("k")).collect()
-    least, total = 100_000, 0
-    for row in sorted(per_count, key=lambda r: -r["n"]):
-        total += row["k"]
-        if total > FREQUENT:
+    paths: list[str] = []
+    blocks = arrow_map(rows, _count_blocks(size, bits), "bucket long, grams binary")
+    counts = stage(arrow_map(blocks.repartition("bucket").sortWithinPartitions("bucket"), _bucket_counts, "gram long, n long"), "counts", paths)
+    # sixteen steps for each doubling of the count: a few hundred rows
+    step = F.floor(F.log2("n") * 16).cast("int")
+    per_step = {r["step"]: r["k"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()}
+    taken, total, open_step = [], 0, None
+    for at in sorted(per_step, reverse=True):
+        if total + per_step[at] > FREQUENT:
+            open_step = at
             break
-        least = row["n"]
-    table = counts.where(F.col("n") >= least).toArrow()
+        taken.append(at)
+        total += per_step[at]
+    wanted = step >= (min(taken) if taken else 1 << 30)
+    if open_step is not None:  # of the step that is too large, as large a part as fits, by hash
+        part = int((FREQUENT - total) / per_step[open_step] * 0.95 * (1 << 20))
+        wanted = wanted | ((step == open_step) & (F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) < part))
+    table = counts.where(wanted).limit(FREQUENT).toArrow()
+    clear(rows.sparkSession, paths)
     keys, n = table.column("gram").to_numpy().astype(np.int64), table.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
-def _prefix_rows(size: int, threshold: int, shared):
+def _prefix_rows(size: int, threshold: int, bits: int, shared):
     """(n-gram, class, meta) of each prefix; meta packs set size, place in the order, level of the n-gram and ``l`` of the class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
@@ -154,7 +169,7 @@ def _prefix_rows(size: int, threshold: int, shared):
             doc = np.repeat(np.arange(len(n)), n)
             often = np.zeros(len(grams), np.int64)
             if len(keys):
-                short = (grams >> np.uint64(32 - BUCKET_BITS)).astype(np.int64)
+                short = (grams >> np.uint64(32 - bits)).astype(np.int64)
                 place = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
                 hit = keys[place] == short
                 often[hit] = counts[place[hit]]
@@ -236,12 +251,15 @@ def _verified(threshold: int):
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; stored."""
-    pairs = stage(pairs, "pairs")
-    needed_sets = stage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
+    paths: list[str] = []
+    pairs = stage(pairs, "pairs", paths)
+    needed_sets = stage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed", paths)
     sets = sets.join(_small(needed_sets), "cls", "left_semi")
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams")), "b")
-    return stage(arrow_map(two.select("a", "b", "a_grams", "b_grams"), _verified(threshold), "a long, b long"), "links")
+    links = stage(arrow_map(two.select("a", "b", "a_grams", "b_grams"), _verified(threshold), "a long, b long"), "links")
+    clear(pairs.sparkSession, paths)
+    return links
 
 
 def _ordered_pairs(pairs: DataFrame, threshold: int) -> DataFrame:
@@ -256,17 +274,21 @@ def components(links: DataFrame) -> DataFrame:
     Each round, every class takes the smallest label among its neighbours, then the label of that
     label, so paths halve; it ends when a round changes nothing.
     """
-    both = stage(links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
-    labels = stage(both.groupBy("cls").agg(F.min("other").alias("m")).select("cls", F.least("cls", "m").alias("label")), "labels")
+    paths: list[str] = []
+    both = stage(links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges", paths)
+    labels = stage(both.groupBy("cls").agg(F.min("other").alias("m")).select("cls", F.least("cls", "m").alias("label")), "labels", paths)
     while True:
         seen = both.join(labels.select(F.col("cls").alias("other"), F.col("label").alias("seen")), "other")
         lower = seen.groupBy("cls").agg(F.min("seen").alias("seen"))
         step = labels.join(lower, "cls").select("cls", F.least("label", "seen").alias("next"), "label")
         up = labels.select(F.col("cls").alias("next"), F.col("label").alias("above"))
-        step = stage(step.join(up, "next", "left").select("cls", F.least("next", F.coalesce("above", "next")).alias("new"), "label"), "labels")
+        made: list[str] = []
+        step = stage(step.join(up, "next", "left").select("cls", F.least("next", F.coalesce("above", "next")).alias("new"), "label"), "labels", made)
         labels = step.select("cls", F.col("new").alias("label"))
         if not step.where(F.col("new") != F.col("label")).limit(1).count():
+            clear(links.sparkSession, paths)
             return labels
+        paths += made
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,18 +323,20 @@ def similar_documents(
     linked; repeated rows are returned as often as they occur. Only these columns are returned.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sc = docs.sparkSession.sparkContext
+    sc, paths = docs.sparkSession.sparkContext, []
     classes = stage(arrow_map(rows, _class_rows(size), "id long, cls long, n_shingles long"), "classes")
     texts = rows.select("text")
-    shared = sc.broadcast(frequent_ngrams(texts, size))  # at most FREQUENT entries
-    prefixes = arrow_map(texts, _prefix_rows(size, threshold, shared), "gram long, cls long, meta long")
+    bits = bucket_bits(classes.agg(F.sum("n_shingles")).head()[0] or 0)
+    shared = sc.broadcast(frequent_ngrams(texts, size, bits))  # at most FREQUENT entries
+    prefixes = arrow_map(texts, _prefix_rows(size, threshold, bits, shared), "gram long, cls long, meta long")
     met = prefixes.repartition("gram").sortWithinPartitions("gram", "cls")
-    entries = stage(arrow_map(met, _shared_only, "gram long, cls long, meta long"), "entries")
+    entries = stage(arrow_map(met, _shared_only, "gram long, cls long, meta long"), "entries", paths)
     lengths = entries.groupBy("gram").agg(F.count("*").alias("length"))
-    long_ones = stage(lengths.where(F.col("length") > SHORT_LIST).select("gram"), "long")
-    long_lists = stage(entries.join(long_ones, "gram", "left_semi"), "lists")
-    in_long = long_lists.groupBy("cls").agg(F.count("*").alias("hidden"))
-    short_lists = entries.join(long_ones, "gram", "left_anti").join(in_long, "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
+    long_ones = stage(lengths.where(F.col("length") > SHORT_LIST).select("gram"), "long", paths)
+    in_lists = entries.join(long_ones, "gram", "left_semi")
+    in_long = stage(in_lists.groupBy("cls").agg(F.count("*").alias("hidden")), "in-long", paths)
+    long_lists = stage(in_lists.join(_small(in_long), "cls"), "lists", paths)
+    short_lists = entries.join(long_ones, "gram", "left_anti").join(_small(in_long), "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
     left, right = short_lists.alias("l"), short_lists.alias("r")
     level = lambda meta: F.shiftright(meta, 4).bitwiseAND(F.lit(15))
     ask = F.least(F.col("l.meta").bitwiseAND(F.lit(15)), F.col("r.meta").bitwiseAND(F.lit(15)))
@@ -329,23 +353,24 @@ def similar_documents(
     # may share in long lists besides is not in these counts and is allowed for
     bound = F.col("k") + F.col("hidden") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) - 1
     enough = (F.col("matches") + F.col("hidden") >= F.col("ask")) & (bound * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold)
-    tested = stage(counted.where(enough).select("a", "b"), "pairs")
+    tested = stage(counted.where(enough).select("a", "b"), "pairs", paths)
 
     # whole sets of the classes that are to be compared
-    wanted = stage(tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(long_lists.select("cls")).distinct(), "wanted")
+    wanted = stage(tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(in_long.select("cls")).distinct(), "wanted", paths)
     each = classes.join(_small(wanted), "cls", "left_semi").groupBy("cls", "id").count()
-    one_each = stage(each.groupBy("cls").agg(F.min(F.struct("id", "count")).alias("one")).select("one.*"), "one-each")
-    ids = stage(one_each.select(F.col("id").alias("_id")).distinct(), "ids")
+    one_each = stage(each.groupBy("cls").agg(F.min(F.struct("id", "count")).alias("one")).select("one.*"), "one-each", paths)
+    ids = stage(one_each.select(F.col("id").alias("_id")).distinct(), "ids", paths)
     source = rows.join(_small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     found = arrow_map(source, _set_rows(size), "cls long, grams binary").join(_small(wanted), "cls", "left_semi")
     if one_each.where("count > 1").limit(1).count():
         found = found.dropDuplicates(["cls"])  # rows are repeated
-    sets = stage(found, "sets")
+    sets = stage(found, "sets", paths)
 
     links, rest = None, long_lists.withColumn("label", F.col("cls"))
     for turn in range(HUB_ROUNDS):
-        # first the member with the fewest rare n-grams before this one, which is the least changed copy; then any
-        rank = F.struct(_spot("meta") if turn == 0 else F.lit(0), F.xxhash64("cls", F.lit(turn)))
+        # first the member of the most long lists, which is the least changed copy; then any. Both say the same in
+        # all lists, so lists of the same members have one hub, and a member is not compared once for each list
+        rank = F.struct(-F.col("hidden") if turn == 0 else F.lit(0), F.xxhash64("cls", F.lit(turn)))
         hub = rest.groupBy("gram").agg(F.min_by(F.struct("cls", "meta", "label"), rank).alias("hub"))
         tried = rest.join(hub, "gram").where("label <> hub.label")
         stars = tried.select(F.col("cls").alias("x"), _size("meta").alias("nx"), F.col("hub.cls").alias("y"), _size("hub.meta").alias("ny"))
@@ -353,7 +378,7 @@ def similar_documents(
         new = _verify(pairs if links is not None else pairs.union(tested).distinct(), sets, threshold)
         links = new if links is None else links.union(new)
         labels = components(links)
-        rest = stage(_labelled(long_lists, labels), "open")
+        rest = stage(_labelled(long_lists, labels), "open", paths)
         if not rest.limit(1).count():
             break
     sizes = rest.groupBy("gram", "label").count()
@@ -369,6 +394,7 @@ def similar_documents(
     ))
     last = _ordered_pairs(apart.select("x", _size("mx").alias("nx"), "y", _size("my").alias("ny")), threshold)
     labels = components(links.union(_verify(last, sets, threshold)))
+    clear(docs.sparkSession, paths)
 
     known = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = known.where("n_shingles > 0").groupBy("label").agg(F.min("id").alias("component_id"))

@@ -1,18 +1,24 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on token-like strings.
 
 A candidate is a run of characters that keys and tokens are made of. Its encoding is
-inferred from its characters, and three statistics say how far it is from a uniform
-random string over that alphabet:
-
-* chi-squared distance of its character counts from uniform;
-* the number of runs above and below the middle of the alphabet;
-* the correlation of each character's place in the alphabet with the next one's.
-
-The hypothesis to reject is "not random": the distance is at least a margin that ordinary
-text keeps. Each test gives a p-value under that hypothesis that shrinks with length, so
-short strings need to be the more even. A candidate's p-value is the largest of the three (all three must
-be rejected), and the Benjamini-Hochberg procedure, within each encoding and length band over
-all documents, bounds the share of ordinary strings among those reported.
+inferred from its characters, and three statistics say how far it is from an ordinary
+string of that encoding (words, names joined by case or signs, padded numbers):
+
+* chi-squared distance of its character counts from uniform: ordinary strings agree with
+  themselves more often (``AGREEMENT``), which makes the distance noncentral;
+* runs of character classes (digits, small, capital, signs): ordinary strings change class
+  at most at a known rate (``CHANGES``) from one character to the next;
+* serial correlation: in ordinary words vowels and consonants take turns, in ordinary hexadecimal
+  strings neighbours are alike (``SERIAL``).
+
+Each test gives a p-value, that of an ordinary string being so random, whose
+power grows with length. They depend on each other, so Fisher's sum is scaled as for a
+variance half as large again (Brown): ``p = exp(-t)(1 + t)`` with ``t = -2/3 (ln p1 + ln p2 + ln p3)``. The
+Benjamini-Hochberg procedure, within each encoding and length band over all documents, bounds
+the share of ordinary strings among those reported. If one candidate in a hundred is a secret, base64 strings
+are found (nine of ten) from about 32 characters on, hexadecimal and base64url ones from 40, all from 64; at 24
+characters, and without such a share, no test of this kind can tell them from ordinary strings. Strings of digits alone are never reported: identifiers
+are as random as secrets.
 
 Everything is column expressions. The p-values are rounded up to steps, so the procedure needs
 only how many candidates fell on each step.
@@ -20,19 +26,22 @@ only how many candidates fell on each step.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import stage
+from ledgerrecon.llm.common import private_name, set_aside, stage
 
 #: Share of ordinary strings among those reported, at most, in each encoding and length band.
 FALSE_DISCOVERIES = 0.01
-#: Margins of the three tests. The chance that two characters agree, which is 1/size in a random string and
-#: 0.065 or more in ordinary text, gives the chi-squared distance; then the share of runs, and the correlation.
-AGREEMENT, LEAST_DISTANCE, RUNS_MARGIN, SERIAL_MARGIN = 0.058, 0.5, 0.3, 0.6
+#: What ordinary strings do at most: chance that two characters agree, that the next one is of another class, and
+#: the correlation of neighbours (negative: of vowels and consonants), by encoding.
+AGREEMENT = {"hex": 0.16, "HEX": 0.16, "base62": 0.048, "base64url": 0.058}, 0.065
+CHANGES = {"hex": 0.22, "HEX": 0.22, "base32": 0.05, "lower36": 0.08, "upper36": 0.08, "base62": 0.38, "base64url": 0.36}, 0.33
+SERIAL = {"hex": 0.3, "HEX": 0.3}, -0.25
 MIN_LENGTH = 20
 BANDS = (20, 32, 48, 64, 128)
 STEPS = 400  # p-values are kept as -10 log10, rounded down, up to 40 decades
@@ -54,9 +63,12 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]+", 0, 20),
     Kind("hex", r"[0-9a-f]+", 0, 24),
 )
+_VOWELS = "aeiouyAEIOUY"
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CHARACTERS = _DIGITS + _LOWER + _UPPER + "-_+/"
+_CLASSES = "0" * 10 + "a" * 26 + "A" * 26 + "-" * 4
 #: Encodings from the narrowest alphabet to the widest: name, what they are written in, alphabet.
 ENCODINGS = (
     ("decimal", r"^[0-9]+$", _DIGITS),
@@ -108,12 +120,27 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(rank, kind) for rank, kind in enumerate(KINDS))))
 
 
-def _step(z: Column) -> Column:
-    """P(Z <= z) of a standard normal, by the logistic approximation, as -10 log10, rounded down to a step."""
-    exponent = F.lit(1.5976) * z + F.lit(0.07056) * z * z * z
-    # log10(1 / (1 + e^-x)) without overflow
-    log10_p = F.when(exponent > 0, -F.log1p(F.exp(-exponent))).otherwise(exponent - F.log1p(F.exp(exponent))) / F.lit(2.302585092994046)
-    return F.least(F.lit(STEPS), F.greatest(F.lit(0), F.floor(F.lit(-10.0) * log10_p))).cast("int")
+def _below(z: Column) -> Column:
+    """-ln P(Z <= z) of a standard normal, a little too small (Pollak's bound), so that no p-value is too small."""
+    x = F.abs(z)
+    far = x * x / 2 + F.log((x + F.sqrt(x * x + 8 / math.pi)) * (math.sqrt(2 * math.pi) / 2))
+    return F.when(z <= 0, far).otherwise(-F.log1p(-F.exp(-far)))
+
+
+def _more(share: Column, n: Column, rate: Column) -> Column:
+    """-ln P(share or more of n tries succeed) at a success rate, by the Bahadur-Rao form of the large-deviation bound."""
+    x = F.least(share, 1 - 0.25 / n)
+    excess = x * F.log(x / rate) + (1 - x) * F.log((1 - x) / (1 - rate))
+    tilt = 1 - rate * (1 - x) / (x * (1 - rate))
+    spread = F.sqrt(F.greatest(x * (1 - x), 0.25 / n) * n * (2 * math.pi))
+    return F.when(x > rate, n * excess + F.greatest(F.log(tilt * spread), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def _by_encoding(table: tuple[dict[str, float], float], encoding: Column) -> Column:
+    out = F.lit(table[1])
+    for name, value in table[0].items():
+        out = F.when(encoding == name, F.lit(value)).otherwise(out)
+    return out
 
 
 def _with(array: Column, kept: tuple[str, ...], **added: Callable[[Column], Column]) -> Column:
@@ -132,48 +159,66 @@ def _coded(value: str) -> Callable[[Column], Column]:
 
 
 def battery(matches: Column) -> Column:
-    """(start, end, stratum, step) of each candidate: its encoding and length band, and its p-value's step."""
+    """(start, end, stratum, step) of each candidate: its encoding and length band, and its p-value's step (-10 log10 p)."""
     places = ("start", "end")
     one = _with(matches, places, body=lambda x: F.rtrim(x["part"], F.lit("=")), encoding=_coded("name"), letters=_coded("letters"))
     two = _with(
-        one, (*places, "body", "encoding", "letters"),
+        one, (*places, "body", "encoding"),
         n=lambda x: F.char_length(x["body"]).cast("double"), size=lambda x: F.char_length(x["letters"]).cast("double"),
-        at=lambda x: F.transform(F.split(x["body"], ""), lambda c: F.instr(x["letters"], c).cast("double")),
+        # places in the alphabet, or which are vowels
+        at=lambda x: F.transform(F.split(x["body"], ""), lambda c: F.when(
+            x["encoding"].isin("hex", "HEX"), F.instr(x["letters"], c)).otherwise(F.lit(_VOWELS).contains(c).cast("int")).cast("double")),
         # counts by taking each letter out: linear in the token for each of at most 64 letters
         squares=lambda x: F.aggregate(
             F.array_distinct(F.split(x["body"], "")), F.lit(0.0),
             lambda total, c: total + F.pow(F.char_length(x["body"]) - F.char_length(F.replace(x["body"], c)), F.lit(2.0)),
         ),
+        changes=lambda x: F.regexp_count(F.translate(x["body"], _CHARACTERS, _CLASSES), F.lit("0+|a+|A+|-+")).cast("double") - 1,
     )
     three = _with(
-        two, (*places, "encoding", "n", "size", "at", "squares"),
+        two, (*places, "encoding", "n", "size", "at", "squares", "changes"),
         mean=lambda x: F.aggregate(x["at"], F.lit(0.0), lambda total, p: total + p) / x["n"],
-        above=lambda x: F.array_join(F.transform(x["at"], lambda p: F.when(p > x["size"] / 2, "1").otherwise("0")), ""),
         next=lambda x: F.arrays_zip(F.slice(x["at"], 1, F.size(x["at"]) - 1).alias("a"), F.slice(x["at"], 2, F.size(x["at"]) - 1).alias("b")),
     )
     four = _with(
-        three, (*places, "encoding", "n", "size"),
-        # per character, less what a uniform string has by chance
-        distance=lambda x: (x["size"] * x["squares"] / x["n"] - x["n"] - (x["size"] - 1)) / x["n"],
-        margin=lambda x: F.greatest(F.lit(LEAST_DISTANCE), F.lit(AGREEMENT) * x["size"] - 1),
-        runs=lambda x: F.regexp_count(x["above"], F.lit("0+|1+")).cast("double"),
-        high=lambda x: F.char_length(F.replace(x["above"], F.lit("0"))).cast("double"),
+        three, (*places, "encoding", "n", "size", "changes"),
+        distance=lambda x: F.greatest(x["size"] * x["squares"] / x["n"] - x["n"], F.lit(0.0)),
+        # what ordinary strings add to the distance
+        beyond=lambda x: F.greatest(F.lit(0.2), _by_encoding(AGREEMENT, x["encoding"]) * x["size"] - 1) * x["n"],
         spread=lambda x: F.aggregate(x["at"], F.lit(0.0), lambda total, p: total + (p - x["mean"]) * (p - x["mean"])),
         together=lambda x: F.aggregate(x["next"], F.lit(0.0), lambda total, y: total + (y["a"] - x["mean"]) * (y["b"] - x["mean"])),
     )
     five = _with(
         four, (*places, "encoding", "n"),
-        uniform=lambda x: (x["distance"] - x["margin"]) * x["n"] / F.sqrt(2 * (x["size"] - 1) * (1 + 2 * x["margin"] * x["n"] / (x["size"] - 1))),
-        runs=lambda x: (F.abs(x["runs"] - 1 - 2 * x["high"] * (x["n"] - x["high"]) / x["n"]) / x["n"] - F.lit(RUNS_MARGIN)) * F.sqrt(x["n"]) * 2,
-        serial=lambda x: (F.abs(F.when(x["spread"] > 0, x["together"] / x["spread"]).otherwise(1.0)) - F.lit(SERIAL_MARGIN)) * F.sqrt(x["n"]),
+        uniform=_uniform,
+        runs=lambda x: _more(x["changes"] / (x["n"] - 1), x["n"] - 1, _by_encoding(CHANGES, x["encoding"])),
+        serial=_serial,
     )
+    six = _with(five, (*places, "encoding", "n"), t=lambda x: (x["uniform"] + x["runs"] + x["serial"]) * (2 / 3))
+    tested = lambda x: (x["n"] >= MIN_LENGTH) & x["encoding"].isNotNull() & (x["encoding"] != "decimal")
+    step = lambda x: F.least(F.lit(STEPS), F.floor((x["t"] - F.log1p(x["t"])) * (10 / math.log(10)))).cast("int")
     return _with(
-        five, places,
+        six, places,
         stratum=lambda x: F.concat_ws(":", x["encoding"], _band(x["n"]).cast("string")),
-        step=lambda x: F.when((x["n"] >= MIN_LENGTH) & x["encoding"].isNotNull(), _step(F.greatest(x["uniform"], x["runs"], x["serial"]))).otherwise(0),
+        step=lambda x: F.when(tested(x), step(x)).otherwise(0),
     )
 
 
+def _uniform(x: Column) -> Column:
+    """The distance against a noncentral chi-squared one, by the normal approximation of its cube root."""
+    mean = x["size"] - 1 + x["beyond"]
+    variance = (1 + x["beyond"] / mean) * 2 / (9 * mean)
+    return _below((F.pow(x["distance"] / mean, F.lit(1 / 3)) - (1 - variance)) / F.sqrt(variance))
+
+
+def _serial(x: Column) -> Column:
+    correlation = x["together"] / x["spread"]
+    limit = _by_encoding(SERIAL, x["encoding"])
+    off = F.when(x["encoding"].isin("hex", "HEX"), correlation - limit).otherwise(limit - correlation) * F.sqrt(x["n"])
+    # without vowels, or of one character, a string has no correlation and this test says nothing
+    return F.when(x["spread"] > 0, _below(off)).otherwise(F.lit(0.0))
+
+
 def _band(n: Column) -> Column:
     band = F.lit(BANDS[0])
     for least in BANDS[1:]:
@@ -213,22 +258,22 @@ def find_secrets(
 
     ``spans`` has the base spans and those the battery reports (kind ``random``, last in rank) that no
     base span holds. NULL and empty texts have none. Rows are judged each by itself but for the
-    discovery bound, which is over all candidates of the frame. Columns of the names added here are
+    discovery bound, which is over all candidates of the frame. Columns ``base_spans`` and ``spans`` are
     replaced, all others pass through.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    candidates = battery(located(text, CANDIDATE))
-    scanned = docs.drop("base_spans", "spans").withColumns({"base_spans": base_spans(text), "_candidates": candidates})
-    scanned = stage(scanned if keep_text else scanned.drop(text_col), "scanned")
-    limits = thresholds(scanned, false_discoveries)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    tested = private_name(docs, "_candidates")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base_spans", "spans") and (keep_text or c != text_col)]
+    scanned = stage(docs.select(*kept, base_spans(text).alias("base_spans"), battery(located(text, CANDIDATE)).alias(tested)), "scanned")
+    limits = thresholds(scanned.select(F.col(tested).alias("_candidates")), false_discoveries)
     found = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
     if limits:
         least = F.create_map(*(F.lit(x) for pair in sorted(limits.items()) for x in pair))
-        reported = F.filter("_candidates", lambda c: c["step"] >= F.try_element_at(least, c["stratum"]))
+        reported = F.filter(tested, lambda c: c["step"] >= F.try_element_at(least, c["stratum"]))
         new = F.filter(reported, lambda c: ~F.exists("base_spans", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
         found = F.transform(new, lambda c: F.struct(
             c["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("random").alias("kind"), c["end"].alias("end")))
-    return scanned.withColumn("spans", F.array_sort(F.concat("base_spans", found))).drop("_candidates")
+    return scanned.withColumn("spans", F.array_sort(F.concat("base_spans", found))).drop(tested)
 
 
 def span_text(spans: Column) -> Column:
@@ -241,18 +286,20 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
 
     Documents without spans, and NULL texts, stay as they are.
     """
+    docs, originals = set_aside(docs, ("base_spans", "spans"))
     found = find_secrets(docs, text_col, false_discoveries)
-    names = [f.name for f in docs.schema.fields]
+    text, place = F.col(f"`{text_col}`"), private_name(found, "_cut")
     cut = F.aggregate(
         "spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
+            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
     )
-    out = found.withColumn("_cut", F.when(F.size("spans") > 0, cut))
-    whole = F.concat("_cut.out", F.substr(F.col(text_col), F.col("_cut.at") + 1, F.char_length(F.col(text_col))))
-    out = out.withColumn(text_col, F.when(F.col("_cut").isNotNull(), whole).otherwise(F.col(text_col)))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.char_length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    out = found.withColumn(place, F.when(F.size("spans") > 0, cut))
+    done = F.col(place)
+    whole = F.concat(done["out"], F.substr(text, done["at"] + 1, F.char_length(text)))
+    out = out.withColumn(text_col, F.when(done.isNotNull(), whole).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(done.isNotNull(), F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*originals)

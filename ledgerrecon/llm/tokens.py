@@ -19,6 +19,8 @@ import re
 import numpy as np
 import xxhash
 
+from ledgerrecon.llm.common import held
+
 #: Pieces a worker keeps in its dictionary, in its sorted arrays, and new ones it holds before it sorts them in.
 HOT_PIECES, PIECES, NEW_PIECES = 150_000, 1_500_000, 100_000
 #: Bytes of new pieces encoded in one call.
@@ -154,11 +156,6 @@ class PieceTokenizer:
         return out
 
 
-_LOADED: dict[str, PieceTokenizer] = {}
-
-
 def piece_tokenizer(path: str) -> PieceTokenizer:
-    """One for each file and worker."""
-    if path not in _LOADED:
-        _LOADED[path] = PieceTokenizer(path)
-    return _LOADED[path]
+    """The worker's own, with what it learned in earlier tasks of the same tokenizer."""
+    return held(("tokenizer", path), lambda: PieceTokenizer(path))

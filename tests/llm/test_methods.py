@@ -1,12 +1,16 @@
 """The methods themselves against brute force."""
 
+import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import ledgerrecon.llm.jaccard as jaccard
 import ledgerrecon.llm.sharding as sharding
@@ -14,7 +18,8 @@ from ledgerrecon.llm.common import tokenizer_path
 from ledgerrecon.llm.decontaminate import SuffixAutomaton, merged
 from ledgerrecon.llm.packing import best_fit, layout, pack_lengths, reduce_lengths
 from ledgerrecon.llm.quality import judge, learn_rules, covers, repeated_words, text_counts, training_rows, with_counts
-from ledgerrecon.llm.secrets import find_secrets
+from ledgerrecon.llm.queries import QUERIES
+from ledgerrecon.llm.secrets import CANDIDATE, ENCODINGS, battery, find_secrets, located, redact_secrets, thresholds
 from ledgerrecon.llm.token_files import Block, EliasFano, encode_block
 from ledgerrecon.llm.tokens import PieceTokenizer
 from tests.llm.test_queries import smallest
@@ -177,20 +182,109 @@ def test_tokens_in_pieces():
                 assert np.frombuffer(got, "<u4").tolist() == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_battery_finds_random_strings(spark):
+_WORDS = ("the quick brown fox jumps over lazy dog customer order account value total import export reversal config reconcile pipeline "
+          "dataset column header result status group difference number string integer settings manager controller service").split()
+_ALPHABETS = {name: letters for name, _, letters in ENCODINGS if name != "decimal"}
+
+
+def ordinary(rng, encoding, n):
+    """Words, names joined by case or signs, padded numbers: what stands in ordinary text in such characters."""
+    out = ""
+    while len(out) < n:
+        word = rng.choice(_WORDS)
+        number = str(rng.randrange(100)) if rng.random() < 0.1 else ""
+        out += {
+            "lower36": word + number, "upper36": word.upper() + number, "base32": word.upper(), "base62": word.capitalize() + number,
+            "base64url": (word if rng.random() < 0.7 else word.capitalize()) + rng.choice("-_"), "base64": word + "/",
+        }.get(encoding) or rng.choice(["0" * rng.randrange(4, 12) + f"{rng.randrange(5000):x}", "ffff", "00000000", "aaaa0000"])
+    out = out[:n]
+    return out.upper() if encoding == "HEX" else out
+
+
+def judged(spark, strings):
+    """The reported ones of (name, string) among all strings."""
+    rows = spark.createDataFrame(strings, "name string, text string").repartition(8)
+    scanned = rows.withColumn("_candidates", battery(located(F.col("text"), CANDIDATE))).cache()
+    limits = thresholds(scanned, 0.01)
+    out = [r["name"] for r in scanned.collect() if any(c["step"] >= limits.get(c["stratum"], 1 << 30) for c in r["_candidates"])]
+    scanned.unpersist()
+    return Counter(out)
+
+
+@pytest.mark.parametrize("length,wanted", [(24, {}), (32, {"base64"}), (40, {"hex", "HEX", "base64", "base64url"}), (64, set(_ALPHABETS))])
+def test_battery_recall_with_one_secret_in_a_hundred(spark, length, wanted):
+    rng = random.Random(length)
+    strings = []
+    for encoding, letters in _ALPHABETS.items():
+        made = 0
+        while made < 40:
+            secret = "".join(rng.choice(letters) for _ in range(length))
+            # one that happens to look like a narrower encoding is none of this one
+            if next((n for n, pattern, _ in ENCODINGS if re.search(pattern, secret)), None) == encoding:
+                strings.append((f"secret {encoding}", secret))
+                made += 1
+        strings += [(f"ordinary {encoding}", ordinary(rng, encoding, length)) for _ in range(3960)]
+    found = judged(spark, strings)
+    recall = {e: found[f"secret {e}"] / 40 for e in _ALPHABETS}
+    false = sum(n for name, n in found.items() if name.startswith("ordinary"))
+    assert false <= 0.02 * sum(found.values()), (recall, found)
+    assert all(recall[e] >= 0.9 for e in wanted), recall
+
+
+def test_battery_reports_where_no_pattern_does(spark):
     rng = random.Random(4)
-    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
-    rows = []
-    for k in range(300):
-        secret = "".join(rng.choice(alphabets[k % 3]) for _ in range(64))
-        ordinary = "".join(rng.choice("eeeeettaaoiinnsrhlducm") for _ in range(64))
-        rows.append((k, f"see {secret} and"))
-        rows.append((1000 + k, f"see {ordinary} and"))
-    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).where("exists(spans, s -> s.kind = 'random')")
-    keys = [r["doc_id"] for r in found.collect()]
-    assert sum(k >= 1000 for k in keys) <= 0.02 * len(keys)
-    # hex strings of this length are found by their pattern, not reported twice
-    assert sum(k < 1000 and k % 3 > 0 for k in keys) >= 150
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(k, f"see {pick(_ALPHABETS['base64'], 40)} and") for k in range(20)] + [(100, f"x {'the/path/' * 6} y"), (101, "9" * 40), (102, None)]
+    rows += [(200 + k, f"fingerprint {pick('0123456789ABCDEF', 40)}.") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'own' AS _candidates", "1 AS _cut")
+    found = {r["doc_id"]: r for r in find_secrets(docs).collect()}
+    spans = {k: [s["kind"] for s in r["spans"]] for k, r in found.items()}
+    assert sum(spans[k] == ["random"] for k in range(20)) >= 18 and sum(spans[200 + k] == ["random"] for k in range(10)) >= 9
+    assert spans[100] == spans[101] == spans[102] == [] and found[101]["_candidates"] == "own"
+    assert redact_secrets(docs).columns == docs.columns
+
+
+def brute_base_spans(text):
+    """Spans of the fixed patterns as the task words them, with Python's own regular expressions."""
+    text, out = text or "", []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        out += [(m.start(), 0, "assign", m.end())] if len(m[2]) >= 6 else []
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secret_query_equals_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op6_secret_scans"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for row in got:
+        base = brute_base_spans(docs[row["doc_id"]])
+        kinds = Counter(kind for _, _, kind, _ in base)
+        text = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in base)
+        assert (row["n_assign"], row["n_access"], row["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert row["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(row["spans"].split(","))
+
+
+def brute_counts(text):
+    """The base columns of the quality query for one text."""
+    lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(i, i + 3)}
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again))
+
+
+def test_quality_query_equals_brute_force(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got = QUERIES["op3_quality_rules"](spark, sf_dir).collect()
+    assert len(got) == len(docs)
+    for row in got:
+        want = brute_counts(docs[row["doc_id"]])
+        assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == want
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert row["base_failed"] == failed and not (failed and row["kept"])
 
 
 def links_of(sets, threshold=75):
