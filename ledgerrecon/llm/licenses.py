@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerrecon.llm.common import private_name, stage
+
 #: Spellings that licence texts use for each other, the second is kept.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
@@ -27,7 +29,7 @@ OWNER_LINE = (
 )
 #: The lines that the SQL leaves out. Of the given tables it leaves out the same.
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-#: Known texts a scan holds in one value for lines, at most; a longer list is an error.
+#: Known texts a scan holds in one value for lines, at most; the lines of a longer list are joined by their digests.
 MAX_NOTICES = 10_000
 #: Known digests that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -152,27 +154,43 @@ def find_licenses(docs: DataFrame, known: DataFrame | None = None, text_col: str
     known text is a whole line of it. NULL texts, and those canonically empty, have no digest, no licence and no
     notices. Rows are judged each by itself. Columns of the names added here are replaced, all others pass through.
     """
+    added = ("text_digest", "license_id", "notices")
     digests = known_digests(default_texts(docs) if known is None else known)
     texts = digests.count()
     if texts > MAX_NOTICES:
-        raise ValueError(f"{texts} known texts; a scan of lines holds {MAX_NOTICES}")
-    rows = docs.drop("text_digest", "license_id", "notices").withColumn("_lines", _lines(F.coalesce(F.col(text_col), F.lit(""))))
-    if not keep_text:
-        rows = rows.drop(text_col)
-    whole = F.trim(F.regexp_replace("_lines", F.lit(r"[ \n]+"), F.lit(" ")))
+        digests = stage(digests, "digests")
+    names = [c for c in docs.columns if c.lower() not in added and (keep_text or c != text_col)]
+    column = private_name(docs, "_lines")
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], _lines(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias(column))
+    whole = F.trim(F.regexp_replace(F.col(column), F.lit(r"[ \n]+"), F.lit(" ")))
     rows = rows.withColumn("text_digest", F.when(F.length(whole) > 0, F.sha2(whole, 256)))
-    found = digests.collect()  # at most MAX_NOTICES short rows
+    table = digests.select(F.col("digest").alias("text_digest"), "license_id")
+    small = lambda df: F.broadcast(df) if texts <= BROADCAST_ROWS else df
     empty = F.expr("cast(array() as array<string>)")
+    if texts > MAX_NOTICES:
+        rows = _notices_by_join(rows, column, digests, small, empty)
+        return rows.join(small(table), "text_digest", "left").select(*[F.col(f"`{c}`") for c in names], *added)
+    found = digests.collect()  # at most MAX_NOTICES short rows
     if found:
         by_digest = F.create_map(*(F.lit(x) for r in found for x in (r["digest"], r["license_id"])))
         sizes = F.lit(sorted({r["length"] for r in found}))
         # only a line as long as some known text can be one
-        lines = F.filter(F.transform(F.split("_lines", "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(sizes, F.length(x)))
+        lines = F.filter(F.transform(F.split(F.col(column), "\n"), lambda x: F.trim(x)), lambda x: F.array_contains(sizes, F.length(x)))
         named = F.transform(F.array_distinct(lines), lambda x: F.try_element_at(by_digest, F.sha2(x, 256)))
         notices = F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))
     else:
         notices = empty
-    rows = rows.withColumn("notices", notices).drop("_lines")
-    table = digests.select(F.col("digest").alias("text_digest"), "license_id")
-    return rows.join(F.broadcast(table) if texts <= BROADCAST_ROWS else table, "text_digest", "left")
+    rows = rows.withColumn("notices", notices).drop(column)
+    return rows.join(small(table), "text_digest", "left").select(*[F.col(f"`{c}`") for c in names], *added)
+
+
+def _notices_by_join(rows: DataFrame, column: str, digests: DataFrame, small, empty: Column) -> DataFrame:
+    """``rows`` with their notices, the lines of each different text joined with the known digests."""
+    spare = [private_name(rows, n) for n in ("_text", "_line", "_found")]
+    key, line, found = spare
+    keyed = rows.withColumn(key, F.sha2(F.col(column), 256))
+    lines = keyed.select(F.col(key), F.explode(F.split(F.col(column), "\n")).alias(line)).select(F.col(key), F.sha2(F.trim(F.col(line)), 256).alias("digest"))
+    hits = lines.join(small(digests.select("digest", "license_id")), "digest").groupBy(key).agg(F.sort_array(F.collect_set("license_id")).alias(found))
+    joined = keyed.drop(column).join(hits, key, "left")
+    return joined.withColumn("notices", F.coalesce(F.col(found), empty)).drop(key, found)
 

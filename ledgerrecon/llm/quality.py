@@ -200,11 +200,17 @@ def rule_number(rules: list[Rule]) -> Column:
 def training_rows(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Statistics and low-quality flags of at most ``TRAIN_ROWS`` labelled rows.
 
-    A document labelled twice takes its lowest label; NULL labels and ids are left out.
+    A document labelled twice takes its lowest label; NULL labels and ids are left out. Where there are more,
+    those with the smallest hashes of their ids are taken; the rest never leaves its tasks.
     """
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_good"))
-    rows = counted.join(marks, F.col(id_col) == F.col("_id"))
-    rows = rows.select(*(column().alias(name) for name, column in STATISTICS.items()), "_good", F.xxhash64("_id").alias("_order"))
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(label_col).alias("_good"))
+    found = counted.select(F.col(f"`{id_col}`").alias("_key"), *(column().alias(name) for name, column in STATISTICS.items()))
+    rows = found.join(marks, F.col("_key") == F.col("_id")).select(*STATISTICS, "_good", F.xxhash64("_id").alias("_order"))
+    some = rows.count()
+    if some > TRAIN_ROWS:
+        # a cut through the hashes that leaves a little more than wanted
+        share = min(1.0, 1.2 * TRAIN_ROWS / some + 100 / some)
+        rows = rows.where(F.col("_order") < F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1))
     taken = rows.orderBy("_order", *STATISTICS).limit(TRAIN_ROWS).toPandas()
     return {name: taken[name].to_numpy(float) for name in STATISTICS}, (taken["_good"] == 0).to_numpy(bool)
 

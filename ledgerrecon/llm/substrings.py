@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import arrow_map, binary_list, hashed_words, mixed, stage, text_runs, window_hashes
+from ledgerrecon.llm.common import arrow_map, binary_list, hashed_words, mixed, private_name, stage, text_runs, window_hashes
 
 #: Bytes of text whose windows a task looks at together.
 RUN_BYTES = 8_000_000
@@ -56,9 +56,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _levels(length: int, first: int) -> list[int]:
-    """Window lengths below ``length``: halves of it, down to ``first`` words."""
+    """Window lengths below ``length``: halves of it, rounded down, of ``first`` words or more."""
     out = []
-    while length % 2 == 0 and length // 2 >= first:
+    while length // 2 >= first:
         length //= 2
         out.append(length)
     return out[::-1]
@@ -206,7 +206,8 @@ def remove_repeats(
     they do not count as repeats of each other, and each of them gets the same result. NULL, empty and short texts have no windows and lose nothing.
     Columns of the names added here are replaced, all others pass through.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept_text")])
+    own_key, gone_key, gone_col = (private_name(docs, n) for n in ("_own", "_key", "_gone"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     key = F.xxhash64("id", "text")
     left, done = rows.select("id", key.alias("key"), "text"), []
@@ -221,15 +222,15 @@ def remove_repeats(
     windows = arrow_map(left, _window_rows(length, list(done)), WINDOWS)
     met = windows.repartition("hash", "salt").sortWithinPartitions("salt", "hash", "id", "key", "start")
     later = arrow_map(met, _later, "key long, start long, size long")
-    gone = stage(later.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "size")).alias("_gone")), "gone")
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col)))
-    joined = keyed.join(gone, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
+    gone = stage(later.groupBy(F.col("key").alias(gone_key)).agg(F.collect_list(F.struct("start", "size")).alias(gone_col)), "gone")
+    keyed = docs.withColumn(own_key, F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col)))
+    joined = keyed.join(gone, F.col(own_key) == F.col(gone_key), "left").drop(own_key, gone_key)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(text_col).cast(pa.binary()), batch.column("_gone")
+            texts, spans = batch.column(text_col).cast(pa.binary()), batch.column(gone_col)
             counts, removed, out = [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or b"").split()

@@ -234,7 +234,7 @@ def test_battery_recall_with_one_secret_in_a_hundred(spark, length, wanted):
 def test_battery_reports_where_no_pattern_does(spark):
     rng = random.Random(4)
     pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    rows = [(k, f"see {pick(_ALPHABETS['base64'], 40)} and") for k in range(20)] + [(100, f"x {'the/path/' * 6} y"), (101, "9" * 40), (102, None)]
+    rows = [(k, f"see {pick(_ALPHABETS['base64'], 40)} and") for k in range(20)] + [(100, f"x {'source/library/' * 4} y"), (101, "9" * 40), (102, None)]
     rows += [(200 + k, f"fingerprint {pick('0123456789ABCDEF', 40)}.") for k in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'own' AS _candidates", "1 AS _cut")
     found = {r["doc_id"]: r for r in find_secrets(docs).collect()}
