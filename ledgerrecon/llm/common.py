@@ -43,11 +43,14 @@ def clear(spark: SparkSession, paths: list[str]) -> None:
         remove_path(spark, paths.pop())
 
 
+#: Bytes of a batch that goes to a worker, unless the session has another setting than Spark's own.
+BATCH_BYTES = 8 * 1024 * 1024
+_BATCH_SETTING, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")
 _SHIPPED: set[str] = set()
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with this library sent to the executors, once for each application."""
+    """``mapInArrow`` with this library sent to the executors, once for each application, and batches of bounded size."""
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
@@ -57,6 +60,8 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
                 archive.write(file, file.relative_to(package.parent))
         sc.addPyFile(str(target))  # the driver hands it out; nothing else reads this folder
         _SHIPPED.add(sc.applicationId)
+        if df.sparkSession.conf.get(_BATCH_SETTING, _SPARKS_OWN[0]) in _SPARKS_OWN:
+            df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -1,10 +1,15 @@
 """Stages of the pipeline with NULL ids, repeated rows and clashing columns."""
 
-from collections import Counter
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from ledgerrecon.llm.common import tokenizer_path
 
 WORDS = [f"word{i}" for i in range(60)]
 PROSE = " ".join(WORDS)
@@ -55,3 +60,90 @@ def test_stages_pass_columns_through(spark, sf_dir, name):
 def test_packing_of_clashing_columns(spark):
     docs = frame(spark, [(None, PROSE), (4, PROSE), (4, PROSE)])
     assert sorted((r["doc_id"] or 0) for r in pipeline.best_fit_packing(spark, docs, "").collect()) == [0, 4, 4]
+
+
+# --- the whole pipeline on planted documents --------------------------------
+
+def prose(rng, n=120):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder of tables and, by document, the text that must reach packing (None: the document must go)."""
+    rng = random.Random(11)
+    folder = tmp_path_factory.mktemp("planted")
+    item = prose(rng, 40)
+    passage = " ".join(item.split()[5:30])
+    want, rows = {}, []
+
+    def add(text, final):
+        rows.append((len(rows), text, "en", "s", len(text) if text is not None else None))
+        want[len(rows) - 1] = final
+
+    for _ in range(40):
+        text = prose(rng)
+        add(text, text)
+    original = prose(rng)
+    words = original.split()
+    add(original, original)
+    add(original, None)  # exact copies, then near ones
+    add(original, None)
+    add(" ".join([*words[:60], "changed", *words[61:]]), None)
+    add(" ".join([*words[:-1], "end"]), None)
+    before, after = prose(rng), prose(rng)
+    add(f"{before} {passage} {after}", f"{before}  {after}")
+    add(f"{' '.join(before.split()[:10])} {item} {' '.join(after.split()[:12])}", None)  # mostly a benchmark item
+    text = prose(rng)
+    add(f"{text} password = hunter22hunter22 {text[:40]}", f"{text} [SECRET] {text[:40]}")
+    add("too short", None)
+    add(None, None)
+    add("", None)
+    add("again and again " * 60, None)
+    long = prose(rng, 9000)
+    add(long, long)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder), want
+
+
+def test_run_on_planted_documents(spark, planted):
+    folder, want = planted
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    pieces = set()
+    for key, text in want.items():
+        if text is None:
+            continue
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        at = 0
+        for piece, stop in enumerate(range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)):
+            part = ids[at:stop]
+            pieces.add((key, piece, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))))
+            at = stop
+    got = pipeline.run(spark, folder).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == pieces and len(got) == len(pieces)
+    places = defaultdict(list)
+    for row in got:
+        places[row["sequence_id"]].append((row["offset"], row["length"]))
+    for own in places.values():
+        assert sum(n for _, n in own) <= 2048
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:])) and min(own)[0] == 0
+
+
+def test_stages_on_an_empty_table(spark, planted):
+    folder, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0, name
+        docs = out if name != "best-fit packing" else docs
+
+
+def test_every_stage_keeps_a_very_long_text(spark, planted):
+    folder, want = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    longest = max((t for t in want.values() if t), key=len)
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.where(f"length(text) = {len(longest)}").count() == 1, name
