@@ -30,6 +30,8 @@ FREQUENT = 500_000
 LEAST_COUNT = 3
 #: N-grams counted together by one task, about (4 bytes each): the number of buckets follows from it.
 BUCKET_GRAMS = 2_000_000
+#: Bytes of the sets of hubs that go to all tasks.
+HUB_BYTES = 64_000_000
 #: Lists up to this length give all their pairs; longer ones are joined through hubs first.
 SHORT_LIST = 3
 HUB_ROUNDS = 3
@@ -250,13 +252,23 @@ def _verified(threshold: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; stored."""
+    """The pairs (a, b) whose whole sets are similar enough; stored.
+
+    Where few sets stand on the side of ``b``, as hubs do, these go to all tasks, and the other sets are
+    compared where they lie. Beyond a counted size both sides are shuffled to each other.
+    """
     paths: list[str] = []
     pairs = stage(pairs, "pairs", paths)
-    needed_sets = stage(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed", paths)
-    sets = sets.join(_small(needed_sets), "cls", "left_semi")
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams")), "a")
-    two = one.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams")), "b")
+    hubs = stage(sets.join(_small(stage(pairs.select(F.col("b").alias("cls")).distinct(), "needed", paths)), "cls", "left_semi"), "hubs", paths)
+    size = hubs.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).head()[0]
+    hubs = hubs.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams"))
+    if size <= HUB_BYTES:
+        one = sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams")).join(_small(pairs), "a")
+        two = one.join(F.broadcast(hubs), "b")
+    else:
+        others = stage(pairs.select(F.col("a").alias("cls")).distinct(), "needed", paths)
+        own = sets.join(_small(others), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("grams").alias("a_grams"))
+        two = pairs.join(own, "a").join(hubs, "b")
     links = stage(arrow_map(two.select("a", "b", "a_grams", "b_grams"), _verified(threshold), "a long, b long"), "links")
     clear(pairs.sparkSession, paths)
     return links
@@ -373,10 +385,11 @@ def similar_documents(
         rank = F.struct(-F.col("hidden") if turn == 0 else F.lit(0), F.xxhash64("cls", F.lit(turn)))
         hub = rest.groupBy("gram").agg(F.min_by(F.struct("cls", "meta", "label"), rank).alias("hub"))
         tried = rest.join(hub, "gram").where("label <> hub.label")
-        stars = tried.select(F.col("cls").alias("x"), _size("meta").alias("nx"), F.col("hub.cls").alias("y"), _size("hub.meta").alias("ny"))
-        pairs = _ordered_pairs(stars, threshold)
-        new = _verify(pairs if links is not None else pairs.union(tested).distinct(), sets, threshold)
-        links = new if links is None else links.union(new)
+        # what the two can share after this n-gram must be enough; a pair that shares an earlier one meets there, too
+        left_over = F.least(_size("meta") - _spot("meta"), _size("hub.meta") - _spot("hub.meta"))
+        stars = tried.where(left_over * (100 + threshold) >= (_size("meta") + _size("hub.meta")) * threshold)
+        new = _verify(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), sets, threshold)
+        links = _verify(tested, sets, threshold).union(new) if links is None else links.union(new)
         labels = components(links)
         rest = stage(_labelled(long_lists, labels), "open", paths)
         if not rest.limit(1).count():
