@@ -62,7 +62,7 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         _SHIPPED.add(sc.applicationId)
         if df.sparkSession.conf.get(_BATCH_SETTING, _SPARKS_OWN[0]) in _SPARKS_OWN:
             df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_Lean(run), schema)
 
 
 def lower_ascii(column: Column) -> Column:
@@ -88,26 +88,47 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
 
 
 _HELD: list = [None, None]
+_OPERATOR = [""]
 
 
 def held(kind: Hashable, make: Callable[[], object]) -> object:
-    """What a worker keeps between tasks: one thing at a time, made when a task first asks for its kind.
+    """What a worker keeps between tasks of one operator: one thing at a time, made when a task first asks for its kind.
 
     Workers live as long as the session. If each operator kept its own tables in them, an executor would hold
-    those of every job it ever ran; so asking for another kind lets the one before go, and its memory back.
+    those of every job it ever ran; so another kind, or a task of another operator, lets the one before go.
     """
     if _HELD[0] != kind:
         _HELD[:] = [None, None]
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library keeps its own counsel
-            pass
+        _give_back()
         _HELD[:] = [kind, make()]
     return _HELD[1]
 
 
+def _give_back() -> None:
+    """Memory that nothing uses any more goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+class _Lean:
+    """Runs a task of an operator: without what others left in the worker, and leaving no unused memory behind."""
+
+    def __init__(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.run, self.operator = run, run.__module__
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _OPERATOR[0] != self.operator:
+            _OPERATOR[0] = self.operator
+            _HELD[:] = [None, None]
+            _give_back()
+        yield from self.run(batches)
+        _give_back()
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
