@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerrecon.llm.common import arrow_map, held, set_aside
+from ledgerrecon.llm.common import arrow_map, clear, held, private_name, set_aside, stage
 
 #: Words of benchmark items in one automaton, and so the bound on what an executor is sent.
 BLOCK_WORDS = 100_000
@@ -197,13 +197,22 @@ def find_passages(
         "hit_items": F.lit(None).cast("array<string>"),
     })
     sc = docs.sparkSession.sparkContext
-    blocks = list(_blocks(benchmark, item_col, item_text_col)) or [[]]
-    for k, block in enumerate(blocks):
-        fields = [f for f in out.schema.fields if keep_text or k + 1 < len(blocks) or f.name != text_col]
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    block, before = next(blocks, []), []
+    while True:
+        following = next(blocks, None)
+        fields = [f for f in out.schema.fields if keep_text or following is not None or f.name != text_col]
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
         handle = sc.broadcast((block, window))
         out = arrow_map(out, _scanner(uuid.uuid4().hex, handle, text_col, schema.fieldNames()), schema)
-    return out
+        if following is None:
+            return out
+        # one block at a time: it is searched for before the next one is read
+        made: list[str] = []
+        out = stage(out, "passages", made)
+        handle.destroy()
+        clear(docs.sparkSession, before)
+        block, before = following, made
 
 
 def _automaton(key: str, handle) -> SuffixAutomaton:
@@ -254,7 +263,7 @@ def cut_passages(
     when more than ``max_coverage`` of its words are hit.
 
     A cut can bring the two ends of an item together; a cut text is therefore judged again until
-    nothing is hit. Documents without hits keep their text byte for byte; NULL texts stay. A text
+    nothing is hit (in the worker, or if the items make several blocks in rounds of one block each). Documents without hits keep their text byte for byte; NULL texts stay. A text
     that was cut leaves no words goes too. ``n_chars``, where there is one, follows the text.
     All other columns pass through, whatever their names.
     """
@@ -264,37 +273,54 @@ def cut_passages(
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
     kept = found.where(n_hit <= max_coverage * F.col("n_words"))
     dirty = F.size("hit_runs") > 0
-    blocks = [(block, window) for block in _blocks(benchmark, item_col, item_text_col)]
-    sc = docs.sparkSession.sparkContext
-    handles = [(uuid.uuid4().hex, sc.broadcast(block)) for block in blocks]
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    only, more = next(blocks, []), next(blocks, None)
     schema = T.StructType([f for f in kept.schema.fields if f.name not in ("n_words", "hit_items")])
+    handle = docs.sparkSession.sparkContext.broadcast((only, window)) if more is None else None
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = None
         for batch in batches:
             runs = batch.column("hit_runs")
             at = batch.schema.names.index(text_col)
             columns = [batch.column(f.name) for f in schema.fields]
             place = schema.fieldNames().index(text_col)
             if any(len(r) for r in runs):
-                built = built or [_automaton(*handle) for handle in handles]
                 texts = batch.column(at).cast(pa.binary()).to_pylist()
                 for i, found_runs in enumerate(runs.to_pylist()):
                     left = [(r["from"], r["to"]) for r in found_runs or ()]
                     while left:
                         texts[i] = _without(texts[i], left)
-                        words = item_words(texts[i])
-                        left = merged([r for automaton in built for r in automaton.scan(words)[0]])
+                        # with several blocks the text is judged again against each of them, in another round
+                        left = merged(_automaton(key, handle).scan(item_words(texts[i]))[0]) if handle is not None else []
                 columns[place] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     cut = arrow_map(kept.drop("n_words", "hit_items"), run, schema)
+    if more is not None:
+        cut = _cut_until_clean(stage(cut, "cut"), lambda df: find_passages(df, benchmark, window, text_col, item_col, item_text_col), run, schema)
     cut = cut.where(~dirty | F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.when(dirty, F.length(text_col)).otherwise(F.col("n_chars")).cast(types["n_chars"].dataType))
     return cut.select(*originals)
 
 
+def _cut_until_clean(cut: DataFrame, find, run, schema: T.StructType) -> DataFrame:
+    """Rows whose cut texts are hit by nothing; those that a cut made hit again are cut again, round by round.
+
+    ``hit_runs`` of a row stay those of its first round, which tell that it was cut.
+    """
+    clean, dirty = cut.where(F.size("hit_runs") == 0), cut.where(F.size("hit_runs") > 0)
+    first = private_name(cut, "_first")
+    while not dirty.isEmpty():
+        again = stage(find(dirty.withColumnRenamed("hit_runs", first)), "again")
+        still = F.size("hit_runs") > 0
+        done = again.where(~still).drop("n_words", "hit_items", "hit_runs").withColumnRenamed(first, "hit_runs")
+        clean = clean.unionByName(done)
+        dirty = stage(arrow_map(again.where(still).drop("n_words", "hit_items", first), run, schema), "cut")
+    return clean
+
+
 def _without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     """The text without the given runs of words and what stands between these words."""
     places = [m.span() for m in _WORD.finditer(text)]
