@@ -1,8 +1,8 @@
 """Writing verdicts back onto ledger rows.
 
 Rows meet the verdicts by composite key. The verdict table has one row per key, so
-rows are never multiplied. With one key definition, or rows without an ordinal, that
-is one left join per definition. Otherwise every row is told by its ordinal: narrow
+rows are never multiplied. With one or two key definitions, or rows without an ordinal,
+that is one left join per definition. Otherwise every row is told by its ordinal: narrow
 (ordinal, definition, key) tags of all definitions meet the verdicts in one join, the
 best hit of each ordinal is kept, and the ledger itself is shuffled once, by ordinal,
 however many definitions there are. Adaptive execution broadcasts a verdict table that
@@ -20,6 +20,8 @@ from ledgerrecon.functions.refs import require
 from ledgerrecon.labels import CANCELED_FLAG, ENRICHED_COLUMNS, MERGED_COLUMNS, REVERSAL_FLAG
 from ledgerrecon.sources.headers import ORDINAL
 
+#: Key definitions from which on a ledger is shuffled once for all of them, and not once for each.
+MANY_KEYS = 3
 _FIELDS = ("status", "group_name", "key_used", "difference")
 
 
@@ -50,7 +52,7 @@ def _with_verdict(rows: DataFrame, results: DataFrame, config: ReconConfig, side
         empty = F.struct(*[F.lit(None).cast("double" if f == "difference" else "string").alias(f) for f in _FIELDS])
         return rows.withColumn("__best__", empty)
     known = results.where(F.col("key_used").isin([name for _, name, _ in keys]) & F.col("row_identifier").isNotNull())
-    if len(keys) > 1 and ordinal in rows.columns:
+    if len(keys) >= MANY_KEYS and ordinal in rows.columns:
         best = _hits_by_ordinal(rows, known.select("row_identifier", *_FIELDS), keys, precedence == "last", ordinal)
         return rows.join(best, ref(ordinal) == F.col("__row__"), "left").drop("__row__")
     out, hits = rows, []

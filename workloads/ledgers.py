@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 BY_ORDER = KeyDef("pedido", ("l_orderkey",), ("o_orderkey",))
 BY_YEAR = KeyDef("ano", ("ship_year",), ("order_year",))
+BY_PARTY = KeyDef("parte", ("l_partkey",), ("o_custkey",))
 THRESHOLD = 50000.0
 
 
@@ -41,7 +42,7 @@ def recon_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECON_SQL = """
 ledger_a AS (
-  SELECT l_orderkey, l_linenumber, l_extendedprice, year(l_shipdate) AS ship_year,
+  SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, year(l_shipdate) AS ship_year,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS v
   FROM lineitem),
 ledger_b AS (

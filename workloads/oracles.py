@@ -221,6 +221,15 @@ SELECT o_orderkey, CASE WHEN q.key IS NOT NULL THEN q.key_name ELSE p.key_name E
   CASE WHEN q.key IS NOT NULL THEN q.status ELSE p.status END AS recon_status,
   CASE WHEN q.key IS NOT NULL THEN q.grp ELSE p.grp END AS recon_group,
   CASE WHEN q.key IS NOT NULL THEN q.difference ELSE p.difference END AS recon_difference {_HITS_B}"""
+ORACLES["enrich_many_keys"] = _with(
+    RECON_SQL, f"recon AS MATERIALIZED ({_ORDER} UNION ALL {_recon(1, 'parte', 'l_partkey', 'o_custkey')} UNION ALL {_recon(2, 'ano', 'ship_year', 'order_year')})",
+    "keyed AS MATERIALIZED (SELECT *, CAST(key AS BIGINT) AS number FROM recon)",
+    "tags AS (SELECT o_orderkey, 0 AS k, o_orderkey AS number FROM ledger_b UNION ALL SELECT o_orderkey, 1, o_custkey FROM ledger_b "
+    "UNION ALL SELECT o_orderkey, 2, order_year FROM ledger_b)",
+    "best AS (SELECT o_orderkey, max(k) AS k FROM tags JOIN keyed ON key_ordinal = k AND keyed.number = tags.number GROUP BY 1)") + """
+SELECT r.o_orderkey, o_custkey, status, grp AS group_name, key_name AS key_used
+FROM ledger_b r LEFT JOIN best USING (o_orderkey) LEFT JOIN tags t ON t.o_orderkey = r.o_orderkey AND t.k = best.k
+LEFT JOIN keyed ON key_ordinal = best.k AND keyed.number = t.number"""
 ORACLES["enrich_items"] = f"{_BOTH} SELECT l_orderkey, l_linenumber, l_extendedprice, {_FIRST} {_HITS_A}"
 ORACLES["attach_by_key"] = f"""{_ONE}
 SELECT o_orderkey, f.status, f.grp AS group_name, f.difference

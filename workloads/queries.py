@@ -41,7 +41,7 @@ from ledgerrecon.sources.sinks import (
     export_enriched, export_ledger, export_prepared, export_run, in_file_order, write_prepared,
 )
 from workloads.ledgers import (
-    BY_ORDER, BY_YEAR, MESSY_TYPES, journal, messy, recon_a, recon_b, recon_config, table, text_journal,
+    BY_ORDER, BY_PARTY, BY_YEAR, MESSY_TYPES, journal, messy, recon_a, recon_b, recon_config, table, text_journal,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +357,14 @@ def enrich_last(spark, sf_dir):
     return rows.select("o_orderkey", "recon_key_name", "recon_status", "recon_group", "recon_difference")
 
 
+@query
+def enrich_many_keys(spark, sf_dir):
+    config = recon_config(BY_ORDER, BY_PARTY, BY_YEAR)
+    results = result_rows(_recon(spark, sf_dir, config), 1)
+    rows = enrich(recon_b(spark, sf_dir), results, config, "b", precedence="last", ordinal="o_orderkey")
+    return rows.select("o_orderkey", "o_custkey", "status", "group_name", "key_used")
+
+
 @query
 def enrich_items(spark, sf_dir):
     _, results = _stored_run(spark, sf_dir)
