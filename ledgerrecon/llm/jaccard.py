@@ -345,6 +345,7 @@ def similar_documents(
     entries = stage(arrow_map(met, _shared_only, "gram long, cls long, meta long"), "entries", paths)
     lengths = entries.groupBy("gram").agg(F.count("*").alias("length"))
     long_ones = stage(lengths.where(F.col("length") > SHORT_LIST).select("gram"), "long", paths)
+    long_ones = _small(long_ones)
     in_lists = entries.join(long_ones, "gram", "left_semi")
     in_long = stage(in_lists.groupBy("cls").agg(F.count("*").alias("hidden")), "in-long", paths)
     long_lists = stage(in_lists.join(_small(in_long), "cls"), "lists", paths)
