@@ -31,7 +31,7 @@ LEAST_COUNT = 3
 #: N-grams counted together by one task, about (4 bytes each): the number of buckets follows from it.
 BUCKET_GRAMS = 2_000_000
 #: Bytes of the sets of hubs that go to all tasks.
-HUB_BYTES = 64_000_000
+HUB_BYTES = 16_000_000
 #: Lists up to this length give all their pairs; longer ones are joined through hubs first.
 SHORT_LIST = 3
 HUB_ROUNDS = 3
