@@ -28,6 +28,7 @@ from ledgerrecon.functions.refs import require
 from ledgerrecon.labels import REVERSAL_FLAG, REVERSAL_GROUP, REVERSAL_STATUS
 from ledgerrecon.operators.groups import HOT, HOT_ROWS, SLAB_ROWS, SPREAD, attach_group, complete_key, spread_of
 from ledgerrecon.operators.ranks import sums_within
+from ledgerrecon.session import shared_path
 
 KEYS = ("__low__", "__high__", "__units__", "__nanos__")
 NANOS = 1_000_000_000
@@ -169,22 +170,27 @@ def reversal_pairs_one_to_one(df: DataFrame, config: ReversalConfig, ordinal: st
     slabs before, so a hot group is ranked by many tasks.
     """
     require(df, ordinal)
+    spark = df.sparkSession
     sided = _sided(df, config).select(ref(ordinal).alias("__row__"), *KEYS, "__level__", "__side__").where(F.col("__low__").isNotNull())
-    matched = attach_group(
-        sided, _groups(sided), KEYS, ("__n0__", "__n1__"), "__n__", "__row__", hot_rows, slab_rows
-    ).where((F.col("__n0__") > 0) & (F.col("__n1__") > 0) & ~_mirrors_itself())
+    # counted once and kept: groups that have pairs, and hot ones without, whose rows must not meet in one task either
+    folder = shared_path(spark, "groups")
+    two_sided = (F.col("__n0__") > 0) & (F.col("__n1__") > 0) & ~_mirrors_itself()
+    _groups(sided).where(two_sided | (F.col("__n__") > hot_rows)).write.parquet(folder)
+    groups = spark.read.parquet(folder)
+    matched = attach_group(sided, groups, KEYS, ("__n0__", "__n1__"), "__n__", "__row__", hot_rows, slab_rows).where(two_sided)
 
     # one cell is a whole group, or one slab of a hot group; the rows are already partitioned by it
     cell = [SPREAD, *KEYS]
     ranked = matched.withColumn("k", F.row_number().over(Window.partitionBy(*cell, "__side__").orderBy("__row__")))
-    earlier = Window.partitionBy(*KEYS).orderBy(SPREAD).rowsBetween(Window.unboundedPreceding, -1)
-    slabs = (
-        matched.where(HOT).groupBy(*cell)
-        .agg(F.count_if(F.col("__side__") == 0).alias("c0"), F.count_if(F.col("__side__") == 1).alias("c1"))
-        .select(*cell, F.sum("c0").over(earlier).alias("before0"), F.sum("c1").over(earlier).alias("before1"))
-    )
-    before = F.when(F.col("__side__") == 0, F.col("before0")).otherwise(F.col("before1"))
-    ranked = ranked.join(slabs, cell, "left").withColumn("k", F.col("k") + F.coalesce(before, F.lit(0)))
+    if not groups.where(F.col("__n__") > hot_rows).isEmpty():
+        earlier = Window.partitionBy(*KEYS).orderBy(SPREAD).rowsBetween(Window.unboundedPreceding, -1)
+        slabs = (
+            matched.where(HOT).groupBy(*cell)
+            .agg(F.count_if(F.col("__side__") == 0).alias("c0"), F.count_if(F.col("__side__") == 1).alias("c1"))
+            .select(*cell, F.sum("c0").over(earlier).alias("before0"), F.sum("c1").over(earlier).alias("before1"))
+        )
+        before = F.when(F.col("__side__") == 0, F.col("before0")).otherwise(F.col("before1"))
+        ranked = ranked.join(slabs, cell, "left").withColumn("k", F.col("k") + F.coalesce(before, F.lit(0)))
     pair = ranked.groupBy(*KEYS, "k").agg(
         F.max(F.when(F.col("__side__") == 0, F.col("__row__"))).alias("f"),
         F.max(F.when(F.col("__side__") == 1, F.col("__row__"))).alias("m"),
