@@ -23,6 +23,7 @@ from ledgerrecon.sources.headers import (
 _BEYOND = "__beyond__"
 STORED_FORMATS = ("parquet", "orc", "json")
 BROADCAST_SPLITS = 200_000
+BROADCAST_TEXT = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -87,8 +88,7 @@ def _quoted_records(spark: SparkSession, spec: SourceSpec, names: list[str], hea
 
     Whether a line begins inside a cell is the parity of all quotes before it in the file. Each split
     counts its own; the parities of the splits before it, a running XOR over the table of splits, say how it
-    begins. Lines that begin outside start a record; only those of records on several lines are brought
-    together. Blank lines outside of cells do not count, and with ``header`` the first record of each file goes.
+    begins. Lines that begin outside start a record; only what of a record lies in later splits moves to it. Blank lines outside of cells do not count, and with ``header`` the first record of each file goes.
     """
     lines = _placed(spark.read.option("lineSep", "\n").text(spec.path), F.col("value"), _odd_quotes().alias("__odd__"))
     parities = _kept(spark, lines.groupBy("__file__", "__block__").agg((F.sum("__odd__") % 2).alias("__odd__")), "parities", staged_paths)
@@ -114,19 +114,23 @@ def _quoted_records(spark: SparkSession, spec: SourceSpec, names: list[str], hea
         lines = lines.withColumn("__gone__", F.col("__starts__") & F.col("__leads__") & (F.col("__index__") == 1))
     else:
         lines = lines.withColumn("__gone__", F.lit(False))
-    whole = lines.where(F.col("__starts__") & (F.col("__odd__") == 0) & ~F.col("__gone__")).select(
-        "__file__", "__block__", F.col("__index__").alias("__seq__"), F.col("value").alias("__text__"))
-    first = F.max(F.when(F.col("__starts__"), F.struct("__block__", "__index__", "__gone__"))).alias("__first__")
-    torn = (
-        lines.where(F.col("__inside__") | (F.col("__starts__") & (F.col("__odd__") == 1)))
-        .groupBy("__file__", F.coalesce("__record__", "__carried__").alias("__record__"))
-        .agg(first, F.sort_array(F.collect_list(F.struct("__seq__", "value"))).alias("__lines__"))
-        .where(~F.col("__first__.__gone__"))
-        .select("__file__", "__first__.__block__", F.col("__first__.__index__").alias("__seq__"),
-                F.array_join(F.transform("__lines__", lambda x: x["value"]), "\n").alias("__text__"))
-    )
+    # the lines of a record that lie in its own split stand next to each other there
+    own = Window.partitionBy("__file__", "__block__", "__record__").orderBy("__seq__").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = F.col("__inside__") | F.col("__starts__")
+    records = lines.withColumn("__lines__", F.collect_list(F.when(counts, F.col("value"))).over(own)).where(F.col("__starts__") & ~F.col("__gone__"))
+    # the others, at most one rest for each split, are brought to it
+    rests = _kept(spark, lines.where(F.col("__inside__") & F.col("__record__").isNull()).groupBy(
+        "__file__", F.col("__carried__").alias("__seq__")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__seq__", "value"))), lambda x: x["value"]).alias("__rest__")), "rests", staged_paths)
+    size = rests.agg(F.count("*"), F.sum(F.length(F.array_join("__rest__", "\n")))).head()
+    if size[0]:
+        rests = F.broadcast(rests) if size[0] <= BROADCAST_SPLITS and (size[1] or 0) <= BROADCAST_TEXT else rests
+        records = records.join(rests, ["__file__", "__seq__"], "left").withColumn(
+            "__lines__", F.concat("__lines__", F.coalesce("__rest__", F.array().cast("array<string>"))))
+    records = records.select("__file__", "__block__", F.col("__index__").alias("__seq__"), F.array_join("__lines__", "\n").alias("__text__"))
     text = F.regexp_replace("__text__", "\r$", "")
-    parsed = whole.unionByName(torn).withColumn("__cells__", F.from_csv(text, _text_schema(names), {k: str(v) for k, v in _CSV.items()}))
+    parsed = records.withColumn("__cells__", F.from_csv(text, _text_schema(names), {k: str(v) for k, v in _CSV.items()}))
     return parsed.select(*_checked(names, lambda n: F.col("__cells__").getField(n)), *_PLACE)
 
 
