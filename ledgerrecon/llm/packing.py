@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import arrow_map, stage, text_runs
-from ledgerrecon.llm.tokens import piece_tokenizer
+from ledgerrecon.llm.tokens import TEXT_BYTES, piece_tokenizer
 
 Pattern = tuple[int, ...]
 
@@ -199,7 +199,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, seen = piece_tokenizer(tokenizer), Counter()
-        for batch in text_runs(batches):
+        for batch in text_runs(batches, TEXT_BYTES):
             out: list[tuple] = []
             ids = tok.encode(batch.column("text").cast(pa.binary()).to_pylist())
             for key, part, x in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), ids):

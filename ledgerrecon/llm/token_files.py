@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerrecon.llm.common import arrow_map, running_total, text_runs
-from ledgerrecon.llm.tokens import piece_tokenizer
+from ledgerrecon.llm.tokens import TEXT_BYTES, piece_tokenizer
 
 MAGIC = b"TOKENBLK"
 _HEADER = struct.Struct("<8sIIQIIQ")  # magic, version, bytes per id, documents, low bits, samples, bytes of high bits
@@ -139,7 +139,7 @@ def write_tokens(
                 pa.array([keys], pa.list_(pa.int64())), pa.array([data], pa.binary()),
             ], ["first_id", "n_ids", "doc_ids", "block"])
 
-        for batch in text_runs(batches):
+        for batch in text_runs(batches, TEXT_BYTES):
             keys_here = batch.column("doc_id").to_pylist()
             for key, x in zip(keys_here, tok.encode(batch.column("text").cast(pa.binary()).to_pylist())):
                 if ids and total + len(x) // 4 + 1 > BLOCK_IDS:

@@ -8,7 +8,7 @@ are encoded whole.
 
 What a worker learns it keeps in two tables: pieces met again are in a dictionary, and all pieces,
 most of which are met once, in arrays sorted by a 64-bit hash, about 30 bytes for each. So a
-worker sends each piece through the tokenizer once, and holds about 80 MB when both are full.
+worker sends each piece through the tokenizer once, and holds about 50 MB when both are full.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ import xxhash
 from ledgerrecon.llm.common import held
 
 #: Pieces a worker keeps in its dictionary, in its sorted arrays, and new ones it holds before it sorts them in.
-HOT_PIECES, PIECES, NEW_PIECES = 150_000, 1_500_000, 100_000
+HOT_PIECES, PIECES, NEW_PIECES = 100_000, 900_000, 50_000
+#: Bytes of text cut into pieces at once.
+TEXT_BYTES = 1_000_000
 #: Bytes of new pieces encoded in one call.
 CALL_BYTES = 60_000
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
