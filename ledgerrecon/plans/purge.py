@@ -1,7 +1,8 @@
 """Deleting a ledger's traces from stored tables, safely against jobs that die.
 
-Results lie in one folder for each run. Runs that go with the ledger lose their folder by name;
-runs of other ledgers that hold some of its rows are written anew without them, next to the
+Results lie in one folder for each run, or, where a table keeps tens of thousands of small runs, for
+each block of runs: a file for each run would cost more than its rows. Runs that go with the ledger lose their folder by name;
+folders that hold rows of others besides are written anew without them, next to the
 table under a name Spark does not read. Only when all that is written a small file says what
 is to be dropped and what put in place: a job that dies before leaves the tables as they were,
 and one that dies after is finished by the next (``finish_purges``), since every step may be
@@ -12,13 +13,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerrecon.operators.results import purge
 
 _DECIDED = "_decided.json"
+#: Run folders that are dropped or put in place at once.
+FOLDERS_AT_ONCE = 8
+#: Blocks of a table that keeps many runs in one folder.
+RUN_BLOCKS = 64
 
 
 class _Store:
@@ -59,45 +65,72 @@ class _Store:
         return text
 
 
-def purge_dataset(spark: SparkSession, dataset_id: int, results_path: str, runs_path: str, configs_path: str) -> dict[str, int]:
+def run_block(blocks: int = RUN_BLOCKS) -> Column:
+    """The block of a run, for tables that keep many small runs: folders of ``run_block`` instead of ``run_id``."""
+    return F.pmod(F.xxhash64(F.col("run_id").cast("string")), F.lit(blocks)).cast("int")
+
+
+def purge_dataset(spark: SparkSession, dataset_id: int, results_path: str, runs_path: str, configs_path: str, folders: str = "run_id") -> dict[str, int]:
     """Delete a ledger's configs, their runs and results, and all results that name the ledger itself.
 
-    ``results_path`` and ``runs_path`` are tables with one folder for each run, ``configs_path`` is a small
-    table. Returns how many configs, runs and run folders went or changed.
+    ``results_path`` and ``runs_path`` are tables with one folder for each run, or for each block of runs
+    (``folders="run_block"``), ``configs_path`` is a small table. Returns how many configs and runs went, and how
+    many folders of results that hold rows of others, too, or rows of the ledger, changed.
     """
     finish_purges(spark, results_path)
     store = _Store(spark, results_path)
     results, runs, configs = (spark.read.parquet(p) for p in (results_path, runs_path, configs_path))
     left = purge(results, runs, configs, dataset_id)
-    # runs of one ledger's configs, by name; nothing of their results is read
-    doomed = [r["run_id"] for r in runs.join(left["runs"], "run_id", "left_anti").select("run_id").distinct().toLocalIterator()]
-    mixed = results.where((F.col("dataset_id") == dataset_id) & ~F.col("run_id").isin(doomed)).select("run_id").distinct()
-    mixed = [r["run_id"] for r in mixed.toLocalIterator()]
-    work = f"{results_path.rstrip('/')}/_purge-{uuid.uuid4().hex}"
-    if mixed:
-        left["results"].where(F.col("run_id").isin(mixed)).write.partitionBy("run_id").parquet(f"{work}/results")
+    root, work = results_path.rstrip("/"), f"{results_path.rstrip('/')}/_purge-{uuid.uuid4().hex}"
+    mine = F.coalesce(F.col("dataset_id") == dataset_id, F.lit(False))
+    if folders == "run_id":
+        # runs of one ledger's configs, by name; nothing of their results is read
+        doomed = [r["run_id"] for r in runs.join(left["runs"], "run_id", "left_anti").select("run_id").distinct().toLocalIterator()]
+        gone_runs, others = len(doomed), results.where(~F.col("run_id").isin(doomed))
+        drop, replace = [f"{table.rstrip('/')}/run_id={run}" for run in doomed for table in (root, runs_path)], []
+    else:
+        configs_gone = configs.where((F.col("base_a_id") == dataset_id) | (F.col("base_b_id") == dataset_id)).select("config_id")
+        doomed = runs.join(configs_gone, "config_id", "left_semi").select("run_id").distinct().withColumn("_doomed", F.lit(True))
+        gone_runs, others = doomed.count(), results.join(doomed, "run_id", "left")
+        mine = mine | F.coalesce("_doomed", F.lit(False))
+        stale_runs = runs.join(configs_gone.distinct().withColumn("_doomed", F.lit(True)), "config_id", "left")
+        drop, replace, _ = _rewrite(stale_runs, F.coalesce("_doomed", F.lit(False)), left["runs"], folders, runs_path, f"{work}/runs")
+    emptied, rewritten, changed = _rewrite(others, mine, left["results"], folders, root, f"{work}/results")
     left["configs"].write.parquet(f"{work}/configs")
     gone = configs.count() - spark.read.schema(configs.schema).parquet(f"{work}/configs").count()
-    root = results_path.rstrip("/")
-    emptied = [run for run in mixed if not store.exists(f"{work}/results/run_id={run}")]
-    plan = {
-        "drop": [f"{table.rstrip('/')}/run_id={run}" for run in doomed for table in (root, runs_path)] + [f"{root}/run_id={run}" for run in emptied],
-        "replace": [[f"{work}/results/run_id={run}", f"{root}/run_id={run}"] for run in mixed if run not in emptied]
-        + [[f"{work}/configs", configs_path.rstrip("/")]],
-    }
+    plan = {"drop": drop + emptied, "replace": [*replace, *rewritten, [f"{work}/configs", configs_path.rstrip("/")]]}
     store.write(f"{work}/{_DECIDED}", json.dumps(plan))
     _apply(store, work)
-    return {"configs": gone, "runs": len(doomed), "rewritten": len(mixed)}
+    return {"configs": gone, "runs": gone_runs, "rewritten": changed}
+
+
+def _rewrite(rows: DataFrame, stale: Column, left: DataFrame, folders: str, path: str, work: str) -> tuple[list[str], list[list[str]], int]:
+    """Writes what is ``left`` of the folders that hold stale rows: the folders to drop, those to replace, how many both are."""
+    found = rows.groupBy(folders).agg(F.bool_or(stale).alias("some"), F.bool_and(stale).alias("all"))
+    found.where(F.col("some") & F.col(folders).isNotNull()).write.parquet(f"{work}-folders")
+    found = rows.sparkSession.read.parquet(f"{work}-folders")
+    names = {r[folders]: r["all"] for r in found.toLocalIterator()}
+    kept = [name for name, nothing_left in names.items() if not nothing_left]
+    if kept:
+        left.join(F.broadcast(found.where("not all")), folders, "left_semi").select(left.columns).write.partitionBy(folders).parquet(work)
+    drop = [f"{path.rstrip('/')}/{folders}={name}" for name, nothing_left in names.items() if nothing_left]
+    return drop, [[f"{work}/{folders}={name}", f"{path.rstrip('/')}/{folders}={name}"] for name in kept], len(names)
 
 
 def _apply(store: _Store, work: str) -> None:
     plan = json.loads(store.read(f"{work}/{_DECIDED}"))
-    for path in plan["drop"]:
-        store.remove(path)
-    for source, target in plan["replace"]:
+
+    def replace(folders: list[str]) -> None:
+        source, target = folders
         if store.exists(source):  # else it is in place
             store.remove(target)
             store.rename(source, target)
+
+    # every folder is a step of its own: tens of thousands of runs go many at a time
+    with ThreadPoolExecutor(FOLDERS_AT_ONCE) as pool:
+        for step, folders in ((store.remove, plan["drop"]), (replace, plan["replace"])):
+            for _ in pool.map(step, folders):
+                pass
     store.remove(work)
 
 

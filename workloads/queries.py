@@ -29,7 +29,7 @@ from ledgerrecon.operators.totals import group_breakdown, missing_keys, run_summ
 from ledgerrecon.plans.preprocess import (
     persist_reversal_runs, preprocess, preprocess_base_b, preprocess_generic, reversal_run_results, run_base_b, run_generic,
 )
-from ledgerrecon.plans.purge import purge_dataset
+from ledgerrecon.plans.purge import purge_dataset, run_block
 from ledgerrecon.plans.reconcile import persist_run, reconcile, run_and_enrich
 from ledgerrecon.session import shared_path
 from ledgerrecon.sources.catalog import (
@@ -720,10 +720,11 @@ def results_page_deep(spark, sf_dir):
 def purge_applied(spark, sf_dir):
     results, runs, configs = _history(spark, sf_dir)
     paths = [shared_path(spark, n) for n in ("results", "runs", "configs")]
-    results.write.partitionBy("run_id").parquet(paths[0])
-    runs.write.partitionBy("run_id").parquet(paths[1])
+    # many small runs: blocks of them, each written by few tasks
+    results.withColumn("run_block", run_block()).hint("rebalance", "run_block").write.partitionBy("run_block").parquet(paths[0])
+    runs.withColumn("run_block", run_block()).hint("rebalance", "run_block").write.partitionBy("run_block").parquet(paths[1])
     configs.write.parquet(paths[2])
-    purge_dataset(spark, 3, *paths)
+    purge_dataset(spark, 3, *paths, folders="run_block")
     left = spark.read.parquet(paths[0])
     return left.select(F.col("run_id").cast("bigint").alias("run_id"), "dataset_id", "row_identifier", "difference")
 
