@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import arrow_map, stage, text_runs
-from ledgerrecon.llm.tokens import TEXT_BYTES, piece_tokenizer
+from ledgerrecon.llm.tokens import FULL, Tables, piece_tokenizer
 
 Pattern = tuple[int, ...]
 
@@ -188,7 +188,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids binary, part int,
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", tables: Tables = FULL,
 ) -> DataFrame:
     """All documents as pieces of at most ``capacity`` ids, stored: the ids, and the piece's rank
     among those of its length in its partition. Only longer documents are cut; their first piece is
@@ -198,8 +198,8 @@ def token_pieces(
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, seen = piece_tokenizer(tokenizer), Counter()
-        for batch in text_runs(batches, TEXT_BYTES):
+        tok, seen = piece_tokenizer(tokenizer, tables), Counter()
+        for batch in text_runs(batches, tables.text_bytes):
             out: list[tuple] = []
             ids = tok.encode(batch.column("text").cast(pa.binary()).to_pylist())
             for key, part, x in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), ids):

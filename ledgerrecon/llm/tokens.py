@@ -8,23 +8,33 @@ are encoded whole.
 
 What a worker learns it keeps in two tables: pieces met again are in a dictionary, and all pieces,
 most of which are met once, in arrays sorted by a 64-bit hash, about 30 bytes for each. So a
-worker sends each piece through the tokenizer once, and holds about 50 MB when both are full.
+worker sends each piece through the tokenizer once, and holds about 80 MB when both are full
+(``FULL``); where other stages leave less room, smaller tables and chunks of text do with 50 MB (``LEAN``).
 """
 
 from __future__ import annotations
 
 import os
 import re
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
 
 from ledgerrecon.llm.common import held
 
-#: Pieces a worker keeps in its dictionary, in its sorted arrays, and new ones it holds before it sorts them in.
-HOT_PIECES, PIECES, NEW_PIECES = 100_000, 900_000, 50_000
-#: Bytes of text cut into pieces at once.
-TEXT_BYTES = 1_000_000
+
+class Tables(NamedTuple):
+    """Pieces a worker keeps in its dictionary, in its sorted arrays, new ones it holds before it sorts them in, and
+    bytes of text cut into pieces at once: memory against pieces encoded again, never a result."""
+
+    hot: int
+    pieces: int
+    new: int
+    text_bytes: int
+
+
+FULL, LEAN = Tables(150_000, 1_500_000, 100_000, 2_000_000), Tables(100_000, 900_000, 50_000, 1_000_000)
 #: Bytes of new pieces encoded in one call.
 CALL_BYTES = 60_000
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -35,7 +45,8 @@ _WIDE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x8
 class _Shelf:
     """Pieces by their hash, with their ids: sorted keys, and where the ids of each lie in one run of bytes."""
 
-    def __init__(self):
+    def __init__(self, tables: Tables = FULL):
+        self.tables = tables
         self.keys, self.starts, self.ends = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
         self.ids, self.new = b"", {}
 
@@ -51,10 +62,10 @@ class _Shelf:
         return found
 
     def add(self, found: dict[bytes, bytes]) -> None:
-        if len(self.keys) >= PIECES:
+        if len(self.keys) >= self.tables.pieces:
             return
         self.new.update(zip(map(xxhash.xxh3_64_intdigest, found), found.values()))
-        if len(self.new) >= NEW_PIECES:
+        if len(self.new) >= self.tables.new:
             ends = np.cumsum([len(x) for x in self.new.values()]) + len(self.ids)
             keys = np.concatenate([self.keys, np.fromiter(self.new, np.uint64, len(self.new))])
             order = np.argsort(keys, kind="stable")
@@ -66,14 +77,14 @@ class _Shelf:
 class PieceTokenizer:
     """``encode`` gives the ids of a text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables: Tables = FULL):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.hot: dict[bytes, bytes] = {}
-        self.shelf = _Shelf()
+        self.tables, self.shelf = tables, _Shelf(tables)
         byte_level = "use_regex=True" in str(self.tokenizer.pre_tokenizer) and "Split" not in str(self.tokenizer.pre_tokenizer)
         #: Byte-level: pieces keep their space, and the bytes of ids tell where a piece ends.
         self.widths = self._byte_widths() if byte_level else None
@@ -152,12 +163,12 @@ class PieceTokenizer:
         out = [self._whole(text) if pieces is None else b"".join(map(hot.__getitem__, pieces)) for text, pieces in zip(texts, cut)]
         for piece in new:
             del hot[piece]
-        if len(hot) > HOT_PIECES:
-            for piece in list(again)[: len(hot) - HOT_PIECES]:
+        if len(hot) > self.tables.hot:
+            for piece in list(again)[: len(hot) - self.tables.hot]:
                 del hot[piece]
         return out
 
 
-def piece_tokenizer(path: str) -> PieceTokenizer:
+def piece_tokenizer(path: str, tables: Tables = FULL) -> PieceTokenizer:
     """The worker's own, with what it learned in earlier tasks of the same tokenizer."""
-    return held(("tokenizer", path), lambda: PieceTokenizer(path))
+    return held(("tokenizer", path, tables), lambda: PieceTokenizer(path, tables))

@@ -36,3 +36,13 @@ def test_blocks_give_what_one_block_gives(spark, tables, monkeypatch):
     assert sorted(map(str, find_passages(docs, items).collect())) == found
     assert sorted(map(str, find_passages(docs, items, keep_text=False).collect())) == short
     assert sorted(map(str, cut_passages(docs, items).collect())) == cut
+
+
+def test_table_sizes_of_the_tokenizer_change_no_ids():
+    from ledgerrecon.llm.common import tokenizer_path
+    from ledgerrecon.llm.tokens import FULL, LEAN, PieceTokenizer, Tables
+
+    texts = [b"one two three", b"two  two", None, b"three, two\none zwei" * 40, b" ".join(b"w%d" % k for k in range(500))]
+    made = [PieceTokenizer(tokenizer_path("byte_bpe_50k.json"), t) for t in (FULL, LEAN, Tables(3, 40, 2, 10))]
+    first, *others = [[t.encode(texts) for _ in range(2)] for t in made]
+    assert all(o == first for o in others) and first[0] == first[1] and FULL.pieces > LEAN.pieces
