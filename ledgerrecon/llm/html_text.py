@@ -9,7 +9,10 @@ Tokens of a host with equal vectors are an equivalence class.
 A class is valid if it is large and frequent enough and its tokens keep one order in all its
 pages, which a second aggregation tells from the token before each. Valid classes nest by their
 paths into the host's template; pages with the same content count once as support. What stands
-between template tokens is a slot. A text block that is itself in the class of tokens that
+between template tokens is a slot. A token that stands in several slots has a role in each: with the
+tags of the template known, occurrences are told apart by the last such tag before them, their vectors
+are taken anew, and so on until no page of any host tells more (``differentiated``). So a text that
+every page has twice, at the top and at the bottom, is found in both places. A text block that is itself in the class of tokens that
 every page holds exactly once is part of the template, not of a slot. Of the slots, those go
 whose place in the template, a path of element names, classes, ids and roles, says menu,
 header, footer, sidebar, notice, advert, form, script, style or comment; if the template (or,
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -92,10 +96,10 @@ def _step(name: str, attributes: str) -> tuple[str, bool]:
 class Piece:
     """A text block with where it stands."""
 
-    __slots__ = ("path", "chrome", "main", "parts")
+    __slots__ = ("path", "chrome", "main", "at", "parts")
 
-    def __init__(self, path: str, chrome: bool, main: bool):
-        self.path, self.chrome, self.main, self.parts = path, chrome, main, []
+    def __init__(self, path: str, chrome: bool, main: bool, at: int):
+        self.path, self.chrome, self.main, self.at, self.parts = path, chrome, main, at, []  # ``at``: tags before it
 
     @property
     def text(self) -> str:
@@ -113,7 +117,7 @@ def read_page(source: str) -> tuple[list[tuple[str, bool]], list[Piece]]:
     def add(text: str) -> None:
         nonlocal current
         if current is None:
-            current = Piece(*steps[-1][1:]) if steps else Piece("", False, False)
+            current = Piece(*(steps[-1][1:] if steps else ("", False, False)), len(tags))
             pieces.append(current)
         current.parts.append(text)
 
@@ -161,31 +165,76 @@ def _text_token(piece: Piece, text: str) -> int:
     return _hash(f"{piece.path}\0{text}")
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, token, kind, times, place) for each token of a page; ``page`` is a digest of its content."""
+def _page_tokens(tags: list[tuple[str, bool]], pieces: list[Piece]) -> tuple[list[int], list[int], list[int]]:
+    """Tokens of a page in its order, their kinds, and which piece each is (-1: a tag); pieces without text are none."""
+    tokens, kinds, owners, done = [], [], [], 0
+
+    def pass_tags(end: int) -> None:
+        nonlocal done
+        for path, article in tags[done:end]:
+            tokens.append(_hash(path))
+            kinds.append(ARTICLE if article else TAG)
+            owners.append(-1)
+        done = max(done, end)
+
+    for k, piece in enumerate(pieces):
+        if text := piece.text:
+            pass_tags(piece.at)
+            tokens.append(_text_token(piece, text))
+            kinds.append(TEXT)
+            owners.append(k)
+    pass_tags(len(tags))
+    return tokens, kinds, owners
+
+
+def differentiated(tokens: list[int], rounds: list[dict]) -> list[int]:
+    """Tokens in their roles: in each round, what is not of the template yet is named after the last template tag before it."""
+    for known in rounds:
+        slots, fixed, slot, roles = frozenset(known["slots"]), frozenset(known["fixed"]), None, []
+        for token in tokens:
+            if token in slots:
+                slot = token
+            elif slot is not None and token not in fixed:
+                token = xxhash.xxh3_64_intdigest(struct.pack("<qq", token, slot)) - (1 << 63)
+            roles.append(token)
+        tokens = roles
+    return tokens
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, tokens, kinds) of each page; ``page`` is a digest of its content."""
     for batch in batches:
         for start in range(0, len(batch), 100):
             rows: list[tuple] = []
             for host, source in zip(*(batch.column(c).slice(start, 100).to_pylist() for c in ("host", "html"))):
-                if not source:
-                    continue
-                tags, pieces = read_page(source)
-                found = Counter((_hash(path), ARTICLE if article else TAG) for path, article in tags)
-                found.update((_text_token(p, text), TEXT) for p in pieces if (text := p.text))
-                page = xxhash.xxh3_64_intdigest(repr(sorted(found.items())).encode()) - (1 << 63)
+                if source:
+                    tokens, kinds, _ = _page_tokens(*read_page(source))
+                    page = xxhash.xxh3_64_intdigest(struct.pack(f"<{len(tokens)}q", *tokens)) - (1 << 63)
+                    rows.append((host, page, tokens, kinds))
+            if rows:
+                host, page, tokens, kinds = zip(*rows)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(host, pa.string()), pa.array(page), pa.array(tokens, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))], [*_SEQUENCE])
+
+
+_SEQUENCE = ("host", "page", "tokens", "kinds")
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, token, kind, times, place) for each role of a token in a page."""
+    for batch in batches:
+        for start in range(0, len(batch), 100):
+            rows: list[tuple] = []
+            for host, page, tokens, kinds, rounds in zip(*(batch.column(c).slice(start, 100).to_pylist() for c in (*_SEQUENCE, "rounds"))):
+                found = Counter(zip(differentiated(tokens, rounds or []), kinds))
                 rows += [(host, page, token, kind, n, i) for i, ((token, kind), n) in enumerate(found.items())]  # by first occurrence
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["host", "page", "token", "kind", "times", "place"])
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """The template of each ``host`` from the ``html`` of its pages: one row for each host that has one.
-
-    ``fixed`` holds the text tokens that every page of the host has exactly once, ``limited`` says that an
-    article or main element is part of the template.
-    """
-    seen = stage(arrow_map(pages.select("host", "html"), _occurrences,
-                           "host string, page long, token long, kind long, times long, place long"), "occurrences")
+def _template_tokens(occurrences: DataFrame) -> DataFrame:
+    """By ``host``: the texts (``fixed``) and tags (``slots``) that every page has exactly once, and whether the template has an article."""
+    seen = stage(occurrences, "occurrences")
     # copies of a page are one page
     seen = seen.groupBy("host", "page", "token", "kind").agg(F.max("times").alias("times"), F.min("place").alias("place"))
     support = seen.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_pages"))
@@ -203,37 +252,80 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     crossed = orders.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b")).where("a <> b")
     valid = members.join(crossed.select("host", "vector"), ["host", "vector"], "left_anti").join(support, "host")
     everywhere = (F.col("pages") == F.col("host_pages")) & (F.col("most") == 1)
-    return valid.groupBy("host").agg(
-        F.collect_list(F.when((F.col("kind") == TEXT) & everywhere, F.col("token"))).alias("fixed"),  # no more than one page has
+    return valid.groupBy("host").agg(  # lists no longer than a page
+        F.collect_list(F.when((F.col("kind") == TEXT) & everywhere, F.col("token"))).alias("fixed"),
+        F.collect_list(F.when((F.col("kind") != TEXT) & everywhere, F.col("token"))).alias("slots"),
         F.bool_or(F.col("kind") == ARTICLE).alias("limited"))
 
 
-def main_text(source: str | None, fixed: frozenset[int] = frozenset(), limited: bool | None = None) -> str:
+def _beside(rows: DataFrame, facts: DataFrame, host: str, rounds: str = "rounds") -> DataFrame:
+    """Rows with the facts of their host, which are broadcast up to a counted size; a stored frame of few rows a host."""
+    size = facts.agg(F.count("*") + F.coalesce(F.sum(F.aggregate(
+        rounds, F.lit(0), lambda n, r: n + F.size(r["fixed"]) + F.size(r["slots"]))), F.lit(0))).head()[0]
+    return rows.join(F.broadcast(facts) if size <= BROADCAST_TOKENS else facts, host, "left")
+
+
+def deduce_templates(pages: DataFrame) -> DataFrame:
+    """The template of each ``host`` from the ``html`` of its pages: one row for each host that has one, stored.
+
+    ``rounds`` holds, for each round of telling roles apart, the texts and tags, in the roles of that round,
+    that every page of the host has exactly once; ``limited`` says that an article or main element is part of the template.
+    """
+    sequences = stage(arrow_map(pages.select("host", "html"), _sequences, "host string, page long, tokens array<long>, kinds array<byte>"), "sequences")
+    none = F.array().cast(_ROUNDS).alias("rounds")
+    found = _template_tokens(arrow_map(sequences.select("*", none), _occurrences, _OCCURRENCE))
+    known = F.struct("slots", "fixed")
+    templates = stage(found.select("host", F.array(known).alias("rounds"), "limited", (F.size("slots") > 0).alias("open")), "templates")
+    while templates.where("open").limit(1).count():
+        # only hosts whose last round found more tags of the template
+        told = stage(templates.where("open").select("host", "rounds"), "told")
+        rows = _beside(sequences, told, "host").where("rounds is not null")
+        found = _template_tokens(arrow_map(rows.select(*_SEQUENCE, "rounds"), _occurrences, _OCCURRENCE))
+        more = found.select("host", known.alias("more"))
+        before = F.element_at("rounds", -1)
+        grown = F.col("more").isNotNull() & F.col("open") & (
+            (F.size("more.slots") > F.size(before["slots"])) | (F.size("more.fixed") > F.size(before["fixed"])))
+        templates = stage(templates.join(more, "host", "left").withColumn("grown", grown).select(
+            "host", F.when(F.col("grown"), F.concat("rounds", F.array("more"))).otherwise(F.col("rounds")).alias("rounds"), "limited",
+            (F.col("grown") & (F.size("more.slots") > F.size(before["slots"]))).alias("open")), "templates")
+    return templates.select("host", "rounds", "limited")
+
+
+_ROUNDS = "array<struct<slots:array<bigint>,fixed:array<bigint>>>"
+_OCCURRENCE = "host string, page long, token long, kind long, times long, place long"
+
+
+def main_text(source: str | None, rounds: list[dict] | None = None, limited: bool | None = None) -> str:
     """Text of the slots of a page that are no menus, adverts and the like.
 
-    ``fixed`` are the texts of its host's template; ``limited`` says whether that has an article or main
+    ``rounds`` are those of its host's template; ``limited`` says whether that has an article or main
     element (None: there is no template, the page decides).
     """
     if not source:
         return ""
-    _, pieces = read_page(source)
-    kept = [p for p in pieces if not p.chrome]
-    if limited is not False and any(p.main for p in kept):
-        kept = [p for p in kept if p.main]
-    texts = ((p, p.text) for p in kept)
-    return " ".join(text for p, text in texts if text and not (fixed and _text_token(p, text) in fixed))
-
-
-def _extractor(html_col: str, fixed_col: str, limited_col: str):
+    tags, pieces = read_page(source)
+    kept = [(k, p) for k, p in enumerate(pieces) if not p.chrome]
+    if limited is not False and any(p.main for _, p in kept):
+        kept = [(k, p) for k, p in kept if p.main]
+    template = set()
+    if rounds and any(known["fixed"] for known in rounds):
+        tokens, _, owners = _page_tokens(tags, pieces)
+        # a token of the template keeps its name from its round on, so the last round tells them all
+        fixed = frozenset(rounds[-1]["fixed"]).union(*(known["fixed"] for known in rounds))
+        template = {owner for token, owner in zip(differentiated(tokens, rounds[:-1]), owners) if token in fixed}
+    return " ".join(text for k, p in kept if k not in template and (text := p.text))
+
+
+def _extractor(html_col: str, rounds_col: str, limited_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 200):
                 part = batch.slice(start, 200)
                 texts = [
-                    main_text(source, frozenset(fixed or ()), limited)
-                    for source, fixed, limited in zip(*(part.column(c).to_pylist() for c in (html_col, fixed_col, limited_col)))
+                    main_text(source, rounds, limited)
+                    for source, rounds, limited in zip(*(part.column(c).to_pylist() for c in (html_col, rounds_col, limited_col)))
                 ]
-                kept = part.drop_columns([fixed_col, limited_col])
+                kept = part.drop_columns([rounds_col, limited_col])
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], [*kept.schema.names, "text"])
 
     return run
@@ -250,11 +342,10 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
         taken.add(name)
         return name
 
-    host, fixed, limited = private("_host"), private("_fixed"), private("_limited")
+    host, rounds, limited = private("_host"), private("_rounds"), private("_limited")
     named = lower_ascii(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    templates = stage(deduce_templates(rows.select(named.alias("host"), F.col(f"`{html_col}`").alias("html"))), "templates")
-    size = templates.agg(F.count("*") + F.coalesce(F.sum(F.size("fixed")), F.lit(0))).head()[0]
-    facts = templates.select(F.col("host").alias(host), F.col("fixed").alias(fixed), F.col("limited").alias(limited))
-    placed = rows.withColumn(host, named).join(F.broadcast(facts) if size <= BROADCAST_TOKENS else facts, host, "left").drop(host)
+    templates = deduce_templates(rows.select(named.alias("host"), F.col(f"`{html_col}`").alias("html")))
+    facts = templates.select(F.col("host").alias(host), F.col("rounds").alias(rounds), F.col("limited").alias(limited))
+    placed = _beside(rows.withColumn(host, named), facts, host, rounds).drop(host)
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
-    return arrow_map(placed, _extractor(html_col, fixed, limited), schema)
+    return arrow_map(placed, _extractor(html_col, rounds, limited), schema)

@@ -210,3 +210,11 @@ def test_html_templates_joined_by_host(spark, sf_dir, monkeypatch):
     once = sorted(map(tuple, extract_main_text(pages).collect()))
     monkeypatch.setattr(html_text, "BROADCAST_TOKENS", -1)
     assert sorted(map(tuple, extract_main_text(pages).collect())) == once
+
+
+def test_repeated_template_texts_are_told_apart_by_their_place(spark):
+    # "more" stands before and behind the text in every page: no page has it once, each of its roles does
+    page = "<html><body><div class=a><p>more</p></div><div class=b><p>own words {0}</p>{1}</div><div class=a><p>more</p></div></body></html>"
+    rows = [(k, "http://h.net/", page.format(k, "<p>more</p>" if k == 3 else "")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"own words {k}" + (" more" if k == 3 else "") for k in range(12)}
