@@ -74,7 +74,7 @@ def purge_dataset(spark: SparkSession, dataset_id: int, results_path: str, runs_
     """Delete a ledger's configs, their runs and results, and all results that name the ledger itself.
 
     ``results_path`` and ``runs_path`` are tables with one folder for each run, or for each block of runs
-    (``folders="run_block"``), ``configs_path`` is a small table. Returns how many configs and runs went, and how
+    (``folders="run_block"``), ``configs_path`` is a small table. Results without a run stay. Returns how many configs and runs went, and how
     many folders of results that hold rows of others, too, or rows of the ledger, changed.
     """
     finish_purges(spark, results_path)
@@ -92,7 +92,9 @@ def purge_dataset(spark: SparkSession, dataset_id: int, results_path: str, runs_
         configs_gone = configs.where((F.col("base_a_id") == dataset_id) | (F.col("base_b_id") == dataset_id)).select("config_id")
         doomed = runs.join(configs_gone, "config_id", "left_semi").select("run_id").distinct().withColumn("_doomed", F.lit(True))
         gone_runs, others = doomed.count(), results.join(doomed, "run_id", "left")
-        mine = mine | F.coalesce("_doomed", F.lit(False))
+        unnamed = results.where(F.col("run_id").isNull() & mine)  # as with a folder for each run, rows without a run stay
+        left["results"] = left["results"].unionByName(unnamed)
+        mine = F.col("run_id").isNotNull() & (mine | F.coalesce("_doomed", F.lit(False)))
         stale_runs = runs.join(configs_gone.distinct().withColumn("_doomed", F.lit(True)), "config_id", "left")
         drop, replace, _ = _rewrite(stale_runs, F.coalesce("_doomed", F.lit(False)), left["runs"], folders, runs_path, f"{work}/runs")
     emptied, rewritten, changed = _rewrite(others, mine, left["results"], folders, root, f"{work}/results")

@@ -202,12 +202,15 @@ def test_purge_deletes(spark, tmp_path):
 def test_purge_in_blocks_of_runs(spark, tmp_path):
     old, paths = stored_tables(spark, tmp_path / "runs"), [str(tmp_path / "blocks" / n) for n in ("results", "runs", "configs")]
     for source, target in zip(old[:2], paths):
-        spark.read.parquet(source).withColumn("run_block", purging.run_block(3)).write.partitionBy("run_block").parquet(target)
+        rows = spark.read.parquet(source)
+        if source == old[0]:
+            rows = rows.unionByName(spark.createDataFrame([(None, 3, "no run")], "run_id long, dataset_id long, row_identifier string"))
+        rows.withColumn("run_block", purging.run_block(3)).write.partitionBy("run_block").parquet(target)
     spark.read.parquet(old[2]).write.parquet(paths[2])
     assert len(list((tmp_path / "blocks" / "results").glob("run_block=*"))) <= 3
     assert purge_dataset(spark, 3, *paths, folders="run_block")["runs"] == 2
-    left = sorted((r["run_id"], r["dataset_id"] or 0) for r in spark.read.parquet(paths[0]).collect())
-    assert left == sorted((run, d) for run in (1, 2, 4, 5) for d in (8, 0))
+    left = sorted((r["run_id"] or 0, r["dataset_id"] or 0) for r in spark.read.parquet(paths[0]).collect())
+    assert left == sorted([(0, 3)] + [(run, d) for run in (1, 2, 4, 5) for d in (8, 0)])  # what has no run stays
     assert sorted(r["run_id"] for r in spark.read.parquet(paths[1]).collect()) == [1, 2, 4, 5, 7]
     assert sorted(r["config_id"] for r in spark.read.parquet(paths[2]).collect()) == [1, 2]
     assert purge_dataset(spark, 3, *paths, folders="run_block") == {"configs": 0, "runs": 0, "rewritten": 0}
