@@ -43,6 +43,18 @@ def clear(spark: SparkSession, paths: list[str]) -> None:
         remove_path(spark, paths.pop())
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing holds any more: its cleaner learns of them when the
+    driver collects its garbage, which a long job may not do before its disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """Marked for broadcast if it has at most ``limit`` rows of a few numbers; a stored frame."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 #: Bytes of a batch that goes to a worker, unless the session has another setting than Spark's own.
 BATCH_BYTES = 8 * 1024 * 1024
 _BATCH_SETTING, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", "67108864")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import arrow_map, binary_list, clear, hashed_words, mixed, stage, text_runs, window_hashes
+from ledgerrecon.llm.common import arrow_map, binary_list, clear, hashed_words, mixed, release, small, stage, text_runs, window_hashes
 
 #: Frequent n-grams whose counts all tasks get (16 bytes each): bounds the broadcast, not the result.
 FREQUENT = 500_000
@@ -139,8 +139,10 @@ def frequent_ngrams(rows: DataFrame, size: int, bits: int) -> tuple[np.ndarray,
     At most ``FREQUENT`` of those in ``LEAST_COUNT`` classes or more; all others are taken as rare.
     """
     paths: list[str] = []
-    blocks = arrow_map(rows, _count_blocks(size, bits), "bucket long, grams binary")
-    counts = stage(arrow_map(blocks.repartition("bucket").sortWithinPartitions("bucket"), _bucket_counts, "gram long, n long"), "counts", paths)
+    blocks = arrow_map(rows, _count_blocks(size, bits), "bucket long, grams binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = stage(arrow_map(blocks, _bucket_counts, "gram long, n long"), "counts", paths)
+    del blocks
+    release(rows.sparkSession)
     # sixteen steps for each doubling of the count: a few hundred rows
     step = F.floor(F.log2("n") * 16).cast("int")
     per_step = {r["step"]: r["k"] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()}
@@ -223,10 +225,13 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(size: int):
+    """Sets as two columns in one order: the upper 32 bits of each n-gram, and the lower ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, grams, ends, digest, rows, _ in _sets_of(batches, size, False):
-            cut = [grams[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(digest[rows]), pa.array(cut, pa.binary())], ["cls", "grams"])
+            high, low = (grams >> np.uint64(32)).astype("<u4"), (grams & np.uint64(0xFFFFFFFF)).astype("<u4")
+            cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest[rows]), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (high, low))], ["cls", "high", "low"])
     return run
 
 
@@ -239,38 +244,87 @@ def _class_rows(size: int):
     return run
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values of two sets are equal; equal ones within a set count, too."""
+    both = np.sort(np.concatenate([a, b]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _by_chance(n: int) -> int:
+    """No more than so many of ``n`` different n-grams have upper halves that others have, but for odds below 1e-20."""
+    mean, odds, k = n * n / 2.0**33, 1.0, 0
+    if mean > 100:
+        return n
+    while odds >= 1e-20:
+        k += 1
+        odds *= mean / k
+    return k - 1
+
+
+def _halves_compared(threshold: int):
+    """Pairs that can be linked by the upper halves of their n-grams, which are equal where the n-grams are, and whether
+    they are linked even if some halves are equal by chance."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, sure = [], []
+            for a, b in zip(batch.column("a_high"), batch.column("b_high")):
+                a, b = (np.frombuffer(x.as_buffer(), "<u4") for x in (a, b))
+                n, both = len(a) + len(b), _equal(a, b)
+                linked.append(100 * both >= threshold * (n - both))
+                both -= _by_chance(n)
+                sure.append(100 * both >= threshold * (n - both))
+            out = [batch.column("a"), batch.column("b"), pa.array(sure, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "sure"]).filter(pa.array(linked, pa.bool_()))
+    return run
+
+
 def _verified(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for a, b in zip(batch.column("a_grams"), batch.column("b_grams")):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
+            linked, columns = [], [batch.column(c) for c in ("a_high", "a_low", "b_high", "b_low")]
+            for halves in zip(*columns):
+                high, low, high_b, low_b = (np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64) for x in halves)
+                a, b = high << np.uint64(32) | low, high_b << np.uint64(32) | low_b
+                both = _equal(a, b)
                 linked.append(100 * both >= threshold * (len(a) + len(b) - both))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """Stored pairs (a, b) with these columns of the sets of both, as ``a_`` and ``b_``.
+
+    Sets meet their pairs where they lie, as long as the pairs are few. Where few sets stand on the side of ``b``,
+    as hubs do, these go to all tasks as well; beyond a counted size the sets of ``a`` are shuffled to those of ``b``.
+    """
+    sets = sets.select("cls", *columns)
+    needed_b = stage(pairs.select(F.col("b").alias("cls")).distinct(), "needed", paths)
+    hubs = stage(sets.join(small(needed_b), "cls", "left_semi"), "hubs", paths)
+    size = hubs.agg(F.coalesce(F.sum(sum(F.octet_length(c) for c in columns)), F.lit(0))).head()[0]
+    hubs = hubs.select(F.col("cls").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
+    met = small(pairs)
+    if met is pairs:  # too many to go to all tasks
+        sets = sets.join(small(stage(pairs.select(F.col("a").alias("cls")).distinct(), "needed", paths)), "cls", "left_semi")
+    own = sets.select(F.col("cls").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns)).join(met, "a")
+    return own.join(F.broadcast(hubs) if size <= HUB_BYTES else hubs, "b")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; stored.
 
-    Where few sets stand on the side of ``b``, as hubs do, these go to all tasks, and the other sets are
-    compared where they lie. Beyond a counted size both sides are shuffled to each other.
+    The upper halves of n-grams tell most pairs: too few equal ones rule a link out, and more than enough, by more than
+    chance can add, prove it. The few pairs between are compared on whole n-grams.
     """
     paths: list[str] = []
     pairs = stage(pairs, "pairs", paths)
-    hubs = stage(sets.join(_small(stage(pairs.select(F.col("b").alias("cls")).distinct(), "needed", paths)), "cls", "left_semi"), "hubs", paths)
-    size = hubs.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).head()[0]
-    hubs = hubs.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams"))
-    if size <= HUB_BYTES:
-        one = sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams")).join(_small(pairs), "a")
-        two = one.join(F.broadcast(hubs), "b")
-    else:
-        others = stage(pairs.select(F.col("a").alias("cls")).distinct(), "needed", paths)
-        own = sets.join(_small(others), "cls", "left_semi").select(F.col("cls").alias("a"), F.col("grams").alias("a_grams"))
-        two = pairs.join(own, "a").join(hubs, "b")
-    links = stage(arrow_map(two.select("a", "b", "a_grams", "b_grams"), _verified(threshold), "a long, b long"), "links")
-    clear(pairs.sparkSession, paths)
+    told = stage(arrow_map(_with_sets(pairs, sets, ("high",), paths), _halves_compared(threshold), "a long, b long, sure boolean"), "links")
+    links, near = told.where("sure").select("a", "b"), told.where("not sure").select("a", "b")
+    if near.limit(1).count():
+        whole = _with_sets(near, sets, ("high", "low"), paths)
+        links = links.union(stage(arrow_map(whole, _verified(threshold), "a long, b long"), "links"))
+        del whole
+    clear(links.sparkSession, paths)
+    release(links.sparkSession)
     return links
 
 
@@ -319,11 +373,6 @@ def _spot(column: str):
     return F.shiftright(column, 8).bitwiseAND(F.lit((1 << 24) - 1))
 
 
-def _small(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
-    """Marked for broadcast if it has at most ``limit`` rows of a few numbers; a stored frame."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def similar_documents(
     docs: DataFrame, size: int = 5, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -343,13 +392,15 @@ def similar_documents(
     prefixes = arrow_map(texts, _prefix_rows(size, threshold, bits, shared), "gram long, cls long, meta long")
     met = prefixes.repartition("gram").sortWithinPartitions("gram", "cls")
     entries = stage(arrow_map(met, _shared_only, "gram long, cls long, meta long"), "entries", paths)
+    del prefixes, met
+    release(docs.sparkSession)
     lengths = entries.groupBy("gram").agg(F.count("*").alias("length"))
     long_ones = stage(lengths.where(F.col("length") > SHORT_LIST).select("gram"), "long", paths)
-    long_ones = _small(long_ones)
+    long_ones = small(long_ones)
     in_lists = entries.join(long_ones, "gram", "left_semi")
     in_long = stage(in_lists.groupBy("cls").agg(F.count("*").alias("hidden")), "in-long", paths)
-    long_lists = stage(in_lists.join(_small(in_long), "cls"), "lists", paths)
-    short_lists = entries.join(long_ones, "gram", "left_anti").join(_small(in_long), "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
+    long_lists = stage(in_lists.join(small(in_long), "cls"), "lists", paths)
+    short_lists = entries.join(long_ones, "gram", "left_anti").join(small(in_long), "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0)))
     left, right = short_lists.alias("l"), short_lists.alias("r")
     level = lambda meta: F.shiftright(meta, 4).bitwiseAND(F.lit(15))
     ask = F.least(F.col("l.meta").bitwiseAND(F.lit(15)), F.col("r.meta").bitwiseAND(F.lit(15)))
@@ -370,11 +421,11 @@ def similar_documents(
 
     # whole sets of the classes that are to be compared
     wanted = stage(tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(in_long.select("cls")).distinct(), "wanted", paths)
-    each = classes.join(_small(wanted), "cls", "left_semi").groupBy("cls", "id").count()
+    each = classes.join(small(wanted), "cls", "left_semi").groupBy("cls", "id").count()
     one_each = stage(each.groupBy("cls").agg(F.min(F.struct("id", "count")).alias("one")).select("one.*"), "one-each", paths)
     ids = stage(one_each.select(F.col("id").alias("_id")).distinct(), "ids", paths)
-    source = rows.join(_small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = arrow_map(source, _set_rows(size), "cls long, grams binary").join(_small(wanted), "cls", "left_semi")
+    source = rows.join(small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    found = arrow_map(source, _set_rows(size), "cls long, high binary, low binary").join(small(wanted), "cls", "left_semi")
     if one_each.where("count > 1").limit(1).count():
         found = found.dropDuplicates(["cls"])  # rows are repeated
     sets = stage(found, "sets", paths)
