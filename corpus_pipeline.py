@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerrecon.llm.common import rows_of, set_aside, stage, tokenizer_path
+from ledgerrecon.llm.common import rows_of, set_aside, small, stage, tokenizer_path
 from ledgerrecon.llm.decontaminate import cut_passages
 from ledgerrecon.llm.jaccard import similar_documents
 from ledgerrecon.llm.packing import assign_sequences, token_pieces
@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select("*", row)
     found = similar_documents(rows.select("_row", "text"), size=5, threshold=75, id_col="_row")
     # rows equal in all columns have one key, and so one component
-    linked = found.groupBy(F.col("id").alias("_keeper")).agg(
-        F.max("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("_copies"))
+    linked = stage(found.groupBy(F.col("id").alias("_keeper")).agg(
+        F.max("component_id").alias("component_id"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("_copies")), "linked")
     ids = rows.select("_row", "doc_id", F.xxhash64("text").alias("_text")).dropDuplicates(["_row"])
     placed = linked.join(ids, F.col("_keeper") == F.col("_row"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "_row")
@@ -44,10 +44,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keep = stage(
         single.select(F.col("first.rank._row").alias("_keeper"), F.col("first._copies").alias("_copies"))
         .union(linked.where("n_shingles = 0").select("_keeper", F.lit(1).cast("long"))), "keepers")
-    kept = rows.join(keep.where("_copies = 1"), F.col("_row") == F.col("_keeper"), "left_semi")
-    if keep.where("_copies > 1").limit(1).count():
-        several = rows.join(keep.where("_copies > 1"), F.col("_row") == F.col("_keeper"), "left_semi")
-        kept = kept.union(several.dropDuplicates(["_row"]))
+    # fewer rows go than stay, and while they are few the texts need not be shuffled
+    gone = stage(linked.select("_keeper").join(keep.where("_copies = 1"), "_keeper", "left_anti"), "gone")
+    kept = rows.join(small(gone), F.col("_row") == F.col("_keeper"), "left_anti")
+    if (several := keep.where("_copies > 1")).limit(1).count():
+        repeated = rows.join(small(several), F.col("_row") == F.col("_keeper"), "left_semi")
+        kept = kept.union(repeated.dropDuplicates(["_row"]))
     return kept.select(*originals)
 
 

@@ -46,6 +46,20 @@ def test_near_duplicates_keep_one_row(spark):
     assert {r[c] for r in out.collect() for c in CLASHING} == {f"own {c}" for c in CLASHING}
 
 
+def test_near_duplicates_leave_the_texts_where_they_lie(spark):
+    """Rows that go are few numbers for all tasks; no whole text is shuffled to meet its verdict."""
+    docs = spark.createDataFrame([(k, texts(f"own{k // 2}")) for k in range(8)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipeline.near_duplicates(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 6]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("name", ["quality_rules", "decontaminate", "secret_scans"])
 def test_stages_pass_columns_through(spark, sf_dir, name):
     docs = frame(spark, [(None, PROSE), (4, PROSE), (4, PROSE), (5, PROSE + " password = 'hunter22' end")])
