@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerrecon.llm.common import arrow_map, running_total, text_runs
-from ledgerrecon.llm.tokens import LEAN, piece_tokenizer
+from ledgerrecon.llm.tokens import FULL, Tables, piece_tokenizer
 
 MAGIC = b"TOKENBLK"
 _HEADER = struct.Struct("<8sIIQIIQ")  # magic, version, bytes per id, documents, low bits, samples, bytes of high bits
@@ -116,7 +116,7 @@ class Block:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    id_bytes: int = 2,
+    id_bytes: int = 2, tables: Tables = FULL,
 ) -> None:
     """Writes all documents to ``path`` in ascending order of their ids (NULL first; then by a hash of the text).
 
@@ -130,7 +130,7 @@ def write_tokens(
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, ids, keys, total = piece_tokenizer(tokenizer, LEAN), [], [], 0
+        tok, ids, keys, total = piece_tokenizer(tokenizer, tables), [], [], 0
 
         def block() -> pa.RecordBatch:
             data = encode_block(ids, id_bytes)
@@ -139,7 +139,7 @@ def write_tokens(
                 pa.array([keys], pa.list_(pa.int64())), pa.array([data], pa.binary()),
             ], ["first_id", "n_ids", "doc_ids", "block"])
 
-        for batch in text_runs(batches, LEAN.text_bytes):
+        for batch in text_runs(batches, tables.text_bytes):
             keys_here = batch.column("doc_id").to_pylist()
             for key, x in zip(keys_here, tok.encode(batch.column("text").cast(pa.binary()).to_pylist())):
                 if ids and total + len(x) // 4 + 1 > BLOCK_IDS:

@@ -374,3 +374,13 @@ def test_pairs_told_by_halves_are_those_of_whole_sets():
     assert set(next(jaccard._verified(75)(iter([batch]))).to_pydict()["a"]) == want
     assert sure < want < set(told["a"]) and len(sure) > 10
     assert jaccard._by_chance(2) <= 2 < jaccard._by_chance(100_000) < 40 and jaccard._by_chance(10**7) == 10**7
+
+
+def test_token_files_use_full_tables():
+    """A worker of its own keeps what it learned: no piece of a job of this size goes through the tokenizer twice."""
+    import inspect
+
+    from ledgerrecon.llm.token_files import write_tokens
+    from ledgerrecon.llm.tokens import FULL
+
+    assert inspect.signature(write_tokens).parameters["tables"].default == FULL
