@@ -190,6 +190,18 @@ def find_passages(
     judged each by itself, and other columns pass through: columns of the names added
     here are replaced. An empty benchmark hits nothing. ``keep_text=False`` leaves the text out.
     """
+    return _scanned(docs, benchmark, window, text_col, item_col, item_text_col, keep_text)
+
+
+def _scanned(
+    docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str,
+    keep_text: bool = True, cut: bool = False,
+) -> DataFrame:
+    """What ``find_passages`` gives; with ``cut``, texts have lost their ``hit_runs``, and what those cuts brought together.
+
+    The worker that scans a text cuts it as well: a second pass of its own in the same tasks would take as many workers
+    again, and all of them stay. With several blocks of items the last one's pass cuts, once.
+    """
     docs = docs.drop("n_words", "hit_runs", "hit_items")
     runs_type = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
     out = docs.withColumns({
@@ -204,7 +216,8 @@ def find_passages(
         fields = [f for f in out.schema.fields if keep_text or following is not None or f.name != text_col]
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
         handle = sc.broadcast((block, window))
-        out = arrow_map(out, _scanner(uuid.uuid4().hex, handle, text_col, schema.fieldNames()), schema)
+        cutting = None if not cut or following is not None else "once" if before else "until clean"
+        out = arrow_map(out, _scanner(uuid.uuid4().hex, handle, text_col, schema.fieldNames(), cutting), schema)
         if following is None:
             return out
         # one block at a time: it is searched for before the next one is read
@@ -225,7 +238,7 @@ def _automaton(key: str, handle) -> SuffixAutomaton:
     return built[key]
 
 
-def _scanner(key: str, handle, text_col: str, names_out: list[str]):
+def _scanner(key: str, handle, text_col: str, names_out: list[str], cutting: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(key, handle)
         names = [item for item, _ in handle.value[0]]
@@ -250,11 +263,27 @@ def _scanner(key: str, handle, text_col: str, names_out: list[str]):
                 pa.array(new[name], batch.schema.field(name).type) if name in new else batch.column(name)
                 for name in names_out
             ]
+            if cutting:
+                at = names_out.index(text_col)
+                columns[at] = _cut_texts(columns[at], new["hit_runs"], automaton if cutting == "until clean" else None)
             yield pa.RecordBatch.from_arrays(columns, names_out)
 
     return run
 
 
+def _cut_texts(texts: pa.Array, hit_runs: list[list[dict] | None], automaton: SuffixAutomaton | None) -> pa.Array:
+    """Texts without their hit runs; with an automaton, judged and cut again until nothing is hit."""
+    if not any(hit_runs):
+        return texts
+    cut = texts.cast(pa.binary()).to_pylist()
+    for i, found_runs in enumerate(hit_runs):
+        left = [(r["from"], r["to"]) for r in found_runs or ()]
+        while left:
+            cut[i] = _without(cut[i], left)
+            left = merged(automaton.scan(item_words(cut[i]))[0]) if automaton is not None else []
+    return pa.array(cut, pa.binary()).cast(texts.type)
+
+
 def cut_passages(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
@@ -269,42 +298,33 @@ def cut_passages(
     """
     names, types = docs.columns, docs.schema
     docs, originals = set_aside(docs, ("n_words", "hit_runs", "hit_items"))
-    found = find_passages(docs, benchmark, window, text_col, item_col, item_text_col)
+    found = _scanned(docs, benchmark, window, text_col, item_col, item_text_col, cut=True)
     n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
-    kept = found.where(n_hit <= max_coverage * F.col("n_words"))
     dirty = F.size("hit_runs") > 0
+    # documents that are mostly hits have been cut with the others, and go by what was found before that
+    cut = found.where(n_hit <= max_coverage * F.col("n_words")).drop("n_words", "hit_items")
     blocks = _blocks(benchmark, item_col, item_text_col)
-    only, more = next(blocks, []), next(blocks, None)
-    schema = T.StructType([f for f in kept.schema.fields if f.name not in ("n_words", "hit_items")])
-    handle = docs.sparkSession.sparkContext.broadcast((only, window)) if more is None else None
-    key = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = batch.column("hit_runs")
-            at = batch.schema.names.index(text_col)
-            columns = [batch.column(f.name) for f in schema.fields]
-            place = schema.fieldNames().index(text_col)
-            if any(len(r) for r in runs):
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
-                for i, found_runs in enumerate(runs.to_pylist()):
-                    left = [(r["from"], r["to"]) for r in found_runs or ()]
-                    while left:
-                        texts[i] = _without(texts[i], left)
-                        # with several blocks the text is judged again against each of them, in another round
-                        left = merged(_automaton(key, handle).scan(item_words(texts[i]))[0]) if handle is not None else []
-                columns[place] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
-
-    cut = arrow_map(kept.drop("n_words", "hit_items"), run, schema)
-    if more is not None:
-        cut = _cut_until_clean(stage(cut, "cut"), lambda df: find_passages(df, benchmark, window, text_col, item_col, item_text_col), run, schema)
+    next(blocks, None)
+    if next(blocks, None) is not None:
+        # with several blocks the text is judged again against each of them, in another round
+        cut = _cut_until_clean(
+            stage(cut, "cut"), lambda df: find_passages(df, benchmark, window, text_col, item_col, item_text_col), _cutter(text_col, cut.columns), cut.schema)
     cut = cut.where(~dirty | F.col(text_col).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.when(dirty, F.length(text_col)).otherwise(F.col("n_chars")).cast(types["n_chars"].dataType))
     return cut.select(*originals)
 
 
+def _cutter(text_col: str, names_out: list[str]):
+    """Cuts ``hit_runs`` out of the texts, once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _cut_texts(batch.column(text_col), batch.column("hit_runs").to_pylist(), None)
+            yield pa.RecordBatch.from_arrays([texts if n == text_col else batch.column(n) for n in names_out], names_out)
+
+    return run
+
+
 def _cut_until_clean(cut: DataFrame, find, run, schema: T.StructType) -> DataFrame:
     """Rows whose cut texts are hit by nothing; those that a cut made hit again are cut again, round by round.
 

@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import arrow_map, stage, text_runs
@@ -220,6 +220,13 @@ def token_pieces(
     return stage(arrow_map(rows, run, PIECES), "pieces")
 
 
+def _plan(spark: SparkSession, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Rows of ``layout`` as a frame, by way of Arrow: a list of tuples would start a second set of Python workers on every
+    executor, which outlive their one small task."""
+    names = ["length", "first", "n", "sequence", "at"]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64() if k else pa.int32()) for k, c in enumerate(zip(*rows))], names))
+
+
 def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to stored pieces; ``part`` and ``rank`` go.
 
@@ -233,7 +240,7 @@ def assign_sequences(pieces: DataFrame, capacity: int) -> DataFrame:
     shifts = counts.select("part", "length", before.alias("before"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = layout(pack_lengths(totals, capacity))
-    plan = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length int, first long, n long, sequence long, at long")
+    plan = _plan(spark, rows or [(0, 0, 0, 0, 0)])
     # by length the steps in order of their first rank; a piece finds its step by bisection of ranks
     steps = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "n", "sequence", "at"))).alias("steps"))
     ranked = pieces.join(shifts, ["part", "length"]).withColumn("_rank", F.col("rank") + F.col("before"))

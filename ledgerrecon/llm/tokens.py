@@ -9,7 +9,7 @@ are encoded whole.
 What a worker learns it keeps in two tables: pieces met again are in a dictionary, and all pieces,
 most of which are met once, in arrays sorted by a 64-bit hash, about 30 bytes for each. So a
 worker sends each piece through the tokenizer once, and holds about 80 MB when both are full
-(``FULL``); where other stages leave less room, smaller tables and chunks of text do with 50 MB (``LEAN``).
+(``FULL``); where other stages leave less room, smaller tables and chunks of text do with 30 MB (``LEAN``).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class Tables(NamedTuple):
     text_bytes: int
 
 
-FULL, LEAN = Tables(150_000, 1_500_000, 100_000, 2_000_000), Tables(100_000, 900_000, 50_000, 1_000_000)
+FULL, LEAN = Tables(150_000, 1_500_000, 100_000, 2_000_000), Tables(60_000, 400_000, 25_000, 500_000)
 #: Bytes of new pieces encoded in one call.
 CALL_BYTES = 60_000
 _WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")

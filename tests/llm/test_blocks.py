@@ -5,7 +5,9 @@ import random
 import pytest
 
 from ledgerrecon.llm import decontaminate
+from ledgerrecon.llm.common import stage
 from ledgerrecon.llm.decontaminate import cut_passages, find_passages
+from ledgerrecon.llm.packing import assign_sequences
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +40,31 @@ def test_blocks_give_what_one_block_gives(spark, tables, monkeypatch):
     assert sorted(map(str, cut_passages(docs, items).collect())) == cut
 
 
+def test_cutting_takes_no_workers_of_its_own(spark, tables):
+    """Two passes in the same tasks take twice the workers, which stay with all they hold."""
+    plan = cut_passages(*tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_documents_that_are_mostly_passages_go_whole(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([
+        (1, " ".join(words)), (2, " ".join(["own"] * 5 + words)), (3, " ".join(words[:12] + ["own"] * 12)), (4, " ".join(words[:12] + ["own"] * 11)),
+    ], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert [tuple(r) for r in cut_passages(docs, items).collect()] == [(3, " " + " ".join(["own"] * 12))]
+
+
+def test_packing_starts_no_second_set_of_workers(spark):
+    """A frame made of a list of tuples runs in Python workers of another kind than ``mapInArrow``, which stay as well."""
+    pieces = spark.createDataFrame([(0, 5, 0), (0, 5, 1), (1, 7, 0)], "part int, length int, rank long")
+    packed = assign_sequences(stage(pieces, "some-pieces"), 12)
+    leaves = packed._jdf.queryExecution().analyzed().collectLeaves()
+    made = [leaves.apply(i).rdd().toDebugString() for i in range(leaves.size()) if leaves.apply(i).nodeName() == "LogicalRDD"]
+    assert not any("PythonRDD" in x for x in made)
+    assert sorted((r["length"], r["offset"]) for r in packed.collect()) == [(5, 0), (5, 7), (7, 0)]
+
+
 def test_table_sizes_of_the_tokenizer_change_no_ids():
     from ledgerrecon.llm.common import tokenizer_path
     from ledgerrecon.llm.tokens import FULL, LEAN, PieceTokenizer, Tables
