@@ -65,9 +65,10 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: one row for each piece, with its ids and its place."""
-    pieces = token_pieces(docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048, tables=LEAN)
-    packed = assign_sequences(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+    """Token sequences of at most 2048 ids: one row for each piece, with the digest of its ids and its place."""
+    pieces = token_pieces(
+        docs.select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048, tables=LEAN, ids=F.crc32("ids").alias("ids_crc32"))
+    packed = assign_sequences(pieces, capacity=2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

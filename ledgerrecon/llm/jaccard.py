@@ -15,7 +15,7 @@ is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -224,17 +224,30 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.slice(1, 1)
 
 
-def _set_rows(size: int):
-    """Sets as two columns in one order: the upper 32 bits of each n-gram, and the lower ones."""
+def _set_rows(size: int, columns: tuple[str, ...]):
+    """Sets as columns in one order: the upper 32 bits of each n-gram (``high``), and the lower ones (``low``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, grams, ends, digest, rows, _ in _sets_of(batches, size, False):
-            high, low = (grams >> np.uint64(32)).astype("<u4"), (grams & np.uint64(0xFFFFFFFF)).astype("<u4")
+            halves = {"high": (grams >> np.uint64(32)).astype("<u4"), "low": (grams & np.uint64(0xFFFFFFFF)).astype("<u4")}
             cuts = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digest[rows]), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (high, low))], ["cls", "high", "low"])
+                [pa.array(digest[rows]), *(pa.array([halves[c][a:b].tobytes() for a, b in cuts], pa.binary()) for c in columns)], ["cls", *columns])
     return run
 
 
+def _stored_sets(rows: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, columns: tuple[str, ...], paths: list[str]) -> DataFrame:
+    """These columns of the sets of some stored classes, made from one text of each; stored."""
+    wanted = small(wanted)
+    each = classes.join(wanted, "cls", "left_semi").groupBy("cls", "id").count()
+    one_each = stage(each.groupBy("cls").agg(F.min(F.struct("id", "count")).alias("one")).select("one.*"), "one-each", paths)
+    ids = stage(one_each.select(F.col("id").alias("_id")).distinct(), "ids", paths)
+    source = rows.join(small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    found = arrow_map(source, _set_rows(size, columns), ", ".join(["cls long", *(f"{c} binary" for c in columns)])).join(wanted, "cls", "left_semi")
+    if one_each.where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["cls"])  # rows are repeated
+    return stage(found, "sets", paths)
+
+
 def _class_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _, digest, _, ends in _sets_of(batches, size, False):
@@ -309,18 +322,20 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], path
     return own.join(F.broadcast(hubs) if size <= HUB_BYTES else hubs, "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, whole_sets: Callable[[DataFrame, list[str]], DataFrame], threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; stored.
 
     The upper halves of n-grams tell most pairs: too few equal ones rule a link out, and more than enough, by more than
-    chance can add, prove it. The few pairs between are compared on whole n-grams.
+    chance can add, prove it. The few pairs between are compared on whole n-grams, which are made from the texts once more
+    (``whole_sets``), so that the lower halves of all sets need no place on disk.
     """
     paths: list[str] = []
     pairs = stage(pairs, "pairs", paths)
     told = stage(arrow_map(_with_sets(pairs, sets, ("high",), paths), _halves_compared(threshold), "a long, b long, sure boolean"), "links")
     links, near = told.where("sure").select("a", "b"), told.where("not sure").select("a", "b")
     if near.limit(1).count():
-        whole = _with_sets(near, sets, ("high", "low"), paths)
+        needed = stage(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), "needed", paths)
+        whole = _with_sets(near, whole_sets(needed, paths), ("high", "low"), paths)
         links = links.union(stage(arrow_map(whole, _verified(threshold), "a long, b long"), "links"))
         del whole
     clear(links.sparkSession, paths)
@@ -419,16 +434,10 @@ def similar_documents(
     enough = (F.col("matches") + F.col("hidden") >= F.col("ask")) & (bound * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold)
     tested = stage(counted.where(enough).select("a", "b"), "pairs", paths)
 
-    # whole sets of the classes that are to be compared
+    # sets of the classes that are to be compared
     wanted = stage(tested.select(F.col("a").alias("cls")).union(tested.select("b")).union(in_long.select("cls")).distinct(), "wanted", paths)
-    each = classes.join(small(wanted), "cls", "left_semi").groupBy("cls", "id").count()
-    one_each = stage(each.groupBy("cls").agg(F.min(F.struct("id", "count")).alias("one")).select("one.*"), "one-each", paths)
-    ids = stage(one_each.select(F.col("id").alias("_id")).distinct(), "ids", paths)
-    source = rows.join(small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = arrow_map(source, _set_rows(size), "cls long, high binary, low binary").join(small(wanted), "cls", "left_semi")
-    if one_each.where("count > 1").limit(1).count():
-        found = found.dropDuplicates(["cls"])  # rows are repeated
-    sets = stage(found, "sets", paths)
+    sets = _stored_sets(rows, classes, wanted, size, ("high",), paths)
+    whole_sets = lambda near, made: _stored_sets(rows, classes, near, size, ("high", "low"), made)
 
     links, rest = None, long_lists.withColumn("label", F.col("cls"))
     for turn in range(HUB_ROUNDS):
@@ -440,8 +449,8 @@ def similar_documents(
         # what the two can share after this n-gram must be enough; a pair that shares an earlier one meets there, too
         left_over = F.least(_size("meta") - _spot("meta"), _size("hub.meta") - _spot("hub.meta"))
         stars = tried.where(left_over * (100 + threshold) >= (_size("meta") + _size("hub.meta")) * threshold)
-        new = _verify(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), sets, threshold)
-        links = _verify(tested, sets, threshold).union(new) if links is None else links.union(new)
+        new = _verify(stars.select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct(), sets, whole_sets, threshold)
+        links = _verify(tested, sets, whole_sets, threshold).union(new) if links is None else links.union(new)
         labels = components(links)
         rest = stage(_labelled(long_lists, labels), "open", paths)
         if not rest.limit(1).count():
@@ -458,7 +467,7 @@ def similar_documents(
         & (left_over * (100 + threshold) >= (_size("mx") + _size("my")) * threshold)
     ))
     last = _ordered_pairs(apart.select("x", _size("mx").alias("nx"), "y", _size("my").alias("ny")), threshold)
-    labels = components(links.union(_verify(last, sets, threshold)))
+    labels = components(links.union(_verify(last, sets, whole_sets, threshold)))
     clear(docs.sparkSession, paths)
 
     known = classes.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

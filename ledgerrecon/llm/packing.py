@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerrecon.llm.common import arrow_map, stage, text_runs
@@ -189,10 +189,12 @@ PIECES = "doc_id long, piece int, start long, length int, ids binary, part int,
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", tables: Tables = FULL,
+    ids: Column | None = None,
 ) -> DataFrame:
     """All documents as pieces of at most ``capacity`` ids, stored: the ids, and the piece's rank
     among those of its length in its partition. Only longer documents are cut; their first piece is
-    the shorter one. NULL and empty texts are ``end_id`` alone."""
+    the shorter one. NULL and empty texts are ``end_id`` alone. Who wants no more of the ids than, say, a digest names it
+    as ``ids``, a column over ``ids`` that is stored in their place."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("part", F.spark_partition_id())
     end = struct.pack("<I", end_id)
@@ -201,8 +203,8 @@ def token_pieces(
         tok, seen = piece_tokenizer(tokenizer, tables), Counter()
         for batch in text_runs(batches, tables.text_bytes):
             out: list[tuple] = []
-            ids = tok.encode(batch.column("text").cast(pa.binary()).to_pylist())
-            for key, part, x in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), ids):
+            encoded = tok.encode(batch.column("text").cast(pa.binary()).to_pylist())
+            for key, part, x in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), encoded):
                 x += end
                 n = len(x) // 4
                 first = n % capacity or capacity
@@ -217,7 +219,8 @@ def token_pieces(
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return stage(arrow_map(rows, run, PIECES), "pieces")
+    pieces = arrow_map(rows, run, PIECES)
+    return stage(pieces if ids is None else pieces.select(*(c for c in pieces.columns if c != "ids"), ids), "pieces")
 
 
 def _plan(spark: SparkSession, rows: list[tuple[int, int, int, int, int]]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerrecon.llm.common import arrow_map, stage
+from ledgerrecon.llm.common import arrow_map, clear, small, stage
 
 #: Labelled rows the list is fitted on, at most, chosen by the hash of their id.
 TRAIN_ROWS = 40_000
@@ -197,20 +197,37 @@ def rule_number(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
+def _marks(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """The lowest label of each id that has one, and the hash of the id, by which training rows are chosen."""
+    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(label_col).alias("_good"))
+    return marks.withColumn("_order", F.xxhash64("_id"))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """Where there are more than ``TRAIN_ROWS``: those below a cut through the hashes that leaves a little more than wanted."""
+    some = rows.count()
+    share = min(1.0, 1.2 * TRAIN_ROWS / max(some, 1) + 100 / max(some, 1))
+    return rows.where(F.col("_order") < F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1)) if some > TRAIN_ROWS else rows
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Ids and texts of the rows that ``training_rows`` can take, found by their ids alone; no text is shuffled."""
+    paths: list[str] = []
+    keys = docs.select(F.col(f"`{id_col}`").alias("_key"))
+    found = stage(keys.join(_marks(labels, id_col, label_col), F.col("_key") == F.col("_id")).select("_key", "_order"), "labelled", paths)
+    taken = small(stage(_first(found).select("_key").distinct(), "taken"))
+    clear(docs.sparkSession, paths)
+    return docs.select(f"`{id_col}`", f"`{text_col}`").join(taken, F.col(f"`{id_col}`") == F.col("_key"), "left_semi")
+
+
 def training_rows(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Statistics and low-quality flags of at most ``TRAIN_ROWS`` labelled rows.
 
     A document labelled twice takes its lowest label; NULL labels and ids are left out. Where there are more,
     those with the smallest hashes of their ids are taken; the rest never leaves its tasks.
     """
-    marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(label_col).alias("_good"))
     found = counted.select(F.col(f"`{id_col}`").alias("_key"), *(column().alias(name) for name, column in STATISTICS.items()))
-    rows = found.join(marks, F.col("_key") == F.col("_id")).select(*STATISTICS, "_good", F.xxhash64("_id").alias("_order"))
-    some = rows.count()
-    if some > TRAIN_ROWS:
-        # a cut through the hashes that leaves a little more than wanted
-        share = min(1.0, 1.2 * TRAIN_ROWS / some + 100 / some)
-        rows = rows.where(F.col("_order") < F.lit(int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1))
+    rows = _first(found.join(_marks(labels, id_col, label_col), F.col("_key") == F.col("_id")).select(*STATISTICS, "_good", "_order"))
     taken = rows.orderBy("_order", *STATISTICS).limit(TRAIN_ROWS).toPandas()
     return {name: taken[name].to_numpy(float) for name in STATISTICS}, (taken["_good"] == 0).to_numpy(bool)
 
@@ -226,12 +243,16 @@ def judge(
 ) -> tuple[DataFrame, list[Rule]]:
     """``docs`` with ``COUNTS``, ``base_failed``, ``rule`` (0: none holds) and ``kept``, and the rules.
 
-    Counts are made once and stored; the list is fitted on labelled rows among them.
+    The list is fitted on labelled rows. Counts without texts are made once and stored. With texts nothing as large as these is
+    stored: the rows to train on are counted first, and all rows where the frame is read.
     NULL and empty texts have no words and fail; rows are judged each by itself, repeated
     ones alike. Without labelled rows, or without low-quality ones, the list is empty and
     the base test decides alone. Columns of the names added here are replaced.
     """
-    counted = stage(with_counts(docs.drop("base_failed", "rule", "kept"), text_col, keep_text), "counts")
-    rules = learn_rules(*training_rows(counted, labels, id_col, label_col))
+    counted = with_counts(docs.drop("base_failed", "rule", "kept"), text_col, keep_text)
+    some = with_counts(training_texts(docs, labels, id_col, text_col, label_col), text_col, False) if keep_text else counted
+    some = stage(some, "counts")
+    rules = learn_rules(*training_rows(some, labels, id_col, label_col))
+    counted = counted if keep_text else some
     judged = counted.withColumns({"base_failed": base_failed(), "rule": rule_number(rules)})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules

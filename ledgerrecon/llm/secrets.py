@@ -232,7 +232,8 @@ def thresholds(scanned: DataFrame, false_discoveries: float) -> dict[str, int]:
     The driver sees at most one row for each encoding, band and step.
     """
     counted = (
-        scanned.select(F.explode("_candidates").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), F.col("c.step").alias("step"))
+        # the outer form, as Spark tests the array of the other one first, and so makes it twice
+        scanned.select(F.explode_outer("_candidates").alias("c")).where("c IS NOT NULL").groupBy(F.col("c.stratum").alias("stratum"), F.col("c.step").alias("step"))
         .count().collect()
     )
     by_stratum: dict[str, dict[int, int]] = {}
@@ -259,12 +260,14 @@ def find_secrets(
     ``spans`` has the base spans and those the battery reports (kind ``random``, last in rank) that no
     base span holds. NULL and empty texts have none. Rows are judged each by itself but for the
     discovery bound, which is over all candidates of the frame. Columns ``base_spans`` and ``spans`` are
-    replaced, all others pass through.
+    replaced, all others pass through. Without texts the scan is stored; with them nothing as large as these is: candidates
+    are tested once for the bound, and again where the frame is read and any are to be reported.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     tested = private_name(docs, "_candidates")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("base_spans", "spans") and (keep_text or c != text_col)]
-    scanned = stage(docs.select(*kept, base_spans(text).alias("base_spans"), battery(located(text, CANDIDATE)).alias(tested)), "scanned")
+    scanned = docs.select(*kept, base_spans(text).alias("base_spans"), battery(located(text, CANDIDATE)).alias(tested))
+    scanned = scanned if keep_text else stage(scanned, "scanned")
     limits = thresholds(scanned.select(F.col(tested).alias("_candidates")), false_discoveries)
     found = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
     if limits:

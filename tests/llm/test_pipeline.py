@@ -9,7 +9,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from ledgerrecon.llm import common, jaccard, quality
 from ledgerrecon.llm.common import tokenizer_path
+from ledgerrecon.llm.quality import judge
+from ledgerrecon.llm.secrets import find_secrets
 
 WORDS = [f"word{i}" for i in range(60)]
 PROSE = " ".join(WORDS)
@@ -60,6 +63,69 @@ def test_near_duplicates_leave_the_texts_where_they_lie(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def noise(rng, n, length=7):
+    return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=length)) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "secret_scans", "best_fit_packing"])
+def test_stages_leave_no_texts_behind(spark, tmp_path, monkeypatch, name):
+    """What a stage has stored when its result is read is far smaller than the texts, or the ids, that go through it."""
+    rng = random.Random(name)
+    docs = spark.createDataFrame([(k, noise(rng, 400) + " password = 'hunter22'") for k in range(100)], "doc_id long, text string")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(common, "shared_path", lambda spark, label: f"{tmp_path}/stored/{label}-{rng.random()}")
+    assert getattr(pipeline, name)(spark, docs, str(tmp_path)).count() >= 100
+    stored = sum(f.stat().st_size for f in (tmp_path / "stored").rglob("*.parquet"))
+    assert stored < 400 * 8 * 100 / 4
+
+
+def test_rules_are_the_same_with_and_without_texts(spark, monkeypatch):
+    """Rows to train on are found by ids alone; with a cut through them, repeated ids and NULLs, they are those of the stored counts."""
+    rng = random.Random(5)
+    ids = [k // 2 if k % 3 else k for k in range(400)]
+    rows = [(i, PROSE + (" # $ %" * 9 if i % 4 == 0 else f" {noise(rng, i % 40)}")) for i in ids] + [(None, PROSE), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 != 0)) for k in range(500)] + [(8, 1), (None, 0), (9, None)], "doc_id int, quality int")
+    for most in (40_000, 150):
+        monkeypatch.setattr(quality, "TRAIN_ROWS", most)
+        (judged, rules), (narrow, same) = judge(docs, labels), judge(docs, labels, keep_text=False)
+        assert rules == same and judged.drop("text").exceptAll(narrow).count() == 0 and judged.count() == narrow.count() == len(rows)
+        assert rules
+
+
+def test_spans_are_the_same_with_and_without_texts(spark):
+    """Candidates that are tested once for the bound and again for the spans give those of the stored scan."""
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(k, f"see {''.join(rng.choices(letters, k=40))} and {'source/library/' * 4} x") for k in range(30)] + [(50, None), (51, "no such thing"), (51, "token: abcdef99")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, narrow = find_secrets(docs), find_secrets(docs, keep_text=False)
+    assert found.drop("text").exceptAll(narrow).count() == 0 and found.count() == narrow.count() == len(rows)
+    assert found.where("exists(spans, s -> s.kind = 'random')").count() >= 25
+
+
+def test_lower_halves_are_stored_for_near_pairs_only(spark, monkeypatch):
+    stored, stage = [], jaccard.stage
+
+    def seen(df, label, paths=None):
+        out = stage(df, label, paths)
+        if label == "sets":
+            stored.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", seen)
+    rng = random.Random(7)
+    own = [noise(rng, 200).split() for _ in range(12)]
+    # copies with a word changed at the end, and one at the threshold: 84 of 112 n-grams are shared
+    rows = [(k, " ".join(words)) for k, words in enumerate(own)] + [(100 + k, " ".join([*words[:-1], "other"])) for k, words in enumerate(own[:11])]
+    first = noise(rng, 102).split()
+    rows += [(200, " ".join(first)), (201, " ".join([*first[:88], *noise(rng, 14).split()])), (202, " ".join([*first[:88], *noise(rng, 14).split()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in jaccard.similar_documents(docs).collect()}
+    assert [columns for columns, _ in stored][:1] == [["cls", "high"]] and all(n <= 3 for _, n in stored[1:]) and len(stored) > 1
+    assert found == {**{k: k for k in range(12)}, **{100 + k: k for k in range(11)}, 200: 200, 201: 200, 202: 200}
+
+
 @pytest.mark.parametrize("name", ["quality_rules", "decontaminate", "secret_scans"])
 def test_stages_pass_columns_through(spark, sf_dir, name):
     docs = frame(spark, [(None, PROSE), (4, PROSE), (4, PROSE), (5, PROSE + " password = 'hunter22' end")])
